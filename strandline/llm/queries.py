@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.packing import op10_best_fit_packing
+from strandline.llm.toxicity import op9_toxicity_ftrl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
