@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.llm.line_dedup import OP2_SQL, op2_line_dedup
+from strandline.llm.mixing import OP8_SQL, op8_source_mixing
 from strandline.llm.packing import op10_best_fit_packing
+from strandline.llm.quality import op7_weak_supervision_quality
 from strandline.llm.toxicity import op9_toxicity_ftrl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
+    "op7_weak_supervision_quality": op7_weak_supervision_quality,
+    "op8_source_mixing": op8_source_mixing,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+    "op8_source_mixing": OP8_SQL,
+}
