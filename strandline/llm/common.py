@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,3 +87,22 @@ def components(spark: SparkSession, stage: Stage, edges: DataFrame, name: str) -
     if roots is None:
         return spark.createDataFrame([], "node long, root long")
     return roots
+
+
+def map_texts(docs: DataFrame, keep: list[str], added: str, make: Callable[[], Callable[[list[str | None]], list[list]]]) -> DataFrame:
+    """Rows (*keep, *added): the kept columns as they are, and what a Python function says of each whole text. make() is
+    called once in each task and gives the function, from a batch's texts to one list for each added column."""
+    given = docs.select(*(docs[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)), docs["text"].cast("string").alias("t"))
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new.fields))])
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+    n = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        say = make()
+        for batch in batches:
+            found = say(batch.column(n).to_pylist())
+            arrays = [batch.column(i) for i in range(n)] + [pa.array(x, type=kind) for x, kind in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f"k{i}" for i in range(n)] + [f"n{i}" for i in range(len(kinds))])
+
+    return given.mapInArrow(run, schema).toDF(*keep, *new.fieldNames())

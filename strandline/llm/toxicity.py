@@ -8,7 +8,7 @@ a weight; the model that is sent to the executors is the list of those. Fitting
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import crc_rest, sampled, table
+from strandline.llm.common import crc_rest, map_texts, sampled, table
 
 BITS = 20
 #: Labelled texts of each label that the model is fitted on, at most.
@@ -136,30 +136,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
     """Rows (*keep, score): the probability that the text is toxic. Null and empty texts get the bias alone. Repeated
     rows get the same score; columns that aren't kept aren't read."""
     ids, weights, bias = model
-    keep = keep or ["doc_id"]
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in keep) + ", score double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[[list[str | None]], list[list]]:
         dense = np.zeros(1 << bits, dtype=np.float32)
         dense[ids] = weights
-        for batch in batches:
-            out = np.empty(len(batch))
-            for k, text in enumerate(batch["_text"]):
-                f = features(text, bits)
-                hit = np.unique(f[dense[f] != 0])
-                out[k] = 1.0 / (1.0 + np.exp(-np.clip(bias + float(dense[hit].sum(dtype=np.float64)), -35, 35)))
-            frame = batch[keep].copy()
-            frame["score"] = out
-            yield frame
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInPandas(run, schema)
+        def one(text: str | None) -> float:
+            f = features(text, bits)
+            hit = np.unique(f[dense[f] != 0])
+            return float(1.0 / (1.0 + np.exp(-np.clip(bias + float(dense[hit].sum(dtype=np.float64)), -35, 35))))
 
+        return lambda texts: [[one(t) for t in texts]]
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, held_out_rest: int = 0, of: int = 5) -> DataFrame:
-    """doc_id, text, toxic of the labelled documents that may be learnt from. Null labels and ids don't take part."""
-    use = labels.select("doc_id", "toxic").filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_rest("doc_id", of) != held_out_rest)).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(use, "doc_id")
+    return map_texts(docs, keep or ["doc_id"], "score double", make)
 
 
 def bounded_labels(labels: DataFrame, at_most: dict[int, int] | None = None, held_out_rest: int = 0, of: int = 5) -> DataFrame:
@@ -182,4 +171,4 @@ def fit_tables(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray
 def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_tables(spark, sf_dir)
     docs = table(spark, sf_dir, "documents")
-    return score(docs, model).select("doc_id", (crc_rest("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return score(docs, model).select("doc_id", F.coalesce(crc_rest("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
