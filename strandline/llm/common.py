@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,3 +107,28 @@ def map_texts(docs: DataFrame, keep: list[str], added: str, make: Callable[[], C
             yield pa.RecordBatch.from_arrays(arrays, names=[f"k{i}" for i in range(n)] + [f"n{i}" for i in range(len(kinds))])
 
     return given.mapInArrow(run, schema).toDF(*keep, *new.fieldNames())
+
+
+class WordTable:
+    """Numbers of each distinct word, kept between texts within a bound; one array row for each word of a text."""
+
+    def __init__(self, say: Callable[[str], list[int]], width: int, most: int = 400_000):
+        self.say, self.most = say, most
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((most, width), dtype=np.uint64)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        rows = self.rows
+        try:
+            return self.table[np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))]
+        except KeyError:
+            new = {w for w in words if w not in rows}
+        if len(rows) + len(new) > self.most:
+            rows.clear()
+            new = set(words)
+            if len(new) > self.most:  # one text with more words than are ever kept
+                return np.asarray([self.say(w) for w in words], dtype=np.uint64)
+        at = len(rows)
+        self.table[at : at + len(new)] = [self.say(w) for w in new]
+        rows.update(zip(new, range(at, at + len(new)), strict=True))
+        return self.table[np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words))]

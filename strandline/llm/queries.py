@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from strandline.llm.language import op3_language_families
 from strandline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from strandline.llm.mixing import OP8_SQL, op8_source_mixing
+from strandline.llm.near_dup import op4_near_duplicates
 from strandline.llm.packing import op10_best_fit_packing
 from strandline.llm.quality import op7_weak_supervision_quality
 from strandline.llm.toxicity import op9_toxicity_ftrl
@@ -16,6 +17,7 @@ from strandline.llm.toxicity import op9_toxicity_ftrl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_families": op3_language_families,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_weak_supervision_quality": op7_weak_supervision_quality,
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
