@@ -9,12 +9,15 @@ A block leaves at most its last bins open, so what is lost against packing all a
 
 from __future__ import annotations
 
+import gc
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +27,11 @@ MAX_LENGTH = 4096
 END_ID = 1
 BLOCK = 16_384
 
-#: Words of these letters are one token group each, whatever stands beside them; so are runs of these marks after them.
-_CORE = re.compile(r"[a-zà-öø-ÿ]+")
-_MARKS = ".,!|$#&%*?;:"
+#: Texts of these characters alone, without apostrophes and special tokens, split into words and runs of other marks
+#: that the tokenizer never joins, so each can be encoded alone and remembered in lower case.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+_PARTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[^\sa-z\u00df-\u00f6\u00f8-\u00ff]+")
+_WORD = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def default_tokenizer() -> str:
@@ -36,80 +41,69 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids as little-endian bytes. The tokenizer lower-cases, drops white space and never joins across it, so the text
-    between two blanks can be encoded alone and remembered; both memories are bounded and emptied when full."""
+    """Ids as little-endian bytes. The tokenizer lower-cases, drops white space and never joins across it, so parts of a
+    text can be encoded alone and remembered. Both memories are bounded and emptied when full; what is remembered never
+    changes a result."""
 
-    def __init__(self, path: str, raw_limit: int = 200_000, core_limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.raw: dict[str, bytes] = {"": b""}
-        self.core: dict[str, bytes] = {"": b""}
-        self.raw_limit, self.core_limit = raw_limit, core_limit
-        ends = [i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]
+        self.limit = limit
+        self.parts: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
         self.is_end = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
-        self.is_end[ends] = True
+        self.is_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+
+    def _alone(self, texts: list[str], into: dict[str, bytes]) -> None:
+        for i in range(0, len(texts), 1024):
+            part = texts[i : i + 1024]
+            for text, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                into[text] = np.asarray(e.ids, dtype="<u4").tobytes()
 
     def _together(self, words: list[str]) -> None:
-        """Encodes words that are one token group each, many in a call: the ends of words tell them apart."""
+        """Words that are one token group each, many in a call: ids that end a word tell them apart."""
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
             lines = [" ".join(part[j : j + 64]) for j in range(0, len(part), 64)]
             ids = np.concatenate([np.asarray(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
-            cuts = np.flatnonzero(self.is_end[ids]) + 1
+            cuts = (4 * (np.flatnonzero(self.is_end[ids]) + 1)).tolist()
             if len(cuts) != len(part):
                 raise ValueError("the tokenizer splits words in an unforeseen way")
-            raw, last = ids.tobytes(), 0
-            for w, c in zip(part, cuts.tolist(), strict=True):
-                self.core[w] = raw[4 * last : 4 * c]
-                last = c
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.raw) > self.raw_limit:
-            self.raw = {"": b""}
-        if len(self.core) > self.core_limit:
-            self.core = {"": b""}
-        odd, even = [], []
-        for chunk in new:
-            low = chunk.lower()
-            word = low.rstrip(_MARKS)
-            if _CORE.fullmatch(word):
-                even.append((chunk, word, low[len(word) :]))
-            else:
-                odd.append(chunk)
-        missing = {x for _, w, m in even for x in (w, m)} - self.core.keys()
-        self._together(sorted(missing))
-        core = self.core
-        for chunk, word, marks in even:
-            self.raw[chunk] = core[word] + core[marks]
-        for i in range(0, len(odd), 1024):
-            part = odd[i : i + 1024]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.raw[chunk] = np.asarray(e.ids, dtype="<u4").tobytes()
+            raw = ids.tobytes()
+            self.parts.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts)), strict=True))
+
+    def _plain(self, found: list[list[str]]) -> None:
+        new = {x for x in set().union(*found) if x not in self.parts}
+        if len(self.parts) + len(new) > self.limit:
+            self.parts = {}
+            new = set().union(*found)
+        words = [x for x in new if _WORD.fullmatch(x)]
+        self._together(words)
+        self._alone(list(new.difference(words)), self.parts)
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn; memory is that of a few texts."""
-        at, group, size = 0, [], 0
+        at = 0
         while at < len(texts):
-            group, size = [], 0
+            group: list[tuple[bool, list[str]]] = []
+            size = 0
             while at < len(texts) and (not group or size < 1 << 21):
                 text = texts[at] or ""
-                group.append(text.replace("\n", " ").split(" "))
+                if _PLAIN.fullmatch(text) and "<|" not in text:
+                    group.append((True, _PARTS.findall(text.lower())))
+                else:
+                    group.append((False, text.replace("\n", " ").split(" ")))
                 size += len(text)
                 at += 1
-            seen = set()
-            for chunks in group:
-                seen.update(chunks)
-            kept = self.raw
-            new = seen - kept.keys()
-            if new:
-                if len(kept) + len(new) > self.raw_limit:
-                    self.raw = {"": b""}
-                    new = seen - {""}
-                self._learn(sorted(new))
-            get = self.raw.__getitem__
-            for chunks in group:
-                yield b"".join(map(get, chunks))
+            self._plain([x for plain, x in group if plain])
+            odd = {c for c in set().union(*(x for plain, x in group if not plain)) if c not in self.chunks}
+            if len(self.chunks) + len(odd) > self.limit // 4:
+                self.chunks = {"": b""}
+                odd = set().union(*(x for plain, x in group if not plain)) - {""}
+            self._alone(list(odd), self.chunks)
+            for plain, x in group:
+                yield b"".join(map((self.parts if plain else self.chunks).__getitem__, x))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -118,6 +112,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each worker process, kept between tasks."""
     if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
@@ -130,25 +125,28 @@ def token_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_length:
     and gives the end id alone; a null doc_id stays null; other columns are ignored."""
 
     path = tokenizer_path
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or default_tokenizer())
         end = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            out: list[tuple] = []
-            names = batch["doc_id"].tolist()
-            for doc_id, ids in zip(names, encode(batch["text"].tolist()), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * max_length)):
-                    part = ids[at : at + 4 * max_length]
-                    row = (None if pd.isna(doc_id) else int(doc_id), piece, at // 4, len(part) // 4, zlib.crc32(part))
-                    out.append((*row, np.frombuffer(part, dtype="<u4").astype("int32")) if with_ids else row)
-            columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            frame = pd.DataFrame(out, columns=columns)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, PIECES + (", ids array<int>" if with_ids else ""))
+        gc.disable()  # its rounds would walk the words remembered again and again; nothing here makes cycles
+        try:
+            for batch in batches:
+                out: list[list] = [[] for _ in names]
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * max_length)):
+                        part = ids[at : at + 4 * max_length]
+                        row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, dtype="<u4").astype("int32")] if with_ids else []))
+                        for x, v in zip(out, row, strict=True):
+                            x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(out, kinds, strict=True)], names=names)
+        finally:
+            gc.enable()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class Bins:
@@ -279,7 +277,8 @@ def pack(spark: SparkSession, pieces: DataFrame, max_length: int = MAX_LENGTH, b
     blocks = max(1, -(-short // block_size))
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "uid"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        # a null id would turn ids into floats here, so the id travels as text
+        frame = frame.sort_values(["length", "uid"], ascending=[False, True], kind="stable").reset_index(drop=True)
         bins = Bins(frame["length"].to_numpy(), max_length)
         bins.improve()
         frame["sequence_id"] = ((int(key[0]) << 24) + bins.place) * 2
@@ -287,8 +286,9 @@ def pack(spark: SparkSession, pieces: DataFrame, max_length: int = MAX_LENGTH, b
         frame["offset"] = frame.groupby("sequence_id")["length"].cumsum() - frame["length"]
         return frame[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
-    schema = PIECES + ", sequence_id long, offset long"
-    packed = staged.filter(~full).withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks))).groupBy("block").applyInPandas(one, schema)
+    schema = PIECES.replace("doc_id long", "doc_id string") + ", sequence_id long, offset long"
+    short_ones = staged.filter(~full).withColumn("doc_id", F.col("doc_id").cast("string"))
+    packed = short_ones.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks))).groupBy("block").applyInPandas(one, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
     alone = staged.filter(full).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("uid") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
 
