@@ -13,11 +13,13 @@ from strandline.llm.near_dup import op4_near_duplicates
 from strandline.llm.packing import op10_best_fit_packing
 from strandline.llm.quality import op7_weak_supervision_quality
 from strandline.llm.toxicity import op9_toxicity_ftrl
+from strandline.llm.vectors import op5_cover_tree_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_language_families": op3_language_families,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_cover_tree_links": op5_cover_tree_links,
     "op7_weak_supervision_quality": op7_weak_supervision_quality,
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,

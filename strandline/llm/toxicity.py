@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import crc_rest, map_texts, sampled, table
+from strandline.llm.common import WordTable, crc_rest, map_texts, sampled, table
 
 BITS = 20
 #: Labelled texts of each label that the model is fitted on, at most.
@@ -27,37 +28,16 @@ _WORDS = re.compile(r"\w+")
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Lengths of word beginnings that count as crude stems, beside the word itself.
 STEMS = (4, 5)
-_MOST = 400_000
-_ROWS: dict[str, int] = {}
-_TABLE = np.zeros((_MOST, 1 + len(STEMS)), dtype=np.uint64)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of each lower-case word and of its stems, a row each. Rows of words seen are kept between texts, within a bound."""
-    words = _WORDS.findall(text.lower())
-    try:
-        rows = np.fromiter(map(_ROWS.__getitem__, words), dtype=np.int64, count=len(words))
-    except KeyError:
-        new = set(words) - _ROWS.keys()
-        if len(_ROWS) + len(new) > _MOST:
-            _ROWS.clear()
-            new = set(words)
-            if len(new) > _MOST:  # one text with more words than are ever kept
-                return np.asarray([_hash(w) for w in words], dtype=np.uint64)
-        for w in new:
-            _TABLE[len(_ROWS)] = _hash(w)
-            _ROWS[w] = len(_ROWS)
-        rows = np.fromiter(map(_ROWS.__getitem__, words), dtype=np.int64, count=len(words))
-    return _TABLE[rows]
-
-
 def _hash(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed=n) for n, w in ((0, word), *((n, word[:n]) for n in STEMS))]
 
 
+_TABLE = WordTable(_hash, 1 + len(STEMS))
+
+
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Hashed ids of words and their stems, of pairs of neighbours, and of pairs with one word between; with repetitions."""
-    every = word_hashes(text or "")
+    every = _TABLE(_WORDS.findall((text or "").lower()))
     h = every[:, 0]
     down = np.uint64(64 - bits)
     parts = [(every.ravel() * _MULTIPLIERS[0]) >> down]
@@ -123,13 +103,11 @@ def fit(labelled: DataFrame, at_most: dict[int, int] | None = None, model: Ftrl
             ids = [np.unique(features(t, bits)).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": ids})
 
-    rows, labels = [], []
-    for label, most in at_most.items():
-        some = sampled(labelled.filter(F.col("toxic") == label).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "toxic", most, "doc_id")
-        got = some.mapInPandas(run, "doc_id long, toxic int, ids binary").toPandas().sort_values("doc_id", kind="stable")
-        rows += [np.frombuffer(x, dtype=np.int32) for x in got["ids"]]
-        labels += got["toxic"].tolist()
-    return model.fit(rows, np.asarray(labels, dtype=float))
+    known = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    chosen = [sampled(known.filter(F.col("toxic") == label).select("doc_id", "toxic"), "toxic", most, "doc_id") for label, most in at_most.items()]
+    some = known.drop("toxic").join(F.broadcast(reduce(DataFrame.unionByName, chosen).dropDuplicates(["doc_id"])), "doc_id")
+    got = some.mapInPandas(run, "doc_id long, toxic int, ids binary").toPandas().sort_values("doc_id", kind="stable")
+    return model.fit([np.frombuffer(x, dtype=np.int32) for x in got["ids"]], got["toxic"].to_numpy(dtype=float))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
@@ -151,19 +129,12 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
     return map_texts(docs, keep or ["doc_id"], "score double", make)
 
 
-def bounded_labels(labels: DataFrame, at_most: dict[int, int] | None = None, held_out_rest: int = 0, of: int = 5) -> DataFrame:
-    """The labels that fitting uses, chosen before any text is touched: at most a fixed number of each label."""
-    use = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_rest("doc_id", of) != held_out_rest)).dropDuplicates(["doc_id"])
-    parts = [sampled(use.filter(F.col("toxic") == label), "toxic", most, "doc_id") for label, most in (at_most or AT_MOST).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def fit_tables(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model for the tables documents and labels. The chosen labels are broadcast: sum(AT_MOST.values()) rows at most."""
-    use = bounded_labels(table(spark, sf_dir, "labels"))
+    """The model for the tables documents and labels. Which labels to use is settled before any text is read, and the
+    choice, sum(AT_MOST.values()) rows at most, is broadcast. Rows with a null label or id don't take part."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_rest("doc_id", 5) != 0)).dropDuplicates(["doc_id"])
+    use = reduce(DataFrame.unionByName, [sampled(known.filter(F.col("toxic") == label), "toxic", most, "doc_id") for label, most in AT_MOST.items()])
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fit(docs.join(F.broadcast(use), "doc_id"))
 
