@@ -12,6 +12,7 @@ from strandline.llm.mixing import OP8_SQL, op8_source_mixing
 from strandline.llm.near_dup import op4_near_duplicates
 from strandline.llm.packing import op10_best_fit_packing
 from strandline.llm.quality import op7_weak_supervision_quality
+from strandline.llm.repeats import op6_suffix_array_repeats
 from strandline.llm.toxicity import op9_toxicity_ftrl
 from strandline.llm.vectors import op5_cover_tree_links
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_families": op3_language_families,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_cover_tree_links": op5_cover_tree_links,
+    "op6_suffix_array_repeats": op6_suffix_array_repeats,
     "op7_weak_supervision_quality": op7_weak_supervision_quality,
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity_ftrl": op9_toxicity_ftrl,
