@@ -13,10 +13,12 @@ from strandline.llm.near_dup import op4_near_duplicates
 from strandline.llm.packing import op10_best_fit_packing
 from strandline.llm.quality import op7_weak_supervision_quality
 from strandline.llm.repeats import op6_suffix_array_repeats
+from strandline.llm.surrogates import op1_pii_surrogates
 from strandline.llm.toxicity import op9_toxicity_ftrl
 from strandline.llm.vectors import op5_cover_tree_links
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_line_dedup": op2_line_dedup,
     "op3_language_families": op3_language_families,
     "op4_near_duplicates": op4_near_duplicates,
@@ -29,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_line_dedup": OP2_SQL,
     "op8_source_mixing": OP8_SQL,
 }
