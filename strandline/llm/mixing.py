@@ -17,7 +17,7 @@ from strandline.llm.common import Stage, table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Default targets are the shares found, raised to this power and scaled to 1: rare values gain, frequent ones lose.
-POWER = 0.7
+POWER = 0.9
 ROUNDS = 12
 SEED = "mix-1"
 #: Cells that the driver rakes and broadcasts, at most; each is three short strings and two numbers.
