@@ -31,7 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_line_dedup": OP2_SQL,
     "op8_source_mixing": OP8_SQL,
 }

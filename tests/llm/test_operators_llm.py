@@ -1,0 +1,423 @@
+"""The corpus operators against brute force on small fixtures, and their edge cases."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from strandline.llm import language, line_dedup, mixing, near_dup, packing, quality, repeats, surrogates, toxicity, vectors
+from strandline.llm.common import Stage, components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, _hash string, label string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, data):
+    return spark.read.parquet(f"{data}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and repeated rows, clashing column names."""
+    rows = [(None, None), (1, ""), (2, "one"), (2, "one"), (None, "x y z"), (3, "\n \n"), (4, "a b c d e f g " * 300)]
+    return spark.createDataFrame([(i, t, None, None, None, "p", "q", "r") for i, t in rows], DOCS)
+
+
+class Sets:
+    def __init__(self, items):
+        self.parent = {i: i for i in items}
+
+    def root(self, x):
+        while self.parent[x] != x:
+            x = self.parent[x]
+        return x
+
+    def join(self, a, b):
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)] + [(200, k) for k in range(201, 230)]
+    sets = Sets({x for e in edges for x in e})
+    for e in edges:
+        sets.join(*e)
+    got = defaultdict(set)
+    for r in components(spark, Stage(spark), spark.createDataFrame(edges, "a long, b long"), "t").collect():
+        got[r.root].add(r.node)
+    want = defaultdict(set)
+    for x in sets.parent:
+        want[sets.root(x)].add(x)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+# 1: surrogates
+
+
+def test_surrogates_leave_nothing_and_touch_nothing_else(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in surrogates.replace_personal_data(spark, docs.select("doc_id", "text")).collect()}
+    patterns = [r"\S+@\S+\.\w+", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])", r"\+1 \(\d+\) \d+-\d+", r"\b\d{16}\b", r"\b[0-9a-fA-F]{40}\b"]
+    for p in patterns:
+        before, after = ({v for t in side for v in re.findall(p, t)} for side in (texts.values(), (r.text for r in got.values())))
+        assert before and not before & after and len({x.lower() for x in before}) == len({x.lower() for x in after})
+    assert all(r.text == texts[k] for k, r in got.items() if not r.n_entities)
+    assert any(r.n_entities for r in got.values())
+
+
+def test_surrogates_keep_gender_script_format_and_coreference(spark):
+    text = "Mrs Anna Smith met MRS ANNA SMITH and Mr Smith; Госпожа Анна Иванова; 4111 1111 1111 1111 = 4111-1111-1111-1111; A.B@X.ORG a.b@x.org; +49 (030) 555-1234"
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    out = surrogates.replace_personal_data(spark, rows).first().text
+    a, b = re.search(r"Mrs (\w+ \w+) met MRS (\w+ \w+)", out).groups()
+    assert b == a.upper() and a.split()[0].endswith("a") and a != "Anna Smith"
+    assert re.search(r"Mr (\w+);", out)[1] == a.split()[1]
+    assert re.search(r"Госпожа ([А-Я][а-я]+а [А-Я][а-я]+);", out)
+    c, d = re.search(r"(\d{4} \d{4} \d{4} \d{4}) = (\d{4}-\d{4}-\d{4}-\d{4})", out).groups()
+    assert c.replace(" ", "") == d.replace("-", "") and c[0] == "4"
+    digits = [int(x) for x in c.replace(" ", "")]
+    assert sum(x if i % 2 else sum(divmod(2 * x, 10)) for i, x in enumerate(digits)) % 10 == 0
+    e, f = re.search(r"; (\S+@\S+) (\S+@\S+);", out).groups()
+    assert e == f.upper() and f.endswith(".org")
+    assert re.search(r"\+49 \(\d{3}\) \d{3}-\d{4}$", out)
+    other = surrogates.replace_personal_data(spark, rows, key="another").first().text
+    assert other != out and surrogates.replace_personal_data(spark, rows).first().text == out
+
+
+def test_surrogates_that_clash_are_drawn_again(spark):
+    entities = spark.createDataFrame([("ssn", f"{i:09d}") for i in range(3000)], "kind string, canon string")
+    rows = surrogates.assign(Stage(spark), entities).collect()
+    assert len({r.s for r in rows}) == 3000 and not {r.s for r in rows} & {r.canon for r in rows}
+
+
+# 2: line windows
+
+
+def lines_by_hand(rows):
+    seen, out = set(), {}
+    for key, text in sorted(rows.items()):
+        lines = text.split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip(" \t\r")]
+        gone = set()
+        for a, b, c in zip(full, full[1:], full[2:], strict=False):
+            w = tuple(lines[i].strip(" \t\r") for i in (a, b, c))
+            if w in seen:
+                gone.update(range(a, c + 1))
+            seen.add(w)
+        out[key] = ("\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return out
+
+
+def test_lines(docs, spark, texts):
+    own = {i: t for i, t in enumerate(["a\nb\nc\nd", "x\na\n\nb\nc \nd\ny", "a\nb\na\nb\na\nb\na", "q", "a\nb\nc\nz\nb\nc\nd"])}
+    for rows, df in ((texts, docs.select("doc_id", "text")), (own, spark.createDataFrame(list(own.items()), "doc_id long, text string"))):
+        got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.remove_repeated_lines(df).collect()}
+        assert got == lines_by_hand(rows)
+
+
+# 3: language
+
+
+def test_language(docs, spark, data):
+    got = language.identify(docs, language.fit(docs.filter("doc_id % 4 <> 0"), at_most=200), keep=["doc_id", "lang"]).collect()
+    held = [r for r in got if r.doc_id % 4 == 0]
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.9
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_of_nothing(spark, docs, odd):
+    model = language.fit(docs, at_most=50)
+    got = {(r.doc_id, r.text): r.lang_pred for r in language.identify(odd, model, keep=["doc_id", "text", "label"]).collect()}
+    assert got[(None, None)] == got[(1, "")] == got[(3, "\n \n")] == "und" and got[(2, "one")] != "und"
+    assert language.Hierarchy({}, [], np.zeros((4, 0)), np.zeros(0), 2).predict("abc") == ("und", 0.0)
+    assert language.families_of(["en", "xx"]) == {"en": "germanic", "xx": "alone-xx"}
+
+
+# 4: near duplicates
+
+
+def classes_by_hand(rows):
+    found = {k: near_dup.shingles(near_dup.word_numbers(t)) for k, t in rows.items()}
+    sets = Sets(rows)
+    keys = [k for k in rows if len(found[k][0])]
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if near_dup.probability_jaccard(*found[a], *found[b]) >= 0.8:
+                sets.join(a, b)
+    return {k: sets.root(k) for k in rows}
+
+
+def family(n, seed=3):
+    rng = np.random.default_rng(seed)
+    out = {}
+    for i in range(n):
+        w = [f"w{k}" for k in range(200)]
+        for p in rng.choice(200, rng.integers(1, 9), replace=False):
+            w[p] = f"x{rng.integers(1 << 30)}"
+        out[i] = " ".join(w) + " foo bar foo bar foo bar" * int(rng.integers(0, 3))
+    return out
+
+
+def test_classes_of_documents(docs, spark, texts):
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, docs).collect()}
+    assert got == classes_by_hand(texts)
+
+
+@pytest.mark.parametrize(("pivots", "block"), [((1, 4), 512), ((1,), 4)])
+def test_classes_of_a_family(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(near_dup, "PIVOTS", pivots)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = family(80)
+    got = near_dup.near_duplicates(spark, spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == classes_by_hand(rows)
+    assert all(r.kept == (r.doc_id == r.class_id) for r in got)
+
+
+def test_signatures_estimate_probability_jaccard():
+    rng = np.random.default_rng(5)
+    errors = []
+    for _ in range(40):
+        x = rng.choice(1 << 40, 300, replace=False).astype(np.uint64)
+        wa, wb = rng.integers(1, 4, 300), rng.integers(1, 4, 300)
+        cut = int(rng.integers(100, 290))
+        a, b = (np.sort(x[:cut]), wa[:cut]), (np.sort(x[50:]), wb[50:])
+        a, b = (x[:cut][np.argsort(x[:cut])], wa[:cut][np.argsort(x[:cut])]), (x[50:][np.argsort(x[50:])], wb[50:][np.argsort(x[50:])])
+        same = (near_dup.signature(*a, 512) == near_dup.signature(*b, 512)).mean()
+        errors.append(same - near_dup.probability_jaccard(*a, *b))
+    assert abs(np.mean(errors)) < 0.012 and np.std(errors) < 0.04
+
+
+# 5: vectors
+
+
+def test_links_of_vectors(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8))
+    x = np.concatenate([c + 0.12 * rng.normal(size=(25, 8)) for c in centres]).astype(np.float32)
+    rows = [(i, [float(v) for v in e], i % 2) for i, e in enumerate(x)] + [(900, [float(v) for v in x[0]], 0)]
+    unit = np.asarray([e for _, e, _ in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    label = np.asarray([v for _, _, v in rows])
+    hit = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(hit, False)
+    sets = Sets([i for i, _, _ in rows])
+    ids = [i for i, _, _ in rows]
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        sets.join(ids[i], ids[j])
+    want = {k: (int(n), sets.root(k)) for k, n in zip(ids, hit.sum(axis=1), strict=True)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for block in (2048, 20):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.link_vectors(spark, df, block=block).collect()} == want
+
+
+def test_vectors_that_link_with_nothing(spark):
+    nan = float("nan")
+    rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, None, 1), (4, [0.0, 0.0], 1), (5, [1.0, None], 1), (6, [nan, 1.0], 1), (7, [2.0, 0.0], None), (8, [], 1), (9, [1.0, 0.0], 2), (10, [1.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.link_vectors(spark, df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), **{k: (0, k) for k in range(3, 11)}}
+    assert vectors.link_vectors(spark, df.limit(0)).count() == 0
+
+
+# 6: repeats
+
+
+def repeats_by_hand(rows, length=100):
+    seen, out = set(), {}
+    for key, text in sorted(rows.items()):
+        data = (text or "").encode()
+        mark = np.zeros(len(data) + 1, dtype=int)
+        for i in range(len(data) - length + 1):
+            w = data[i : i + length]
+            if w in seen:
+                mark[i] += 1
+                mark[i + length] -= 1
+            seen.add(w)
+        on = np.cumsum(mark[:-1]) > 0
+        kept = bytes(np.frombuffer(data, np.uint8)[~on])
+        out[key] = (len(data), int(on.sum()), int((np.diff(np.concatenate([[0], on.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("most", [4096, 2])
+def test_repeated_bytes(docs, spark, texts, most):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark, docs, most=most).collect()}
+    assert got == repeats_by_hand(texts)
+
+
+def test_repeats_within_texts_and_long_ones(spark):
+    rng = np.random.default_rng(2)
+    noise = "".join(rng.choice(list("abcdefgh é"), 1_200_000))
+    rows = {1: "ab" * 300, 2: "a" * 500, 3: None, 4: "", 5: "x" * 99, 6: noise, 7: noise[1_100_000:1_100_300] + "Z" + noise[5:200], 8: "ab" * 60}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark, spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == repeats_by_hand(rows)
+
+
+def test_maximal_repeats_by_hand():
+    contents = [b"xabcabcy", b"zabcabw"]
+    data = np.frombuffer(b"".join(contents), dtype=np.uint8)
+    sizes = np.asarray([len(c) for c in contents])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    order, lcp = repeats.suffix_array(data, starts, starts + sizes, int(sizes.max()))
+    before = np.full(len(data), -1, dtype=np.int64)
+    before[1:] = data[:-1]
+    before[starts] = 256 + np.arange(2)
+    whole = b"".join(contents)
+    got = {(whole[w[0] : w[0] + d], tuple(sorted(w.tolist()))) for d, w in repeats.maximal_repeats(order, lcp, before, 2)}
+    assert got == {(b"abcab", (1, 9)), (b"abc", (1, 4, 9)), (b"ab", (1, 4, 9, 12))}
+
+
+# 7: quality
+
+
+def counts_by_hand(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    covered = {j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)}
+    full = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t or ""), len(full) - len(set(full)), len(covered)
+
+
+def test_base_counts(docs, spark, texts):
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    got = {r.doc_id: tuple(r[n] for n in names) for r in quality.base_counts(docs).collect()}
+    assert got == {k: counts_by_hand(t) for k, t in texts.items()}
+    own = {1: None, 2: "", 3: "a b c d e " * 3, 4: "x\x0by\tz\r\n\nx\x0by\tz\r", 5: "    é"}
+    got = {r.doc_id: tuple(r[n] for n in names) for r in quality.base_counts(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()}
+    assert got == {k: counts_by_hand(t) for k, t in own.items()}
+
+
+def test_quality_agrees_with_labels(spark, data):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = [r for r in quality.judge(spark, docs).collect() if r.doc_id in labels and not r.base_failed]
+    good = [r.kept for r in got if labels[r.doc_id] == 1]
+    assert np.mean(good) > 0.98 and np.mean([not r.kept for r in got if labels[r.doc_id] == 0]) > 0.8
+
+
+def test_estimates_of_known_rules():
+    rng = np.random.default_rng(4)
+    truth = rng.random(4000) < 0.7
+    accuracy = [0.9, 0.8, 0.6]
+    votes = [tuple(int((1 if (rng.random() < a) == y else -1)) if rng.random() < 0.8 else 0 for a in accuracy) for y in truth]
+    prior, weights = quality.estimate(sorted(Counter(votes).items()))
+    assert abs(1 / (1 + np.exp(-prior)) - 0.7) < 0.1
+    assert weights[0][1] > weights[1][1] > weights[2][1] >= 0 >= weights[2][-1]
+    assert quality.estimate([]) == (0.0, [])
+
+
+# 8: mixing
+
+
+def test_marginals_are_met(spark, docs):
+    share = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
+    got = mixing.mix(spark, docs, targets={"lang": share}, rounds=40).toPandas()
+    got["w"] = got.n_tokens * got.probability
+    for lang, s in share.items():
+        assert abs(got.w[got.lang == lang].sum() / got.w.sum() - s) < 1e-3
+    assert got.probability.max() == 1.0 and 0 < got.kept.mean() < 1
+
+
+def test_both_ways_of_raking_agree(spark, docs):
+    a = {r.doc_id: (round(r.probability, 7), r.kept) for r in mixing.mix(spark, docs, rounds=4).collect()}
+    b = {r.doc_id: (round(r.probability, 7), r.kept) for r in mixing.mix(spark, docs, rounds=4, most_cells=0).collect()}
+    assert a == b
+
+
+# 9: toxicity
+
+
+def test_toxicity_on_held_out_labels(spark):
+    data = "/root/testdata/sf0.1"
+    model = toxicity.fit_tables(spark, data)
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    docs = spark.read.parquet(f"{data}/documents.parquet").filter("doc_id IN (" + ",".join(map(str, labels)) + ")")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    right = sorted(s for k, s in got.items() if labels[k])
+    wrong = sorted(s for k, s in got.items() if not labels[k])
+    auc = np.mean([np.searchsorted(wrong, s) / len(wrong) for s in right])
+    assert auc > 0.95 and np.mean(np.asarray(wrong) < 0.5) > 0.99 and len(model[0]) < 5000
+
+
+def test_toxicity_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    ids, _, bias = toxicity.fit(none)
+    assert len(ids) == 0 and bias == 0.0
+
+
+# 10: packing
+
+
+def test_tokens_are_the_tokenizers(docs, spark, texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    own = {10_000 + i: t for i, t in enumerate(["It's l'été 123,456 cœur STRASSE ß ÀÉ", "a\x1cb\tc", "<|endoftext|>hi <|x", "éte´ İstanbul ΣΑΣ", None, "", " \n"])}
+    rows = {**dict(list(texts.items())[:40]), **own}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = packing.pack_documents(spark, df, max_length=512, block_size=30).toPandas()
+    for k, t in rows.items():
+        ids = np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        part = got[got.doc_id == k].sort_values("piece")
+        assert part.length.tolist() == [min(512, len(ids) - s) for s in range(0, len(ids), 512)]
+        assert part.start.tolist() == list(range(0, len(ids), 512))
+        assert part.ids_crc32.tolist() == [zlib.crc32(ids[s : s + 512].tobytes()) for s in part.start]
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 512
+    whole = {r.sequence_id: r.input_ids for r in packing.packed_sequences(df, spark.createDataFrame(got), max_length=512).collect()}
+    for r in got.itertuples():
+        part = whole[r.sequence_id][r.offset : r.offset + r.length]
+        assert zlib.crc32(np.asarray(part, dtype="<u4").tobytes()) == r.ids_crc32
+
+
+def test_local_search_empties_bins():
+    # best fit leaves 7 + 3 | 6 + 4 style rooms that only exchanges close
+    rng = np.random.default_rng(8)
+    better = 0
+    for _ in range(60):
+        lengths = rng.integers(20, 55, 90)
+        bins = packing.Bins(lengths, 100)
+        before, fills = (bins.free < 100).sum(), ((100 - bins.free) ** 2).sum()
+        emptied = bins.improve()
+        used = np.bincount(bins.place, weights=lengths, minlength=len(bins.free))
+        assert (used <= 100).all() and (100 - bins.free == used).all() and ((100 - bins.free) ** 2).sum() >= fills
+        assert (used > 0).sum() == before - emptied >= -(-lengths.sum() // 100)
+        better += emptied
+    assert better > 0
+
+
+# every operator on odd and on empty tables
+
+
+def test_odd_rows(spark, odd):
+    n = odd.count()
+    clean = surrogates.replace_personal_data(spark, odd)
+    assert clean.count() == n and set(clean.columns) == {*odd.columns, "n_entities"}
+    cut = line_dedup.remove_repeated_lines(odd)
+    assert cut.count() == n and {r.text for r in cut.filter("doc_id IS NULL").collect()} == {None, "x y z"}
+    got = near_dup.near_duplicates(spark, odd, keep=["doc_id", "_id", "label"]).collect()
+    assert len(got) == n and sorted(r.kept for r in got if r.doc_id == 2) == [False, True]
+    assert repeats.remove_repeats(spark, odd).count() == n
+    assert quality.judge(spark, odd, keep=["doc_id", "_hash"]).filter("NOT base_failed").count() == 0
+    assert mixing.mix(spark, odd).count() == n
+    assert packing.pack_documents(spark, odd).select("doc_id").distinct().count() == 5
+    assert toxicity.score(odd, (np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0), keep=["doc_id", "label"]).count() == n
+
+
+def test_empty_tables(spark, odd):
+    none = odd.limit(0)
+    for f in (surrogates.replace_personal_data, near_dup.near_duplicates, repeats.remove_repeats, quality.judge, mixing.mix, packing.pack_documents):
+        assert f(spark, none).count() == 0
+    assert line_dedup.remove_repeated_lines(none).count() == 0
