@@ -62,16 +62,17 @@ def overlap_path(a: str, b: str, k: int, error_rate: float, min_overlap: int) ->
 
 def right_shifted(a: str, script: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
     """Deletions and insertions within a run of one base move to the run's end, so equal edits meet."""
-    out = []
-    for p, op, c in script:
+    out, limit = [], len(a)
+    for p, op, c in reversed(script):  # no edit passes the one after it
         if op == "D":
-            while p + 1 < len(a) and a[p + 1] == c:
+            while p + 1 < limit and a[p + 1] == c:
                 p += 1
         elif op == "I":
-            while p < len(a) and a[p] == c:
+            while p < limit and a[p] == c:
                 p += 1
         out.append((p, op, c))
-    return sorted(out, key=lambda x: x[0])
+        limit = p
+    return out[::-1]
 
 
 def path_nodes(a: str, start: int, end: int, script: list[tuple[int, str, str]]) -> list[Node]:

@@ -11,7 +11,8 @@ import os
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -151,9 +152,7 @@ def read_fastx(spark: SparkSession, *paths: str) -> DataFrame:
     files = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
 
     @F.pandas_udf("array<struct<read_id:bigint,info:string,seq:string,qual_info:string,qual:string>>")
-    def records(value: Column) -> Column:
-        import pandas as pd
-
+    def records(value: pd.Series) -> pd.Series:
         names = ("read_id", "info", "seq", "qual_info", "qual")
         return pd.Series([[dict(zip(names, (i, *r), strict=True)) for i, r in enumerate(parse(v.split("\n")))] for v in value])
 

@@ -12,9 +12,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores is dealt anew, once its columns are small."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def reads(spark: SparkSession, sf_dir: str, unknown: str = "") -> DataFrame:
     """(read_id, seq): the bases of each document."""
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), normalize(F.col("text"), unknown).alias("seq"))
+    return _spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), normalize(F.col("text"), unknown).alias("seq")))
 
 
 def quality_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
