@@ -5,10 +5,11 @@ far as their probability Jaccard similarity says. Each shingle sends a Poisson p
 its weight, to random registers; a register keeps the shingle that arrives first, and a shingle stops as soon as its
 next arrival is later than every register's first. The share of equal registers estimates the similarity.
 
-Texts with the same words in the same order are one node from the start. Nodes meet in buckets of equal bands; instead of
-all pairs of a bucket, its members are compared with pivots, 1, then 4, then 16 ... of them, until all members of the
-bucket are known to be connected or every one has been a pivot. So groups of copies cost a few comparisons a member, and
-no link that a bucket holds between different components is missed. Links are those of exact similarity >= 0.8.
+Texts with the same words in the same order are one node from the start. Nodes meet in buckets of equal bands. All
+members of a bucket are first compared with one, then with four pivots, those that share most buckets with others; that
+joins groups of copies at a few comparisons a member. Buckets whose members are all connected by then are settled. The
+rest is compared in blocks: tasks of bounded size that report edges which connect what they find linked, not the links.
+Links are those of exact similarity >= 0.8; none that a bucket holds between different components is missed.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,7 +31,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares none of the bands with a probability of (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
-PIVOTS_GROW = 4
+#: Pivots of each bucket in the rounds before what is left is compared in blocks of BLOCK members.
+PIVOTS = (1, 4)
+BLOCK = 512
 
 _WORDS = re.compile(r"\w+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -154,6 +158,109 @@ def _verify(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
     return _linked(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_ids", "a_counts", "b_ids", "b_counts"), threshold)
 
 
+def _block_links(frame: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """Edges that connect what is linked between the two sides of a frame (one side: within it), never all links. Pairs
+    of one label need no comparison; signatures rule out pairs that would be six standard errors off."""
+    a = frame[frame["side"] == 0]
+    same = len(a) == len(frame)
+    b = a if same else frame[frame["side"] == 1]
+    if not len(a) or not len(b):
+        return []
+
+    def read(x: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray | None]]:
+        sigs = np.stack([np.frombuffer(v, dtype=np.uint32) for v in x["sig"]])
+        return sigs, [np.frombuffer(v, dtype=np.uint64) for v in x["ids"]], [None if v is None else np.frombuffer(v, dtype="<u4") for v in x["counts"]]
+
+    sa, xa, na = read(a)
+    sb, xb, nb = (sa, xa, na) if same else read(b)
+    ua, ub, la, lb = a["uid"].to_numpy(), b["uid"].to_numpy(), a["label"].to_numpy(), b["label"].to_numpy()
+    equal = np.zeros((len(a), len(b)), dtype=np.int16)
+    for r in range(sa.shape[1]):
+        equal += sa[:, r][:, None] == sb[:, r][None, :]
+    m = sa.shape[1]
+    able = (equal >= m * threshold - 6 * math.sqrt(m * threshold * (1 - threshold))) & (la[:, None] != lb[None, :])
+    if same:
+        able &= np.triu(np.ones_like(able), 1).astype(bool)
+    if not able.any():
+        return []
+    linked = np.zeros_like(able)
+    flat_a, flat_b = np.asarray([n is None for n in na]), np.asarray([n is None for n in nb])
+    plain = able & flat_a[:, None] & flat_b[None, :]
+    if plain.any():  # without repeated shingles the similarity is the plain Jaccard of sets: one product for all pairs
+        every, inverse = np.unique(np.concatenate(xa + ([] if same else xb)), return_inverse=True)
+        shared = np.bincount(inverse, minlength=len(every)) > 1
+        column = np.cumsum(shared) - 1
+        n_columns = int(shared.sum())
+
+        def rows_of(xs: list[np.ndarray], at: int) -> list[np.ndarray]:
+            out = []
+            for x in xs:
+                k = inverse[at : at + len(x)]
+                out.append(column[k[shared[k]]])
+                at += len(x)
+            return out
+
+        ca = rows_of(xa, 0)
+        cb = ca if same else rows_of(xb, sum(map(len, xa)))
+        common = np.zeros(able.shape, dtype=np.float32)
+        for low in range(0, n_columns, 8192):
+            width = min(8192, n_columns - low)
+
+            def dense(cs: list[np.ndarray], low: int = low, width: int = width) -> np.ndarray:
+                out = np.zeros((len(cs), width), dtype=np.float32)
+                for i, c in enumerate(cs):
+                    out[i, c[(c >= low) & (c < low + width)] - low] = 1
+                return out
+
+            da = dense(ca)
+            common += da @ (da if same else dense(cb)).T
+        size_a, size_b = np.asarray([len(x) for x in xa]), np.asarray([len(x) for x in xb])
+        linked |= plain & (common / (size_a[:, None] + size_b[None, :] - common) >= threshold)
+    ones = lambda x, n: n if n is not None else np.ones(len(x))
+    for i, j in zip(*np.nonzero(able & ~plain), strict=True):
+        linked[i, j] = probability_jaccard(xa[i], ones(xa[i], na[i]), xb[j], ones(xb[j], nb[j])) >= threshold
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = root(int(la[i])), root(int(lb[j]))
+        if x != y:
+            parent[x] = y
+            edges.append((int(ua[i]), int(ub[j])))
+    return edges
+
+
+def _in_blocks(stage: Stage, now: DataFrame, rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among the members (bucket, uid, label) of buckets that pivots didn't settle. Buckets that share
+    members are one community; its members are dealt to blocks, those of its commonest label apart from the rest, and
+    each two blocks that can hold a link between labels meet in one task."""
+    spark = stage.spark
+    hub = now.groupBy("bucket").agg(F.min("uid").alias("b"))
+    roots = components(spark, stage, now.join(hub, "bucket").select(F.col("uid").alias("a"), "b"), "communities")
+    members = stage.write(now.select("uid", "label").distinct().join(roots.select(F.col("node").alias("uid"), F.col("root").alias("c")), "uid"), "members")
+    per_label = members.groupBy("c", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = per_label.groupBy("c").agg(F.max(F.struct("n", "label")).alias("t"), F.sum("n").alias("all"))
+    shape = top.select("c", F.col("t.label").alias("top"), F.ceil(F.col("t.n") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("all") - F.col("t.n")) / BLOCK).cast("int").alias("n_rest"))
+    dealt = members.join(shape, "c").filter("n_rest > 0")
+    # blocks of the commonest label count from 0, the others' from n_top; (i, j) with i <= j names a task
+    mine = F.when(F.col("label") == F.col("top"), F.pmod(F.xxhash64("uid"), F.col("n_top"))).otherwise(F.col("n_top") + F.pmod(F.xxhash64("uid"), F.col("n_rest"))).cast("int")
+    dealt = dealt.withColumn("k", mine)
+    meets = F.when(F.col("k") < F.col("n_top"), F.sequence(F.col("n_top"), F.col("n_top") + F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_top") + F.col("n_rest") - 1))
+    dealt = dealt.select("c", "uid", "label", "k", F.explode(meets).alias("x")).select("c", "uid", "label", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side"))
+    content = known.join(rows.select("uid", "sig"), "uid")
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_block_links(frame, threshold), columns=["a", "b"]).astype("int64")
+
+    return dealt.join(content, "uid").groupBy("c", "i", "j").applyInPandas(meet, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY, keep: list[str] | None = None) -> DataFrame:
     """Rows (*keep, class_id, kept) for docs (doc_id, text, and what else is to be kept): class_id is the least doc_id of
     the documents connected by links, kept is true for the first document of each class (least doc_id, then row).
@@ -180,32 +287,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     known = stage.write(_shingle_rows(rows.select("uid", F.col("c1").alias("text")).join(some, "uid", "left_semi")), "shingles")
 
     labels = None
-    k, pivots = 0, 1
-    while not members.isEmpty():
+
+    def merged(k: int, now: DataFrame, links: DataFrame) -> DataFrame | None:
+        """Labels after the links found in round k."""
+        if links.isEmpty():
+            return labels
+        old = now.select("uid", "label").distinct()
+        ends = links.join(old.select(F.col("uid").alias("a"), F.col("label").alias("la")), "a").join(old.select(F.col("uid").alias("b"), F.col("label").alias("lb")), "b")
+        roots = components(spark, stage, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), f"round{k}")
+        before = some.withColumn("label", F.col("uid")) if labels is None else labels
+        return stage.write(before.join(roots.select(F.col("node").alias("label"), "root"), "label", "left").select("uid", F.coalesce("root", "label").alias("label")), f"labels{k}")
+
+    def unsettled(k: int) -> DataFrame:
+        """Members of buckets that hold different labels, and how many of the bucket's members share buckets with each."""
         now = members.withColumn("label", F.col("uid")) if labels is None else members.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("label", "uid").alias("label"))
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-        now = stage.write(now.join(mixed, "bucket"), f"mixed{k}")
-        order = F.xxhash64(F.lit(k), "uid")
+        mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+        now = now.join(mixed.select("bucket", "n"), "bucket")
+        central = now.groupBy("uid").agg(F.sum("n").alias("central"))
+        return stage.write(now.select("bucket", "uid", "label").join(central, "uid"), f"mixed{k}")
+
+    for k, pivots in enumerate(PIVOTS):
+        now = unsettled(k)
+        if now.isEmpty():
+            break
+        # who shares most buckets with others is likely to be what the others are copies of
+        order = F.struct((-F.col("central")).alias("c"), F.xxhash64("uid").alias("h"), F.col("uid"), F.col("label"))
         if pivots == 1:
-            chosen = now.groupBy("bucket").agg(F.min(F.struct(order.alias("h"), F.col("uid"), F.col("label"))).alias("p")).select("bucket", F.col("p.uid").alias("b"), F.col("p.label").alias("b_label"))
+            chosen = now.groupBy("bucket").agg(F.min(order).alias("p"))
         else:
-            w = Window.partitionBy("bucket").orderBy(order, "uid")
-            chosen = now.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= pivots).select("bucket", F.col("uid").alias("b"), F.col("label").alias("b_label"))
-        chosen = stage.write(chosen, f"pivots{k}")
+            w = Window.partitionBy("bucket").orderBy("p")
+            chosen = now.select("bucket", order.alias("p")).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= pivots)
+        chosen = stage.write(chosen.select("bucket", F.col("p.uid").alias("b"), F.col("p.label").alias("b_label")), f"pivots{k}")
         pairs = now.join(chosen, "bucket").filter("label <> b_label").select(F.col("uid").alias("a"), "b").distinct()
-        links = stage.write(_verify(pairs, known, threshold), f"links{k}")
-        if not links.isEmpty():
-            old = now.select("uid", "label").distinct()
-            ends = links.join(old.select(F.col("uid").alias("a"), F.col("label").alias("la")), "a").join(old.select(F.col("uid").alias("b"), F.col("label").alias("lb")), "b")
-            roots = components(spark, stage, ends.select(F.col("la").alias("a"), F.col("lb").alias("b")), f"round{k}")
-            roots = roots.select(F.col("node").alias("label"), F.col("root"))
-            before = some.withColumn("label", F.col("uid")) if labels is None else labels
-            labels = stage.write(before.join(roots, "label", "left").select("uid", F.coalesce("root", "label").alias("label")), f"labels{k}")
-        rest = now.select("bucket", "uid").join(chosen.select("bucket", F.col("b").alias("uid")), ["bucket", "uid"], "left_anti")
-        # a bucket's pivots have met all its members; with under two others left there is nothing more to compare
-        members = stage.write(rest, f"members{k + 1}")
-        stage.drop(f"members{k}")
-        k, pivots = k + 1, pivots * PIVOTS_GROW
+        labels = merged(k, now, stage.write(_verify(pairs, known, threshold), f"links{k}"))
+        # a pivot has met all members of its bucket
+        members = stage.write(now.select("bucket", "uid").join(chosen.select("bucket", F.col("b").alias("uid")), ["bucket", "uid"], "left_anti"), f"members{k + 1}")
+    else:
+        now = unsettled(len(PIVOTS))
+        if not now.isEmpty():
+            labels = merged(len(PIVOTS), now, stage.write(_in_blocks(stage, now, rows, known, threshold), "links"))
 
     found = nodes.withColumn("uid", F.col("first.uid"))
     found = found.withColumn("label", F.col("uid")) if labels is None else found.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
