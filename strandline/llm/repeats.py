@@ -81,54 +81,52 @@ def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes that start in [starts, ends) of each segment in order of their bytes up to the segment's end, and the
-    common-prefix length of each with the one before it. By prefix doubling: ranks of 8 bytes, then of twice as many.
-    Bytes after a segment's end count as less than any byte and equal to nothing."""
+def suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of at least `least` bytes of each segment [start, end), in order of their bytes up to the segment's
+    end, and the common-prefix length of each with the one before it. Ranks of 7 bytes are doubled to ranks of 56 for all
+    suffixes; those that count are then ranked 56 bytes further at a time. A suffix that ends sorts before longer ones."""
     n = len(data)
-    owner_end = np.repeat(ends, ends - starts)
-    rank = np.zeros(n + 1, dtype=np.int64)
-    # ends differ from bytes and from each other segment's: they sort by their place
-    value = np.zeros(n + 8, dtype=np.uint64)
-    value[:n] = data
+    left = np.repeat(ends, ends - starts) - np.arange(n)
+    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
     packed = np.zeros(n, dtype=np.uint64)
-    left = owner_end - np.arange(n)
-    for j in range(7):  # seven bytes and how many there are
-        packed = (packed << np.uint64(8)) | np.where(left > j, value[j : j + n], 0).astype(np.uint64)
+    for j in range(7):
+        packed = (packed << np.uint64(8)) | padded[j : j + n]
+    few = np.flatnonzero(left < 7)
+    gone = (8 * (7 - left[few])).astype(np.uint64)
+    packed[few] = (packed[few] >> gone) << gone
     packed = (packed << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-    _, inverse = np.unique(packed, return_inverse=True)
-    rank[:n] = inverse + 1
+
+    def ranks(x: np.ndarray) -> np.ndarray:
+        return np.unique(x, return_inverse=True)[1] + 1
+
+    rank = np.append(ranks(packed), 0)
     width = 7
-    while width < depth:
+    while width < min(depth, 56):
         ahead = np.zeros(n, dtype=np.int64)
-        inside = left > width
-        ahead[inside] = rank[np.flatnonzero(inside) + width]
-        _, inverse = np.unique(rank[:n] * (n + 2) + ahead, return_inverse=True)
-        rank[:n] = inverse + 1
-        if inverse.max() == n - 1:
-            break
+        inside = np.flatnonzero(left > width)
+        ahead[inside] = rank[inside + width]
+        rank[:n] = ranks(rank[:n] * (n + 2) + ahead)
         width *= 2
-    order = np.argsort(rank[:n], kind="stable")
+    chosen = np.flatnonzero(left >= least)
+    own, step = rank[chosen], width
+    while width < depth and len(chosen):
+        ahead = np.where(left[chosen] > width, rank[np.minimum(chosen + width, n)], 0)
+        own = ranks(own * (n + 2) + ahead)
+        width += step
+    order = chosen[np.argsort(own, kind="stable")]
+    lcp = np.zeros(len(order), dtype=np.int64)
     a, b = order[:-1], order[1:]
-    # two suffixes in a row share a prefix; its length is found by comparing growing blocks
-    lcp = np.zeros(n, dtype=np.int64)
-    alive = np.arange(len(a))
     room = np.minimum(left[a], left[b])
-    at = np.zeros(len(a), dtype=np.int64)
-    padded = np.concatenate([data, np.zeros(16, dtype=np.uint8)])
-    words = np.zeros(n + 8, dtype=np.uint64)
+    words = np.zeros(n + 1, dtype=np.uint64)
     for j in range(8):
-        words[: n + 8] |= padded[j : j + n + 8].astype(np.uint64) << np.uint64(8 * j)
-    while len(alive):
+        words |= padded[j : j + n + 1].astype(np.uint64) << np.uint64(8 * j)
+    at, alive = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+    while len(alive):  # eight bytes at a time
         x = words[np.minimum(a[alive] + at[alive], n)] ^ words[np.minimum(b[alive] + at[alive], n)]
-        same = np.full(len(alive), 8, dtype=np.int64)
-        low = x & (~x + np.uint64(1))
-        nz = x != 0
-        same[nz] = (np.log2(low[nz].astype(np.float64)).astype(np.int64)) // 8
-        at[alive] += same
-        over = at[alive] >= room[alive]
-        at[alive] = np.minimum(at[alive], room[alive])
-        alive = alive[(same == 8) & ~over]
+        low = (x & (~x + np.uint64(1))).astype(np.float64)
+        low[x == 0] = 2.0**64
+        at[alive] = np.minimum(at[alive] + np.log2(low).astype(np.int64) // 8, room[alive])
+        alive = alive[(x == 0) & (at[alive] < room[alive])]
     lcp[1:] = at
     return order, lcp
 
@@ -160,7 +158,7 @@ def repeated_starts(contents: list[bytes], rank: np.ndarray, length: int) -> lis
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     ends = starts + sizes
     owner = np.repeat(np.arange(len(contents)), sizes)
-    order, lcp = suffix_array(data, starts, ends, int(sizes.max()))
+    order, lcp = suffix_array(data, starts, ends, int(sizes.max()), length)
     before = np.full(len(data), -1, dtype=np.int64)
     before[1:] = data[:-1]
     before[starts] = 256 + np.arange(len(starts))
@@ -279,6 +277,16 @@ def _by_hashes(contents: DataFrame, length: int) -> DataFrame:
     return strings.join(first, ["w1", "w2"]).filter(F.struct("uid", "s") > F.col("first")).select("uid", "s", (F.col("s") + length).alias("e"))
 
 
+def merged_spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
+    """Unions of spans that overlap or touch, in order."""
+    if not len(s):
+        return []
+    order = np.argsort(s, kind="stable")
+    s, reach = s[order], np.maximum.accumulate(e[order])
+    first = np.append(True, s[1:] > reach[:-1])
+    return list(zip(s[first].tolist(), reach[np.append(np.flatnonzero(first)[1:] - 1, len(s) - 1)].tolist(), strict=True))
+
+
 def repeat_spans(stage: Stage, numbered: DataFrame, packed: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
     """(uid, s, e): bytes to remove, overlapping pieces of them."""
     plain = numbered.select("uid", "text")
@@ -319,14 +327,12 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, m
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[list] = [[] for _ in kinds]
-            for doc_id, z, w in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            lists = batch.column(2)
+            at, all_s, all_e = lists.offsets.to_numpy(), *(lists.values.field(i).to_numpy() for i in range(2))
+            some = lists.is_valid().to_pylist()
+            for i, (doc_id, z) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 data = open_.decompress(z)
-                merged: list[list[int]] = []
-                for s, e in sorted((x["s"], x["e"]) for x in w or ()):
-                    if merged and s <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], e)
-                    else:
-                        merged.append([s, e])
+                merged = merged_spans(all_s[at[i] : at[i + 1]], all_e[at[i] : at[i + 1]]) if some[i] else []
                 kept = b"".join(data[s:e] for s, e in zip([0, *(e for _, e in merged)], [*(s for s, _ in merged), len(data)], strict=True))
                 row = [doc_id, len(data), len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()]
                 for x, v in zip(out, row + ([[{"s": s, "e": e} for s, e in merged], kept] if with_text else []), strict=True):
