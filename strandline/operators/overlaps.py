@@ -30,17 +30,24 @@ def window_parts(reads: DataFrame, k: int) -> DataFrame:
     return rows.select("read_id", "win", "start", "parts", part(0).alias("p1"), part(1).alias("p2"), F.when(F.col("parts") == 3, part(2)).alias("p3"))
 
 
-def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, by: Column | None = None) -> DataFrame:
+def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, by: Column | None = None, outer: bool = False) -> DataFrame:
     """(read_id, win, cand_id, cand_strand, side, ref_pos, query_pos, errors) of all seeds with up to max_errors errors.
 
     index: explode_kmers with a context of k. In windows of three the middle k-mer is equal and the k-mer to its right
-    (side 'R') or left ('L') may differ; in windows of two one of them is equal and the other may differ."""
+    (side 'R') or left ('L') may differ; in windows of two one of them is equal and the other may differ. With outer, an
+    outer k-mer of a window of three may be the equal one too and the middle one differ (without errors it is a seed of
+    the middle k-mer already)."""
     three = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p2").alias("kmer"), F.col("p1").alias("left"), F.col("p3").alias("right"), F.lit(k).alias("at"))
     first = windows.filter("parts = 2").select("read_id", "win", "start", F.col("p1").alias("kmer"), F.lit(None).cast("string").alias("left"), F.col("p2").alias("right"), F.lit(0).alias("at"))
     second = windows.filter("parts = 2").select("read_id", "win", "start", F.col("p2").alias("kmer"), F.col("p1").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(k).alias("at"))
     entries = index.select("kmer", F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), "pos", "left_ctx", "right_ctx")
-    hits = three.unionByName(first).unionByName(second).join(entries, "kmer")
-    side = lambda name, errors, pos, at: F.when(errors <= max_errors, F.struct(F.lit(name).alias("side"), pos.alias("ref_pos"), at.alias("query_pos"), errors.alias("errors")))
+    parts = three.unionByName(first).unionByName(second).withColumn("least", F.lit(0))
+    if outer and max_errors:
+        begin = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p1").alias("kmer"), F.lit(None).cast("string").alias("left"), F.col("p2").alias("right"), F.lit(0).alias("at"), F.lit(1).alias("least"))
+        end = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p3").alias("kmer"), F.col("p2").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(2 * k).alias("at"), F.lit(1).alias("least"))
+        parts = parts.unionByName(begin).unionByName(end)
+    hits = parts.join(entries, "kmer")
+    side = lambda name, errors, pos, at: F.when((errors <= max_errors) & (errors >= F.col("least")), F.struct(F.lit(name).alias("side"), pos.alias("ref_pos"), at.alias("query_pos"), errors.alias("errors")))
     right = side("R", hamming(F.col("right"), F.col("right_ctx")), F.col("pos"), F.col("start") + F.col("at"))
     left = side("L", hamming(F.col("left"), F.col("left_ctx")), F.col("pos") - k, F.col("start") + F.col("at") - k)
     found = hits.select("read_id", "win", "cand_id", "cand_strand", F.explode(F.filter(F.array(right, left), lambda x: x.isNotNull())).alias("x"))

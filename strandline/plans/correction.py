@@ -32,6 +32,7 @@ class Options:
     trim_factor: float = 2.5
     use_quality: bool = True
     both_strands: bool = True
+    outer_seeds: bool = True
 
 
 def derived(options: Options, mean_length: int, num_kmers: int, coverage: float | None, kmer_factor: int = 1000) -> Options:
@@ -54,7 +55,7 @@ def stranded(reads: DataFrame, options: Options) -> DataFrame:
 def find_candidates(reads: DataFrame, both: DataFrame, options: Options) -> DataFrame:
     k = options.kmer
     index = overlaps_index(both, options)
-    found = overlaps.seeds(overlaps.window_parts(reads, k), index, k, options.kmer_errors)
+    found = overlaps.seeds(overlaps.window_parts(reads, k), index, k, options.kmer_errors, outer=options.outer_seeds)
     found = overlaps.escalate(found, options.kmer_errors, options.max_kmer_results)
     cands = overlaps.candidates(found, reads, both, options.min_overlap, options.min_overlap_share)
     return overlaps.without_self(cands)

@@ -15,6 +15,8 @@ from strandline.sources import fastx, tables
 
 K = 9
 OPTIONS = Options(kmer=K)
+# The SQL of the seeds, and of what is counted on them, has the middle k-mer's seeds only; see the README.
+MIDDLE = Options(kmer=K, outer_seeds=False)
 SLOTS = 5
 RESULTS = 30
 
@@ -353,7 +355,7 @@ def hamming_best_shift(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT read_id, pos, base, round(w, 6) AS w FROM votes")
 def hamming_votes(spark: SparkSession, d: str) -> DataFrame:
     reads, both = _both(spark, d)
-    return consensus.votes(hamming_overlaps(reads, both, OPTIONS), reads, both).withColumn("w", F.round("w", 6))
+    return consensus.votes(hamming_overlaps(reads, both, MIDDLE), reads, both).withColumn("w", F.round("w", 6))
 
 
 @query("SELECT read_id, pos, CASE WHEN own_w >= 100 OR own_w >= best_w THEN own ELSE best_base END AS base FROM called")
