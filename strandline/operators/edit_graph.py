@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.distance import edit_script, extend, extend_back
+from strandline.operators.distance import EDIT, edit_script, extend, extend_back
 
 Node = tuple[int, int, str]  # place, number of the inserted base before it (-1: the place itself), base
 
@@ -39,15 +39,15 @@ def common_seed(a: str, b: str, k: int) -> tuple[int, int, int]:
     return best
 
 
-def overlap_path(a: str, b: str, k: int, error_rate: float, min_overlap: int) -> tuple[int, int, list[tuple[int, str, str]], int, int] | None:
+def overlap_path(a: str, b: str, k: int, error_rate: float, min_overlap: int, mode: str = EDIT) -> tuple[int, int, list[tuple[int, str, str]], int, int] | None:
     """(start and end in a, script with places in a, errors, allowed) of b's overlap with a, None if there is none that is
     good enough."""
     i, j, n = common_seed(a, b, k)
     if not n:
         return None
     limit = int(error_rate * min(len(a), len(b)))
-    d1, la1, lb1 = extend_back(a[:i], b[:j], limit)
-    d2, la2, lb2 = extend(a[i + n :], b[j + n :], limit)
+    d1, la1, lb1 = extend_back(a[:i], b[:j], limit, mode)
+    d2, la2, lb2 = extend(a[i + n :], b[j + n :], limit, mode)
     if d1 < 0 or d2 < 0:
         return None
     size = la1 + n + la2
@@ -55,8 +55,8 @@ def overlap_path(a: str, b: str, k: int, error_rate: float, min_overlap: int) ->
     if d1 + d2 > allowed or size - d1 - d2 < min_overlap:
         return None
     start = i - la1
-    script = [(start + p, op, c) for p, op, c in edit_script(a[start:i], b[j - lb1 : j])]
-    script += [(i + n + p, op, c) for p, op, c in edit_script(a[i + n : i + n + la2], b[j + n : j + n + lb2])]
+    script = [(start + p, op, c) for p, op, c in edit_script(a[start:i], b[j - lb1 : j], mode)]
+    script += [(i + n + p, op, c) for p, op, c in edit_script(a[i + n : i + n + la2], b[j + n : j + n + lb2], mode)]
     return start, i + n + la2, script, d1 + d2, allowed
 
 
@@ -129,10 +129,10 @@ def best_path(a: str, paths: list[tuple[float, list[Node]]]) -> str:
     return "".join(reversed(out))
 
 
-def correct_read(a: str, others: list[str], k: int, error_rate: float, min_overlap: int, min_weight: float = 0.0) -> str:
+def correct_read(a: str, others: list[str], k: int, error_rate: float, min_overlap: int, min_weight: float = 0.0, mode: str = EDIT) -> str:
     paths = []
     for b in others:
-        found = overlap_path(a, b, k, error_rate, min_overlap)
+        found = overlap_path(a, b, k, error_rate, min_overlap, mode)
         if found:
             start, end, script, errors, allowed = found
             w = 1.0 if allowed <= 0 else 1 - (1 - min_weight) * math.sqrt(errors / allowed)
@@ -141,7 +141,7 @@ def correct_read(a: str, others: list[str], k: int, error_rate: float, min_overl
     return best_path(a, paths)
 
 
-def correct_edit(cands: DataFrame, reads: DataFrame, stranded: DataFrame, k: int, error_rate: float, min_overlap: int) -> DataFrame:
+def correct_edit(cands: DataFrame, reads: DataFrame, stranded: DataFrame, k: int, error_rate: float, min_overlap: int, min_weight: float = 0.0, mode: str = EDIT) -> DataFrame:
     """(read_id, seq): each read with its candidates' sequences (capped before, so a row is bounded) in one kernel call."""
     b = stranded.select(F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), F.col("seq").alias("b"))
     lists = cands.join(b, ["cand_id", "cand_strand"]).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("max_overlap")).alias("o"), "cand_id", "cand_strand", "b"))).alias("l"))
@@ -149,6 +149,6 @@ def correct_edit(cands: DataFrame, reads: DataFrame, stranded: DataFrame, k: int
 
     @F.pandas_udf("string")
     def fix(seq: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([correct_read(a, list(o) if o is not None else [], k, error_rate, min_overlap) for a, o in zip(seq, others, strict=True)])
+        return pd.Series([correct_read(a, list(o) if o is not None else [], k, error_rate, min_overlap, min_weight, mode) for a, o in zip(seq, others, strict=True)])
 
     return rows.select("read_id", fix("seq", "others").alias("seq"))

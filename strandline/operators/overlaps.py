@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import hamming, max_overlap
+from strandline.operators.distance import EDIT, HAMMING
 
 
 def query_windows(reads: DataFrame, k: int) -> DataFrame:
@@ -30,10 +31,27 @@ def window_parts(reads: DataFrame, k: int) -> DataFrame:
     return rows.select("read_id", "win", "start", "parts", part(0).alias("p1"), part(1).alias("p2"), F.when(F.col("parts") == 3, part(2)).alias("p3"))
 
 
-def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, by: Column | None = None, outer: bool = False) -> DataFrame:
+def context_errors(part: str, context: str, k: int, max_errors: int, mode: str) -> Column:
+    """Errors of a k-mer against the context beside an equal k-mer (left ones end at it). Edits: the fewest over all
+    lengths of context that max_errors insertions or deletions could leave."""
+    if mode == HAMMING:
+        return hamming(F.col(part), F.col(context))
+    cut = "right" if context == "left_ctx" else "left"
+    if mode == EDIT:
+        return F.expr(f"array_min(transform(sequence({max(0, k - max_errors)}, {k + max_errors}), n -> levenshtein({part}, {cut}({context}, n))))")
+    # without substitutions the distance follows from the longest common subsequence, whose rows a fold carries
+    flip = "reverse" if cut == "right" else ""
+    row = f"""transform(sequence(0, {k + max_errors}), x -> x)"""
+    step = f"""aggregate(sequence(1, {k + max_errors}), array(r[0] + 1), (a, j) -> array_append(a, least(r[j] + 1, a[j - 1] + 1,
+        r[j - 1] + CASE WHEN substr({flip}({part}), i, 1) = substr({flip}({context}), j, 1) THEN 0 ELSE 2 END)))"""
+    return F.expr(f"CASE WHEN {part} IS NOT NULL THEN array_min(aggregate(sequence(1, {k}), {row}, (r, i) -> {step})) END")
+
+
+def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, by: Column | None = None, outer: bool = False, mode: str = HAMMING) -> DataFrame:
     """(read_id, win, cand_id, cand_strand, side, ref_pos, query_pos, errors) of all seeds with up to max_errors errors.
 
-    index: explode_kmers with a context of k. In windows of three the middle k-mer is equal and the k-mer to its right
+    index: explode_kmers with a context of k, and of k + max_errors in a mode other than hamming, where a k-mer is
+    compared with the best beginning of the context. In windows of three the middle k-mer is equal and the k-mer to its right
     (side 'R') or left ('L') may differ; in windows of two one of them is equal and the other may differ. With outer, an
     outer k-mer of a window of three may be the equal one too and the middle one differ (without errors it is a seed of
     the middle k-mer already)."""
@@ -48,8 +66,8 @@ def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, by: Col
         parts = parts.unionByName(begin).unionByName(end)
     hits = parts.join(entries, "kmer")
     side = lambda name, errors, pos, at: F.when((errors <= max_errors) & (errors >= F.col("least")), F.struct(F.lit(name).alias("side"), pos.alias("ref_pos"), at.alias("query_pos"), errors.alias("errors")))
-    right = side("R", hamming(F.col("right"), F.col("right_ctx")), F.col("pos"), F.col("start") + F.col("at"))
-    left = side("L", hamming(F.col("left"), F.col("left_ctx")), F.col("pos") - k, F.col("start") + F.col("at") - k)
+    right = side("R", context_errors("right", "right_ctx", k, max_errors, mode), F.col("pos"), F.col("start") + F.col("at"))
+    left = side("L", context_errors("left", "left_ctx", k, max_errors, mode), F.col("pos") - k, F.col("start") + F.col("at") - k)
     found = hits.select("read_id", "win", "cand_id", "cand_strand", F.explode(F.filter(F.array(right, left), lambda x: x.isNotNull())).alias("x"))
     return found.select("read_id", "win", "cand_id", "cand_strand", "x.*").filter("ref_pos >= 0").distinct()
 
@@ -63,13 +81,13 @@ def escalate(found: DataFrame, max_errors: int, enough: int) -> DataFrame:
     return found.withColumn("level", level).filter(F.col("errors") <= F.col("level"))
 
 
-def candidates(found: DataFrame, reads: DataFrame, stranded: DataFrame, min_overlap: int, min_share: float) -> DataFrame:
-    """(read_id, cand_id, cand_strand, shift1, shift2, max_overlap): seeds with enough left of the candidate behind them,
-    gathered; b starts at a[shift]."""
+def candidates(found: DataFrame, reads: DataFrame, stranded: DataFrame, min_overlap: int, min_share: float, slack: int = 0) -> DataFrame:
+    """(read_id, cand_id, cand_strand, shift1, shift2, max_overlap): seeds with enough left of the candidate behind them
+    (`slack` bases less, for deletions), gathered; b starts at a[shift]."""
     na = reads.select("read_id", F.length("seq").alias("na"))
     nb = stranded.select(F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), F.length("seq").alias("nb"))
     rows = found.join(na, "read_id").join(nb, ["cand_id", "cand_strand"])
-    least = F.greatest(F.lit(min_overlap), F.floor(F.lit(min_share) * F.col("na")))
+    least = F.greatest(F.lit(min_overlap), F.floor(F.lit(min_share) * F.col("na"))) - slack
     shift = F.col("query_pos") - F.col("ref_pos")
     out = rows.filter(F.col("nb") - F.col("ref_pos") >= least).groupBy("read_id", "cand_id", "cand_strand").agg(F.min(shift).alias("shift1"), F.max(shift).alias("shift2"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return out.withColumn("max_overlap", max_overlap(F.col("na"), F.col("nb"), F.col("shift1"), F.col("shift2"))).drop("na", "nb")

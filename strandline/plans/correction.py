@@ -12,7 +12,7 @@ from strandline.operators import consensus, edit_graph, kmers, overlaps
 
 @dataclass(frozen=True)
 class Options:
-    """Defaults are those of the public tool's interface; match is 'hamming' or 'edit' ('insdel' seeds like 'edit')."""
+    """Defaults are those of the public tool's interface; match is 'hamming', 'edit' or 'insdel'."""
 
     match: str = "hamming"
     diploid: bool = False
@@ -55,14 +55,16 @@ def stranded(reads: DataFrame, options: Options) -> DataFrame:
 def find_candidates(reads: DataFrame, both: DataFrame, options: Options) -> DataFrame:
     k = options.kmer
     index = overlaps_index(both, options)
-    found = overlaps.seeds(overlaps.window_parts(reads, k), index, k, options.kmer_errors, outer=options.outer_seeds)
+    found = overlaps.seeds(overlaps.window_parts(reads, k), index, k, options.kmer_errors, outer=options.outer_seeds, mode=options.match)
     found = overlaps.escalate(found, options.kmer_errors, options.max_kmer_results)
-    cands = overlaps.candidates(found, reads, both, options.min_overlap, options.min_overlap_share)
+    cands = overlaps.candidates(found, reads, both, options.min_overlap, options.min_overlap_share, 0 if options.match == "hamming" else options.kmer_errors)
     return overlaps.without_self(cands)
 
 
 def overlaps_index(both: DataFrame, options: Options) -> DataFrame:
-    return kmers.slot_cap(kmers.explode_kmers(both, options.kmer, options.kmer), options.max_kmer_slots)
+    """Contexts are longer outside Hamming: insertions may need max errors more bases."""
+    context = options.kmer + (0 if options.match == "hamming" else options.kmer_errors)
+    return kmers.slot_cap(kmers.explode_kmers(both, options.kmer, context), options.max_kmer_slots)
 
 
 def hamming_overlaps(reads: DataFrame, both: DataFrame, options: Options) -> DataFrame:
@@ -83,4 +85,4 @@ def correct(reads: DataFrame, options: Options | None = None) -> DataFrame:
             return consensus.trim(done, options.trim_factor).select("read_id", "seq")
         return done.select("read_id", "seq")
     cands = overlaps.cap_candidates(find_candidates(reads, both, options), max(options.max_length_matches, 3 * options.max_kmer_results))
-    return edit_graph.correct_edit(cands, reads, both, options.kmer, options.error_rate, options.min_overlap)
+    return edit_graph.correct_edit(cands, reads, both, options.kmer, options.error_rate, options.min_overlap, options.min_read_weight, options.match)

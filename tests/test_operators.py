@@ -112,3 +112,30 @@ def test_error_in_the_middle_kmer_is_seeded(spark):
     index = kmers.explode_kmers(reads.withColumn("strand", F.lit("+")), 9, 9)
     rows = overlaps.seeds(overlaps.window_parts(reads.filter("read_id = 1"), 9), index, 9, 2, outer=True).filter("cand_id = 2").collect()
     assert {(r.side, r.ref_pos, r.query_pos, r.errors) for r in rows} == {("R", 0, 0, 1), ("L", 9, 9, 1)}
+
+
+def test_contexts_are_compared_by_the_mode_of_the_correction(spark):
+    from strandline.operators import distance as d
+
+    pairs = [("ACGTACGTA", "ACGGTACGTAC"), ("ACGTACGTA", "ACTACGTACCC"), ("ACGTACGTA", "ACGTACGTAGG"), ("ACGTACGTA", "ACCTACGTAGG"), ("TTTTTTTTT", "ACCTACGTAGG")]
+    for mode in (d.EDIT, d.INSDEL):
+        for context, turn in (("right_ctx", lambda x: x), ("left_ctx", lambda x: x[::-1])):
+            rows = spark.createDataFrame([(i, turn(a), turn(b)) for i, (a, b) in enumerate(pairs)], f"i int, part string, {context} string")
+            got = {r.i: r.e for r in rows.select("i", overlaps.context_errors("part", context, 9, 2, mode).alias("e")).collect()}
+            want = {i: d.flexible_end(b, a, 99, mode) for i, (a, b) in enumerate(pairs)}
+            assert {i: e for i, e in got.items() if e <= 2} == {i: e for i, e in want.items() if e <= 2} and set(got) == set(want)
+
+
+def test_insertions_beside_a_seed_and_the_insdel_mode(spark):
+    from strandline.operators import distance as d
+    from strandline.operators import edit_graph
+    from strandline.plans.correction import find_candidates, stranded
+
+    a = "ACGTTGCAAGCTTAGGCATCGATTACG"
+    b = a[:3] + "A" + a[3:22] + "G" + a[22:]  # one base inserted beside the middle k-mer on either side
+    reads = spark.createDataFrame([(1, a), (2, b)], "read_id long, seq string")
+    for match in ("edit", "insdel"):
+        options = Options(match=match, min_overlap=20)
+        assert {(r.read_id, r.cand_id) for r in find_candidates(reads, stranded(reads, options), options).collect()} >= {(1, 2)}
+    assert [op for _, op, _ in d.edit_script("ACGTA", "ACCTA", d.INSDEL)].count("S") == 0 and len(d.edit_script("ACGTA", "ACCTA", d.INSDEL)) == 2
+    assert edit_graph.overlap_path(a, a[:20] + "T" + a[21:], 9, 0.25, 10, d.INSDEL)[3] == 2
