@@ -67,20 +67,29 @@ def run_correct(spark: SparkSession, o: dict[str, list[str]]) -> None:
         records.unpersist()
 
 
+def part_size(genome: DataFrame, accuracy: int) -> int:
+    """Least part of a read that is aligned: the steps of 4 up to the size of both strands' text, less the accuracy."""
+    size, steps = 2 * (genome.select(F.length("g")).first()[0] or 0) + 4, 0
+    while 4**steps < size:
+        steps += 1
+    return max(1, steps - accuracy)
+
+
 def run_align(spark: SparkSession, o: dict[str, list[str]]) -> None:
     genome = fastx.read_genome(spark, o["refgenomefile"][0])
-    errors = int(o.get("accuracy", ["5"])[0])
+    q = part_size(genome, int(o.get("accuracy", ["5"])[0]))
     for path, out in zip(o["inputfile"], o["alignfile"], strict=True):
         reads = _reads(spark, path)
-        aligned = placement.align_edit(reads, genome, errors, max(8, 36 // (errors + 1)), o["matchtype"][0])
+        aligned = placement.align_edit(reads, genome, None, q, o["matchtype"][0])
         fastx.alignment_text(reads, aligned).write.mode("overwrite").text(out)
 
 
 def run_eval(spark: SparkSession, o: dict[str, list[str]]) -> None:
     genome = fastx.read_genome(spark, o["refgenomefile"][0])
+    q = part_size(genome, 5)
     for path, fixed, out in zip(o["inputfile"], o["resultfile"], o["evalfile"], strict=True):
         reads = _reads(spark, path)
-        placed = placement.align_edit(reads, genome, 5, 8).select("read_id", F.col("maps")[0].alias("m"))
+        placed = placement.align_edit(reads, genome, None, q, o.get("matchtype", ["edit"])[0]).select("read_id", F.col("maps")[0].alias("m"))
         truth = placed.join(F.broadcast(placement.reference_strands(genome)), F.col("m.strand") == F.col("strand")).select("read_id", F.expr("substring(g, m.start + 1, m.len)").alias("seq"))
         done = evaluation.evaluate_reads(reads, _reads(spark, fixed), truth)
         fastx.evaluation_text(done).write.mode("overwrite").text(out)

@@ -1,17 +1,17 @@
 """Placement of reads on a reference: exact, by mismatches, by edits.
 
 A read with at most e errors has one of its e + 1 parts intact (pigeonhole), so parts join with the reference's q-grams by
-equality; only places that a part suggests are verified.
+equality; only places that a part suggests are verified. How many errors a read may have follows from its length.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import kmer_starts, reverse_complement
-from strandline.operators.distance import EDIT, placements
+from strandline.operators.distance import EDIT, HAMMING, placements
 
 
 def reference_strands(genome: DataFrame) -> DataFrame:
@@ -25,49 +25,66 @@ def reference_grams(genome: DataFrame, q: int) -> DataFrame:
     return rows.select("strand", "g", F.explode(kmer_starts(F.length("g"), q)).alias("at")).select("strand", "at", F.expr(f"substring(g, at + 1, {q})").alias("gram"))
 
 
-def read_parts(reads: DataFrame, errors: int, q: int) -> DataFrame:
-    """(read_id, part_at, gram): the first q bases of each of errors + 1 even parts; reads too short for them have none."""
-    n = F.length("seq")
-    rows = reads.filter(n >= (errors + 1) * q).select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(errors))).alias("i"))
-    rows = rows.withColumn("part_at", F.expr(f"cast((i * length(seq)) div {errors + 1} as int)"))
+def error_limit(length: Column, errors: int | None, q: int) -> Column:
+    """Errors that a read may have: its parts are of q bases at least, so length div q - 1, none below 2 q bases; at most
+    `errors` where that is given."""
+    own = F.greatest((length / q).cast("int") - 1, F.lit(0))
+    return own if errors is None else F.least(own, F.lit(errors))
+
+
+def read_parts(reads: DataFrame, errors: int | None, q: int) -> DataFrame:
+    """(read_id, part_at, gram): the first q bases of each of the even parts, one more than the read's error_limit; of a
+    read of under q bases all of it."""
+    rows = reads.filter(F.length("seq") > 0).select("read_id", "seq", (error_limit(F.length("seq"), errors, q) + 1).alias("parts"))
+    rows = rows.select("read_id", "seq", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    rows = rows.withColumn("part_at", F.expr("cast((i * length(seq)) div parts as int)"))
     return rows.select("read_id", "part_at", F.expr(f"substring(seq, part_at + 1, {q})").alias("gram"))
 
 
-def suggested(reads: DataFrame, genome: DataFrame, errors: int, q: int) -> DataFrame:
+def suggested(reads: DataFrame, genome: DataFrame, errors: int | None, q: int) -> DataFrame:
     """(read_id, strand, start): where an intact part would put the read."""
-    hits = read_parts(reads, errors, q).join(reference_grams(genome, q), "gram")
-    return hits.select("read_id", "strand", (F.col("at") - F.col("part_at")).alias("start")).distinct()
+    parts = read_parts(reads, errors, q)
+    hits = parts.join(reference_grams(genome, q), "gram")
+    # reads of under q bases: grams of the lengths that occur, each a number below q
+    sizes = reads.select(F.length("seq").alias("size")).filter(f"size BETWEEN 1 AND {q - 1}").distinct()
+    grams = F.broadcast(reference_strands(genome)).join(sizes).filter("length(g) >= size").select("strand", "g", "size", F.explode(F.expr("sequence(0, length(g) - size)")).alias("at"))
+    short = parts.filter(F.length("gram") < q).join(grams.select("strand", "at", F.expr("substring(g, at + 1, size)").alias("gram")), "gram")
+    return hits.unionByName(short).select("read_id", "strand", (F.col("at") - F.col("part_at")).alias("start")).distinct()
 
 
 def align_exact(reads: DataFrame, genome: DataFrame, q: int) -> DataFrame:
-    """(read_id, strand, start) of all exact places of reads of at least q bases."""
+    """(read_id, strand, start) of all exact places; q only sizes the grams."""
     return align_hamming(reads, genome, 0, q).drop("edit")
 
 
 def align_hamming(reads: DataFrame, genome: DataFrame, errors: int, q: int) -> DataFrame:
-    """(read_id, edit, strand, start): the fewest mismatches (at most `errors`) and every place that has as few."""
+    """(read_id, edit, strand, start): the fewest mismatches (at most error_limit) and every place that has as few."""
     n = F.length("seq")
     rows = suggested(reads, genome, errors, q).join(reads.select("read_id", "seq"), "read_id").join(F.broadcast(reference_strands(genome)), "strand")
     rows = rows.filter((F.col("start") >= 0) & (F.col("start") + n <= F.length("g"))).withColumn("there", F.expr("substring(g, start + 1, length(seq))"))
     edit = F.aggregate(F.zip_with(F.split("seq", ""), F.split("there", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    rows = rows.select("read_id", "strand", "start", edit.alias("edit")).filter(F.col("edit") <= errors)
+    rows = rows.select("read_id", "strand", "start", edit.alias("edit"), error_limit(n, errors, q).alias("most")).filter("edit <= most").drop("most")
     best = rows.groupBy("read_id").agg(F.min("edit").alias("edit"))
     return rows.join(best, ["read_id", "edit"]).select("read_id", "edit", "strand", "start")
 
 
-def align_edit(reads: DataFrame, genome: DataFrame, errors: int, q: int, mode: str = EDIT) -> DataFrame:
+def align_edit(reads: DataFrame, genome: DataFrame, errors: int | None, q: int, mode: str = EDIT) -> DataFrame:
     """(read_id, edit, maps): the fewest edits and every (strand, start, len) that has as few; reads without a place are
-    left out. Each suggested place is verified in a window that its errors could have moved it by."""
-    rows = suggested(reads, genome, errors, q).join(reads.select("read_id", "seq"), "read_id").join(F.broadcast(reference_strands(genome)), "strand")
-    rows = rows.withColumn("low", F.greatest(F.col("start") - errors, F.lit(0)))
-    rows = rows.select("read_id", "strand", "seq", "low", F.expr(f"substring(g, low + 1, start + length(seq) + {errors} - low)").alias("window"))
+    left out. A read may have error_limit errors. Each suggested place is verified in a window that its errors could have
+    moved it by; in the hamming mode by mismatches at the place."""
+    if mode == HAMMING:
+        rows = align_hamming(reads, genome, errors, q).join(reads.select("read_id", F.length("seq").alias("len")), "read_id")
+        return rows.groupBy("read_id", "edit").agg(F.array_sort(F.collect_set(F.struct("strand", "start", "len"))).alias("maps"))
+    rows = suggested(reads, genome, errors, q).join(reads.select("read_id", "seq", error_limit(F.length("seq"), errors, q).alias("most")), "read_id").join(F.broadcast(reference_strands(genome)), "strand")
+    rows = rows.withColumn("low", F.greatest(F.col("start") - F.col("most"), F.lit(0)))
+    rows = rows.select("read_id", "strand", "seq", "most", "low", F.expr("substring(g, low + 1, start + length(seq) + most - low)").alias("window"))
 
     @F.pandas_udf("edit int, maps array<struct<start:int,len:int>>")
-    def verify(window: pd.Series, seq: pd.Series) -> pd.DataFrame:
-        found = [placements(w, s, errors, mode) if s else (-1, []) for w, s in zip(window, seq, strict=True)]
+    def verify(window: pd.Series, seq: pd.Series, most: pd.Series) -> pd.DataFrame:
+        found = [placements(w, s, k, mode) for w, s, k in zip(window, seq, most, strict=True)]
         return pd.DataFrame({"edit": [e for e, _ in found], "maps": [[{"start": s, "len": n} for s, n in m] for _, m in found]})
 
-    rows = rows.withColumn("v", verify("window", "seq")).filter("v.edit >= 0").select("read_id", "strand", "low", F.col("v.edit").alias("edit"), F.explode("v.maps").alias("m"))
+    rows = rows.withColumn("v", verify("window", "seq", "most")).filter("v.edit >= 0").select("read_id", "strand", "low", F.col("v.edit").alias("edit"), F.explode("v.maps").alias("m"))
     best = rows.groupBy("read_id").agg(F.min("edit").alias("edit"))
     maps = F.array_sort(F.collect_set(F.struct("strand", (F.col("low") + F.col("m.start")).alias("start"), F.col("m.len").alias("len"))))
     return rows.join(best, ["read_id", "edit"]).groupBy("read_id", "edit").agg(maps.alias("maps"))

@@ -139,3 +139,16 @@ def test_insertions_beside_a_seed_and_the_insdel_mode(spark):
         assert {(r.read_id, r.cand_id) for r in find_candidates(reads, stranded(reads, options), options).collect()} >= {(1, 2)}
     assert [op for _, op, _ in d.edit_script("ACGTA", "ACCTA", d.INSDEL)].count("S") == 0 and len(d.edit_script("ACGTA", "ACCTA", d.INSDEL)) == 2
     assert edit_graph.overlap_path(a, a[:20] + "T" + a[21:], 9, 0.25, 10, d.INSDEL)[3] == 2
+
+
+def test_error_limits_follow_the_reads_length(spark):
+    genome = spark.createDataFrame([("ACGTTGCAAGCTTAGGCATCGATTACGGATCC",)], "g string")
+    g = genome.first().g
+    reads = spark.createDataFrame([(1, g[5:17]), (2, g[5:8] + "T" + g[9:17]), (3, g[20:25]), (4, ""), (5, g[2:10] + g[11:22]), (6, "TTTTTTTTTTTTTTTTTTT")], "read_id long, seq string")
+    edit = {r.read_id: (r.edit, {(m.strand, m.start, m.len) for m in r.maps}) for r in placement.align_edit(reads, genome, 3, 6).collect()}
+    assert edit[1] == (0, {("+", 5, 12)}) and edit[2][0] == 1 and edit[3] == (0, {("+", 20, 5)}) and edit[5][0] == 1
+    assert ("+", 2, 20) in edit[5][1] and set(edit) == {1, 2, 3, 5}
+    many = spark.createDataFrame([(1, "".join("CATG"["ACGT".index(c)] if i % 5 == 4 else c for i, c in enumerate(g)))], "read_id long, seq string")
+    assert placement.align_edit(many, genome, None, 4).first().edit == 6
+    rows = placement.align_edit(reads.filter("read_id IN (2, 5)"), genome, None, 6, "hamming").collect()
+    assert [(r.read_id, r.edit, [tuple(m) for m in r.maps]) for r in rows] == [(2, 1, [("+", 5, 12)])]
