@@ -25,20 +25,42 @@ OTHER_TITLES = ("Dr", "Prof")
 _TITLES = "|".join(sorted({x for t in (*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES) for x in (t, t.upper())}, key=lambda t: (-len(t), t)))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
-#: Tried in this order at each place.
+# Beginnings of keys that services issue, and what follows them; words that a secret is assigned to;
+# countries whose account numbers are a whole number of fours; country codes of telephones.
+KEYS = (
+    ("(?:AKIA|ASIA)", "[0-9A-Z]{16}"),
+    ("gh[oprsu]_", "[0-9A-Za-z]{20,255}"),
+    ("github_pat_", "[0-9A-Za-z_]{20,255}"),
+    ("glpat-", "[0-9A-Za-z_-]{20,64}"),
+    ("xox[abeoprs]-", "[0-9A-Za-z-]{10,250}"),
+    ("AIza", "[0-9A-Za-z_-]{35}"),
+    ("sk-", "[0-9A-Za-z_-]{20,250}"),
+    ("[rs]k_(?:live|test)_", "[0-9A-Za-z]{10,250}"),
+    ("npm_", "[0-9A-Za-z]{36}"),
+    ("hf_", "[0-9A-Za-z]{30,40}"),
+)
+_PREFIX = "|".join(p for p, _ in KEYS)
+_KEY = "|".join(p + rest for p, rest in KEYS)
+_ASSIGNED = r"(?i:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?"
+_FOURS = "AD|AL|AT|AZ|BA|BE|CY|CZ|DO|EE|ES|GE|GT|HU|KZ|LB|LT|LU|MD|PK|PL|RO|SA|SE|SK|SV|TN|VG|XK"
+_CODE = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+_END = "(?![0-9A-Za-z])"
+_HEX = r"(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}"
+#: Tried in this order at each place. Only the card's pattern has groups that are counted.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![0-9A-Za-z])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])",
+    "secret": rf"(?<![0-9A-Za-z])(?:{_HEX}|{_KEY}){_END}|(?<=[:= \"'])(?=[0-9A-Za-z+/_.-]{{0,63}}[0-9])(?=[0-9A-Za-z+/_.-]{{8}})(?<={_ASSIGNED})[0-9A-Za-z+/_.-]{{7,127}}[0-9A-Za-z+/_=-]",
+    "iban": rf"(?<![0-9A-Za-z])(?:(?:{_FOURS})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}{_END}|[A-Z]{{2}}[0-9]{{2}}(?:(?: ?[A-Z0-9]{{4}}){{3,7}}(?:[A-Z0-9]{{1,3}}| (?=[A-Z]{{0,2}}[0-9])[A-Z0-9]{{1,3}})?|(?: ?[A-Z0-9]{{4}}){{2}} ?[0-9]{{3}}){_END})",
+    "card": rf"(?<![0-9A-Za-z])(?:[0-9]{{4}}([ -]?)[0-9]{{4}}\1[0-9]{{4}}\1[0-9]{{4}}|3[47][0-9]{{2}}([ -]?)[0-9]{{6}}\2[0-9]{{5}}|3(?:0[0-5]|[689][0-9])[0-9]([ -]?)[0-9]{{6}}\3[0-9]{{4}}|(?:5[0678]|6[237])[0-9]{{2}}([ -]?)[0-9]{{4}}\4[0-9]{{4}}\4[0-9]{{4}}\4[0-9]{{1,3}}|4[0-9]{{12}}(?:[0-9]{{6}})?){_END}",
     "ip": rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ -]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ -])[0-9]{3}[ -][0-9]{4}(?![0-9A-Za-z])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f]{0,3}[0-9])[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}:(?::[0-9A-Fa-f]{1,4}){1,6}|[Ff][Ee]80:(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "phone": rf"(?<![0-9A-Za-z])(?:(?:\+[0-9]{{1,3}}[ -]?)?(?:\([0-9]{{2,4}}\) ?|[0-9]{{3}}[ -])[0-9]{{3}}[ -][0-9]{{4}}|[0-9]{{3}}\.[0-9]{{3}}\.[0-9]{{4}}|\+[1-9](?:[ .-]?\(?[0-9]\)?){{7,14}}){_END}",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity holds a digit or an @, or begins with a title.
-POSSIBLE = rf"[0-9@]|(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}"
+#: Every entity holds a digit or an @, or begins with a title or a key's beginning.
+POSSIBLE = rf"[0-9@]|{_PREFIX}|(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}"
 
 # Letters that syllables of invented names are made of, and the endings that tell a gender.
 SYLLABLES = {
@@ -49,7 +71,8 @@ SYLLABLES = {
 
 
 def kind_of(value: Column) -> Column:
-    out = F.lit("person")
+    """The kind of a mention; what no pattern matches alone was found by the word that it is assigned to."""
+    out = F.when(value.rlike(f"^(?:{PATTERNS['person']})$"), "person").otherwise("secret")
     for name, pattern in reversed([p for p in PATTERNS.items() if p[0] != "person"]):
         out = F.when(value.rlike(f"^(?:{pattern})$"), name).otherwise(out)
     return out
@@ -60,15 +83,15 @@ def _title(value: Column) -> Column:
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What makes mentions the same entity: letters in lower case; numbers without separators; of persons the name, and
+    """What makes mentions the same entity: letters in lower case; numbers without separators; issued keys as they are; of persons the name, and
     the gender that the title tells."""
     title = _title(value)
     gender = F.when(F.upper(title).isin(*(t.upper() for t in MALE_TITLES)), "male").when(F.upper(title).isin(*(t.upper() for t in FEMALE_TITLES)), "female").otherwise("other")
     name = F.lower(F.regexp_replace(value, rf"^(?:{_TITLES})\.? ", ""))
     bare = F.regexp_replace(value, "[^0-9A-Za-z]", "")
-    country = F.regexp_extract(value, r"^\+([0-9]+)", 1)
+    country = F.regexp_extract(value, rf"^\+({_CODE})", 1)
     bare = F.when((kind == "phone") & (country != ""), F.concat_ws(":", country, F.substring(bare, F.length(country) + 1, F.length(bare)))).otherwise(bare)
-    return F.when(kind == "person", F.concat_ws(":", gender, name)).when(kind.isin("email", "secret"), F.lower(value)).when(kind == "ip", value).otherwise(F.upper(bare))
+    return F.when(kind == "person", F.concat_ws(":", gender, name)).when((kind == "secret") & ~value.rlike("^[0-9A-Fa-f]{32,128}$"), value).when(kind.isin("email", "secret", "ipv6"), F.lower(value)).when(kind == "ip", value).otherwise(F.upper(bare))
 
 
 def _digest(key: str, kind: Column, value: Column, attempt: Column) -> Column:
@@ -113,7 +136,7 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     out = out.withColumn("given", F.regexp_extract("canon", "^[a-z]+:([^ ]+) ", 1)).withColumn("gender", F.regexp_extract("canon", "^([a-z]+):", 1))
     out = out.withColumn("dg", _digest(key, F.col("gender"), F.col("given"), F.col("attempt")))
     octet = lambda k, n, low: f"cast({low} + cast(conv(substr(d, {1 + 8 * k}, 8), 16, 10) as bigint) % {n} as string)"
-    luhn = "(10 - aggregate(sequence(1, 15), 0L, (a, i) -> a + CASE WHEN i % 2 = 1 THEN (2 * cast(substr(x, i, 1) as int)) div 10 + (2 * cast(substr(x, i, 1) as int)) % 10 ELSE cast(substr(x, i, 1) as bigint) END) % 10) % 10"
+    luhn = "(10 - aggregate(sequence(1, length(x) - 1), 0L, (a, i) -> a + CASE WHEN (length(x) - i) % 2 = 1 THEN (2 * cast(substr(x, i, 1) as int)) div 10 + (2 * cast(substr(x, i, 1) as int)) % 10 ELSE cast(substr(x, i, 1) as bigint) END) % 10) % 10"
     out = out.withColumn("x", F.expr(f"""CASE
         WHEN kind IN ('card', 'ssn') THEN concat(substr(canon, 1, 1), substr({_disguised('canon', 'd')}, 2))
         WHEN kind = 'phone' AND canon LIKE '%:%' THEN concat(substring_index(canon, ':', 1), ':', {_disguised("substring_index(canon, ':', -1)", 'd')})
@@ -121,9 +144,11 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         WHEN kind = 'iban' THEN concat(substr(canon, 1, 2), substr({_disguised('canon', 'd')}, 3)) END"""))
     return out.select("kind", "canon", "attempt", F.expr(f"""CASE
         WHEN kind = 'email' THEN concat({_disguised("substring_index(canon, '@', 1)", 'd')}, '@', {_disguised('part', 'dp')}, regexp_extract(canon, '([.][a-z]+)$', 1))
-        WHEN kind = 'secret' THEN {_hex('canon', 'd')}
+        WHEN kind = 'secret' AND canon RLIKE '^[0-9a-f]{{32,128}}$' THEN {_hex('canon', 'd')}
+        WHEN kind = 'secret' THEN concat(regexp_extract(canon, '^({_PREFIX})', 1), {_disguised(f"regexp_replace(canon, '^({_PREFIX})', '')", 'd')})
+        WHEN kind = 'ipv6' THEN concat(substr(canon, 1, 1), array_join(transform(split(substr(canon, 2), ''), (c, i) -> CASE WHEN c = ':' THEN c ELSE substr(d, 1 + i, 1) END), ''))
         WHEN kind = 'ip' THEN concat_ws('.', {octet(0, 223, 1)}, {octet(1, 256, 0)}, {octet(2, 256, 0)}, {octet(3, 254, 1)})
-        WHEN kind = 'card' THEN concat(substr(x, 1, 15), cast({luhn} as string))
+        WHEN kind = 'card' THEN concat(substr(x, 1, length(x) - 1), cast({luhn} as string))
         WHEN kind = 'person' THEN concat(gender, ':', CASE WHEN given <> '' THEN concat({_word('given', 'dg', 'gender')}, ' ') ELSE '' END,
             CASE WHEN attempt = 0 OR given <> '' THEN {_word('part', 'dp', "''", 4)} ELSE {_word('part', 'd', "''", 4)} END)
         ELSE x END""").alias("s"))
@@ -155,7 +180,8 @@ def _in_format() -> str:
     return f"""CASE
         WHEN kind = 'person' THEN concat({title}, CASE WHEN v = upper(v) THEN upper({name}) ELSE {name} END)
         WHEN kind = 'ip' THEN s
-        WHEN kind IN ('email', 'secret') THEN CASE WHEN v = upper(v) AND v <> lower(v) THEN upper(s) ELSE s END
+        WHEN kind = 'secret' AND NOT v RLIKE '^[0-9A-Fa-f]{{32,128}}$' THEN s
+        WHEN kind IN ('email', 'secret', 'ipv6') THEN CASE WHEN v = upper(v) AND v <> lower(v) THEN upper(s) ELSE s END
         ELSE {digits} END"""
 
 
