@@ -64,7 +64,7 @@ def split_pairs(records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 def pair_ids(records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """(pair, id_a, id_b): ids of records 2i and 2i + 1, up to the blank and without their first character."""
-    name = F.substring(F.split("info", "[ \t]")[0], 2, 1 << 20)
+    name = F.expr(r"substring(split(info, '[ \t]')[0], 2)")
     rows = records.select(F.expr(f"{ordinal} div 2").alias("pair"), (F.col(ordinal) % 2).alias("k"), name.alias("name"))
     return rows.groupBy("pair").agg(F.max(F.when(F.col("k") == 0, F.col("name"))).alias("id_a"), F.max(F.when(F.col("k") == 1, F.col("name"))).alias("id_b"))
 
@@ -72,7 +72,7 @@ def pair_ids(records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 def zip_quality(fasta: DataFrame, quals: DataFrame) -> DataFrame:
     """FASTA and QUAL records (read_id, qual_text) by place; what one of them lacks is left out."""
     qual = F.array_join(F.transform(F.filter(F.split("qual_text", "[^0-9]+"), lambda x: x != ""), lambda x: F.char(x.cast("long") + 33)), "")
-    return fasta.select("read_id", F.concat(F.lit("@"), F.substring("info", 2, 1 << 20)).alias("info"), "seq").join(quals.select("read_id", qual.alias("qual")), "read_id")
+    return fasta.select("read_id", F.concat(F.lit("@"), F.expr("substring(info, 2)")).alias("info"), "seq").join(quals.select("read_id", qual.alias("qual")), "read_id")
 
 
 def replace_headers(headers: DataFrame, records: DataFrame) -> DataFrame:
@@ -96,23 +96,23 @@ def restore_order(original: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def to_fasta(records: DataFrame) -> DataFrame:
-    return records.select("read_id", F.concat(F.lit(">"), F.substring("info", 2, 1 << 20)).alias("info"), "seq")
+    return records.select("read_id", F.concat(F.lit(">"), F.expr("substring(info, 2)")).alias("info"), "seq")
 
 
 def to_fastq(records: DataFrame) -> DataFrame:
     """A missing quality becomes a constant I."""
     qual = F.coalesce("qual", F.expr("repeat('I', length(seq))")) if "qual" in records.columns else F.expr("repeat('I', length(seq))")
-    return records.select("read_id", F.concat(F.lit("@"), F.substring("info", 2, 1 << 20)).alias("info"), "seq", F.lit("+").alias("qual_info"), qual.alias("qual"))
+    return records.select("read_id", F.concat(F.lit("@"), F.expr("substring(info, 2)")).alias("info"), "seq", F.lit("+").alias("qual_info"), qual.alias("qual"))
 
 
 def quality_text(records: DataFrame) -> DataFrame:
     """QUAL records: numbers with blanks between them."""
-    return records.select("read_id", F.concat(F.lit(">"), F.substring("info", 2, 1 << 20)).alias("info"), F.array_join(quality_ordinals(F.col("qual")), " ").alias("qual_text"))
+    return records.select("read_id", F.concat(F.lit(">"), F.expr("substring(info, 2)")).alias("info"), F.array_join(quality_ordinals(F.col("qual")), " ").alias("qual_text"))
 
 
 def adjust_quality(records: DataFrame) -> DataFrame:
     """A quality never begins with the mark of a header."""
-    return records.withColumn("qual", F.when(F.col("qual").startswith("@"), F.concat(F.lit("A"), F.substring("qual", 2, 1 << 20))).otherwise(F.col("qual")))
+    return records.withColumn("qual", F.when(F.col("qual").startswith("@"), F.concat(F.lit("A"), F.expr("substring(qual, 2)"))).otherwise(F.col("qual")))
 
 
 def bare_quality_header(records: DataFrame) -> DataFrame:

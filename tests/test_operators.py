@@ -152,3 +152,9 @@ def test_error_limits_follow_the_reads_length(spark):
     assert placement.align_edit(many, genome, None, 4).first().edit == 6
     rows = placement.align_edit(reads.filter("read_id IN (2, 5)"), genome, None, 6, "hamming").collect()
     assert [(r.read_id, r.edit, [tuple(m) for m in r.maps]) for r in rows] == [(2, 1, [("+", 5, 12)])]
+
+
+def test_long_qualities_stay_whole(spark):
+    rows = spark.range(1).select(F.col("id").alias("read_id"), F.lit("@a/1 x").alias("info"), F.expr("repeat('A', 1100000)").alias("seq"), F.expr("concat('@', repeat('I', 1099999))").alias("qual"))
+    assert etl.adjust_quality(rows).select(F.length("qual").alias("n"), F.substring("qual", 1, 2).alias("b")).first() == (1_100_000, "AI")
+    assert etl.to_fasta(rows).first().info == ">a/1 x" and etl.pair_ids(rows.withColumn("ordinal", F.col("read_id"))).first().id_a == "a/1"
