@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import normalize, with_length
@@ -48,21 +49,46 @@ def _save(records: DataFrame, path: str) -> None:
     fastx.record_text(records.orderBy(*order)).write.mode("overwrite").text(path)
 
 
+def fitted_quality() -> Column:
+    """The quality at the length of the corrected read, filled with I."""
+    return F.when(F.col("qual").isNotNull(), F.rpad(F.substring("qual", 1, F.length("seq")), F.length("seq"), "I"))
+
+
+def _genome(spark: SparkSession, o: dict[str, list[str]]) -> DataFrame:
+    """The reference; of a circular one the first bases again at its end."""
+    circular = max(0, int(o.get("circular", ["0"])[0]))
+    genome = fastx.read_genome(spark, o["refgenomefile"][0])
+    return genome.withColumn("g", F.expr(f"concat(g, substring(g, 1, {circular}))")) if circular else genome
+
+
 def run_correct(spark: SparkSession, o: dict[str, list[str]]) -> None:
     get = lambda name, default: type(default)(o[name][0]) if name in o else default
     rate = 0.5 if "higherror" in o else get("errorrate", 0.25)
+    stages = get("numstages", 1)
+    if stages not in (1, 2):
+        raise SystemExit("-numstages is 1 or 2")
+    if stages == 1 and "errorratesec" in o:
+        raise SystemExit("-errorratesec needs -numstages=2")
+    second = 0.5 if "higherror" in o and "errorratesec" not in o else get("errorratesec", 0.25)
     base = Options(match=o["matchtype"][0], diploid=o["celltype"][0] == "diploid", kmer=get("kmer", 9), kmer_errors=get("kmererrors", 2), max_kmer_slots=get("maxkmerslots", 100_000), max_kmer_results=get("maxkmerres", 30), max_length_matches=get("maxlenmatches", 2000) * 1_000_000, min_overlap=get("minoverlap", 35), min_overlap_share=get("minoverlapper", 0.20), min_read_weight=get("minreadweigth", 0.0), error_rate=rate, reserve=get("reserveval", 100.0), reserve_share=get("reserveper", 1.0), aggressive=get("aggressive", 0.42), trim=get("trim", "no") == "yes", trim_factor=get("trimfact", 2.5), use_quality=get("usequal", "yes") == "yes", both_strands="nocomp" not in o)
     folder, prefix = get("resultdir", "."), get("resultprefix", "corrected_")
     for path in o["inputfile"]:
         records = _reads(spark, path).persist()
-        mean = records.agg(F.expr("coalesce(sum(length(seq)) div count(1), 0)")).first()[0]
-        total = kmers.totals(records, base.kmer).first()
-        cover = kmers.coverage(spark, records).first()["coverage"] if get("estcov", "yes") == "yes" else None
         has_quality = records.filter("qual IS NOT NULL").limit(1).count() > 0
-        columns = ["read_id", "seq", *(["qual"] if has_quality else [])]
-        fixed = correct(records.select(*columns), derived(base, mean, total["num_kmers"] or 0, cover, get("kmerfactor", 1000)))
+        now = records.select("read_id", "seq", *(["qual"] if has_quality else []))
+        # the second stage corrects what the first one wrote, and derives its parameters anew
+        for stage in range(stages):
+            options = base if stage == 0 else replace(base, error_rate=second)
+            mean = now.agg(F.expr("coalesce(sum(length(seq)) div count(1), 0)")).first()[0]
+            total = kmers.totals(now, base.kmer).first()
+            cover = kmers.coverage(spark, now).first()["coverage"] if get("estcov", "yes") == "yes" else None
+            fixed = correct(now, derived(options, mean, total["num_kmers"] or 0, cover, get("kmerfactor", 1000)))
+            if stage + 1 < stages:
+                now = now.drop("seq").join(fixed, "read_id").persist()
+                if has_quality:
+                    now = now.withColumn("qual", fitted_quality())
         out = records.drop("seq").join(fixed, "read_id").withColumn("info", with_length(F.col("info"), F.length("seq")))
-        out = out.withColumn("qual", F.when(F.col("qual").isNotNull(), F.rpad(F.substring("qual", 1, F.length("seq")), F.length("seq"), "I")))
+        out = out.withColumn("qual", fitted_quality())
         _save(out, f"{folder}/{prefix}{path.rsplit('/', 1)[-1]}")
         records.unpersist()
 
@@ -76,7 +102,7 @@ def part_size(genome: DataFrame, accuracy: int) -> int:
 
 
 def run_align(spark: SparkSession, o: dict[str, list[str]]) -> None:
-    genome = fastx.read_genome(spark, o["refgenomefile"][0])
+    genome = _genome(spark, o)
     q = part_size(genome, int(o.get("accuracy", ["5"])[0]))
     for path, out in zip(o["inputfile"], o["alignfile"], strict=True):
         reads = _reads(spark, path)
@@ -85,7 +111,7 @@ def run_align(spark: SparkSession, o: dict[str, list[str]]) -> None:
 
 
 def run_eval(spark: SparkSession, o: dict[str, list[str]]) -> None:
-    genome = fastx.read_genome(spark, o["refgenomefile"][0])
+    genome = _genome(spark, o)
     q = part_size(genome, 5)
     for path, fixed, out in zip(o["inputfile"], o["resultfile"], o["evalfile"], strict=True):
         reads = _reads(spark, path)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandline import cli
 from strandline.operators.kmers import kmer_counts
@@ -46,3 +47,21 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.read_id, r.strand, r.start) for r in seen} >= {(1, "+", 2), (2, "+", 3)}
+
+
+def test_stages_and_circular_references(spark, tmp_path, monkeypatch):
+    genome = "ACGTTGCAAGCTTAGGCATCGATTACGGATCCATGCAAGTCCATTGACCGTAGGATACC"
+    across = genome[-15:] + genome[:15]
+    (tmp_path / "g.fa").write_text(f">g\n{genome}\n")
+    (tmp_path / "r.fa").write_text(f">r0\n{across}\n")
+    run = lambda verb, *args: cli.VERBS[verb](spark, cli.parse(verb, list(args)))
+    run("align", f"-inputfile={tmp_path}/r.fa", f"-refgenomefile={tmp_path}/g.fa", f"-alignfile={tmp_path}/al", "-matchtype=hamming", "-accuracy=0", "-circular=20")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/al").collect()] == [f"{across} 0 0"]
+    rates = []
+    monkeypatch.setattr(cli, "correct", lambda reads, options: rates.append(options.error_rate) or reads.select("read_id", F.concat("seq", F.lit("A")).alias("seq")))
+    common = ("correct", f"-inputfile={tmp_path}/r.fa", "-celltype=haploid", "-matchtype=hamming", f"-resultdir={tmp_path}", "-estcov=no")
+    run(*common, "-numstages=2", "-errorrate=0.3", "-errorratesec=0.1")
+    assert rates == [0.3, 0.1]
+    assert across + "AA" in [x for r in spark.read.text(f"{tmp_path}/corrected_r.fa").collect() for x in r.value.split("\n")]
+    with pytest.raises(SystemExit):
+        run(*common, "-errorratesec=0.1")
