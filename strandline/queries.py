@@ -411,14 +411,16 @@ def edit_script(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def edit_infix(spark: SparkSession, d: str) -> DataFrame:
-    rows = tables.tiled(spark, d)
+    """Whole reads in the stretch of the genome from 20 bases before their place to 20 after it."""
+    stretch = F.expr("substring(g, cast(greatest(start0 - 20, 0) + 1 as int), cast(least(start0, 20) + 100 as int))")
+    rows = tables.tiled(spark, d).crossJoin(F.broadcast(tables.genome(spark, d))).withColumn("stretch", stretch)
 
     @F.pandas_udf("edit int, ends array<int>")
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [distance.infix(x, y[10:50], 4) for x, y in zip(a, b, strict=True)]
+        found = [distance.infix(x, y, 4) for x, y in zip(a, b, strict=True)]
         return pd.DataFrame({"edit": [e for e, _ in found], "ends": [x for _, x in found]})
 
-    return rows.withColumn("v", run("truth", "seq")).select("read_id", "v.edit", "v.ends")
+    return rows.withColumn("v", run("stretch", "seq")).select("read_id", "v.edit", "v.ends")
 
 
 @query()

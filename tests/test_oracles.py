@@ -46,3 +46,12 @@ def test_edit_placement_finds_the_true_place(spark, data):
     rows = queries.align_edit(spark, data).collect()
     assert len(rows) == len(start)
     assert all(any(abs(m.start - start[r.read_id]) <= r.edit and m.strand == "+" for m in r.maps) for r in rows)
+
+
+def test_infix_takes_the_whole_read(spark, data):
+    from strandline.sources import tables
+
+    truth = {r.read_id: (r.start0, sum(x != y for x, y in zip(r.seq, r.truth, strict=True))) for r in tables.tiled(spark, data).collect()}
+    rows = queries.edit_infix(spark, data).collect()
+    assert len(rows) == len(truth)
+    assert all(r.edit == truth[r.read_id][1] and min(truth[r.read_id][0], 20) + 80 in r.ends for r in rows)
