@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,22 +21,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is made only where the session names none (tests)."""
+    """The cluster's shared checkpoint folder. Only a session that runs in one process (tests, the bench) and names none
+    gets a local one; on a cluster a folder has to be named."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="strandline-checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
 class Stage:
-    """Tables written to the shared folder, to cut lineage: a lost executor re-reads them instead of recomputing."""
+    """Tables written to the shared folder, to cut lineage: a lost executor re-reads them instead of recomputing. The
+    folder goes when the driver's JVM ends; tables that are done with can go before."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/strandline/{uuid.uuid4().hex}"
+        path, system = self._at("")
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+
+    def _at(self, name: str) -> tuple:
+        sc = self.spark.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(sc._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -42,9 +56,8 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = self._at(name)
+        system.delete(path, True)
 
 
 def crc_rest(doc_id: str, n: int) -> Column:
@@ -53,12 +66,22 @@ def crc_rest(doc_id: str, n: int) -> Column:
 
 
 def sampled(df: DataFrame, by: str, at_most: int, key: str) -> DataFrame:
-    """At most `at_most` rows of each value of `by`, those with the smallest hash of `key`. The rank filter becomes a
-    group limit before the shuffle, so a hot value sends at most `at_most` rows from each task."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key))
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= at_most).drop("_rank")
+    """At most `at_most` rows of each value of `by`, those with the smallest hash of `key`. The counts of the values say
+    below which hash that many rows are to be expected, six standard errors and 20 rows more; only those are ranked, so
+    the ranking task of a value gets about `at_most` rows whatever the input is. The counts (a row for each value) are
+    broadcast: a caller has a model row for each value anyway."""
+    most = at_most + 6 * math.sqrt(at_most) + 20
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    lot = F.xxhash64(F.col(key).cast("string"))
+    few = df.join(F.broadcast(counts), by).filter((lot.cast("double") / 2.0**64 + 0.5) * F.col("_n") < most)
+    w = Window.partitionBy(by).orderBy(lot, F.col(key))
+    return few.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= at_most).drop("_rank", "_n")
+
+
+def in_one_task(rows: DataFrame, order: list[Column], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> list:
+    """What run makes of a bounded number of rows, read in a fixed order by one task: where a model is fitted, so that
+    the driver holds nothing but the model."""
+    return rows.repartition(1).sortWithinPartitions(*order).mapInArrow(run, schema).collect()
 
 
 def components(spark: SparkSession, stage: Stage, edges: DataFrame, name: str) -> DataFrame:

@@ -8,20 +8,23 @@ nothing but the text.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import crc_rest, map_texts, sampled, table
+from strandline.llm.common import crc_rest, in_one_task, map_texts, sampled, table
 
 BITS = 16
 #: Labelled texts of each language that the machines are fitted on, at most.
 AT_MOST = 1500
+#: Features of all texts of the sample together, at most; texts past that, in the order of the hash, aren't learnt.
+MOST_IDS = 20_000_000
 #: Families of languages; a language named nowhere is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"),
@@ -33,13 +36,19 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def letters(text: str) -> list[str]:
+    """Runs of letters in lower case. Superscripts, fractions, circled and Roman number signs aren't letters."""
+    words = _RUNS.findall(text.lower())
+    return words if "".join(words).isalpha() else "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+
+
 def ngrams(text: str, bits: int = BITS) -> np.ndarray:
     """Hashed ids of all n-grams of one to three letters and of all words (by their own hash), case folded."""
-    words = _LETTERS.findall(text.lower())
+    words = letters(text)
     if not words:
         return np.zeros(0, dtype=np.int32)
     c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
@@ -130,21 +139,8 @@ class Hierarchy:
         return lang, float(confidence)
 
 
-def fit(labelled: DataFrame, families: dict[str, tuple[str, ...]] | None = None, at_most: int = AT_MOST, bits: int = BITS) -> Hierarchy:
-    """labelled: doc_id, text, lang. Rows with a null language, or a text without letters, teach nothing. With no rows
-    every text is undetermined; with one language every text with letters is of that language."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [vector(t or "", bits) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "ids": [i.astype(np.int32).tobytes() for i, _ in found], "x": [x.tobytes() for _, x in found]})
-
-    known = labelled.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull())
-    chosen = sampled(known.select("doc_id", "lang"), "lang", at_most, "doc_id").dropDuplicates(["doc_id"])
-    some = known.drop("lang").join(F.broadcast(chosen), "doc_id")
-    got = some.mapInPandas(run, "doc_id long, lang string, ids binary, x binary").toPandas().sort_values(["doc_id"], kind="stable")
-    rows = [(np.frombuffer(i, dtype=np.int32), np.frombuffer(x, dtype=np.float32)) for i, x in zip(got["ids"], got["x"], strict=True)]
-    of = got["lang"].to_numpy()
+def machines_of(rows: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, families: dict[str, tuple[str, ...]] | None, bits: int) -> Hierarchy:
+    """The fitted machines of vectors and their languages; vectors without letters are left out."""
     use = [k for k, (i, _) in enumerate(rows) if len(i)]
     rows, of = [rows[k] for k in use], of[use]
     family = families_of(sorted(set(of)), families)
@@ -165,9 +161,45 @@ def fit(labelled: DataFrame, families: dict[str, tuple[str, ...]] | None = None,
     return Hierarchy(family, names, weights, np.asarray([m.b for m in machines]), bits)
 
 
+def fit(labelled: DataFrame, families: dict[str, tuple[str, ...]] | None = None, at_most: int = AT_MOST, bits: int = BITS, most_ids: int = MOST_IDS) -> Hierarchy:
+    """labelled: doc_id, text, lang. Rows with a null language or id, or a text without letters, teach nothing. A
+    document with several languages teaches the first in alphabetical order of those that were drawn; of rows with one
+    doc_id and different texts the least vector is learnt, repeated rows once. With no rows every text is undetermined;
+    with one language every text with letters is of that language. One task fits the machines."""
+    known = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    chosen = sampled(known.select("doc_id", "lang"), "lang", at_most, "doc_id").groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    some = known.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def make() -> Callable[[list[str | None]], list[list]]:
+        def say(texts: list[str | None]) -> list[list]:
+            found = [vector(t or "", bits) for t in texts]
+            return [[i.astype(np.int32).tobytes() for i, _ in found], [x.tobytes() for _, x in found]]
+
+        return say
+
+    rows = map_texts(some, ["doc_id", "lang"], "ids binary, x binary", make).groupBy("doc_id").agg(F.min(F.struct("ids", "x", "lang")).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors: list[tuple[np.ndarray, np.ndarray]] = []
+        of: list[str] = []
+        held = 0
+        for batch in batches:
+            for i, x, lang in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(i.as_buffer(), dtype=np.int32)
+                held += len(ids)
+                if held <= most_ids:
+                    vectors.append((ids.copy(), np.frombuffer(x.as_buffer(), dtype=np.float32).copy()))
+                    of.append(lang)
+        model = machines_of(vectors, np.asarray(of, dtype=object), families, bits)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], type=pa.binary())], names=["model"])
+
+    got = in_one_task(rows.select("row.ids", "row.x", "row.lang", "doc_id"), [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")], run, "model binary")
+    return pickle.loads(bytes(got[0]["model"])) if got else machines_of([], np.zeros(0, dtype=object), families, bits)
+
+
 def identify(docs: DataFrame, model: Hierarchy, keep: list[str] | None = None) -> DataFrame:
     """Rows (*keep, lang_pred, score). Null, empty and letterless texts: 'und' and 0. Repeated rows are predicted alike;
-    columns that aren't kept aren't read; an empty table gives no rows."""
+    a null doc_id doesn't matter; columns that aren't kept aren't read; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[list[str | None]], list[list]]:

@@ -2,7 +2,7 @@
 
 Every coordinate has its own learning rate and an L1 threshold, so that only n-grams seen in several labelled texts get
 a weight; the model that is sent to the executors is the list of those. Fitting uses a bounded sample of labelled texts
-(`at_most` of each label, by the smallest hash of doc_id), scoring covers every whole text.
+(`at_most` of each label, by the smallest hash of doc_id, and `most_ids` features in all), scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -13,21 +13,25 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordTable, crc_rest, map_texts, sampled, table
+from strandline.llm.common import WordTable, crc_rest, in_one_task, map_texts, sampled, table
 
 BITS = 20
 #: Labelled texts of each label that the model is fitted on, at most.
 AT_MOST = {1: 3000, 0: 6000}
+#: Distinct features of all texts of the sample together, at most; texts past that, in the order of the hash, aren't learnt.
+MOST_IDS = 40_000_000
 
 _WORDS = re.compile(r"\w+")
 _MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 #: Lengths of word beginnings that count as crude stems, beside the word itself.
 STEMS = (4, 5)
+
+
 def _hash(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed=n) for n, w in ((0, word), *((n, word[:n]) for n in STEMS))]
 
@@ -91,28 +95,52 @@ class Ftrl:
         return ids.astype(np.int32), every[ids].astype(np.float32), float(every[bias])
 
 
-def fit(labelled: DataFrame, at_most: dict[int, int] | None = None, model: Ftrl | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """labelled: doc_id, text, toxic (0 or 1). Rows with a null label are left out; a null text counts as empty. No rows
-    at all give a model that scores everything 0.5 (a bias of 0)."""
+def fit(docs: DataFrame, labels: DataFrame, at_most: dict[int, int] | None = None, model: Ftrl | None = None, most_ids: int = MOST_IDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """A model of docs (doc_id, text) and labels (doc_id, toxic: 0 or 1).
+
+    Labels that are null, without an id or neither 0 nor 1 are left out; a document with both labels counts as toxic. Of
+    rows with one doc_id and different texts the one with the least list of features is learnt, repeated rows once. A
+    null text counts as empty. No labels at all give a model that scores everything 0.5 (a bias of 0).
+
+    The labels to learn from are settled before any text is read; the choice, sum(at_most.values()) rows, is broadcast.
+    One task fits the model; the driver gets its non-zero weights."""
     model = model or Ftrl()
     at_most = at_most or AT_MOST
     bits = model.bits
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    chosen = reduce(DataFrame.unionByName, [sampled(known.filter(F.col("toxic") == label), "toxic", most, "doc_id") for label, most in at_most.items()])
+    some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def make() -> Callable[[list[str | None]], list[list]]:
+        return lambda texts: [[np.unique(features(t, bits)).tobytes() for t in texts]]
+
+    rows = map_texts(some, ["doc_id", "toxic"], "ids binary", make).groupBy("doc_id").agg(F.min(F.struct("ids", "toxic")).alias("row"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        toxic: list[int] = []
+        held = 0
         for batch in batches:
-            ids = [np.unique(features(t, bits)).tobytes() for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "ids": ids})
+            for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                one = np.frombuffer(x.as_buffer(), dtype=np.int32)
+                held += len(one)
+                if held <= most_ids:
+                    ids.append(one.copy())
+                    toxic.append(y)
+        found, weights, bias = model.fit(ids, np.asarray(toxic, dtype=float))
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), type=pa.int32()), pa.array(np.append(weights, bias), type=pa.float64())], names=["id", "w"])
 
-    known = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    chosen = [sampled(known.filter(F.col("toxic") == label).select("doc_id", "toxic"), "toxic", most, "doc_id") for label, most in at_most.items()]
-    some = known.drop("toxic").join(F.broadcast(reduce(DataFrame.unionByName, chosen).dropDuplicates(["doc_id"])), "doc_id")
-    got = some.mapInPandas(run, "doc_id long, toxic int, ids binary").toPandas().sort_values("doc_id", kind="stable")
-    return model.fit([np.frombuffer(x, dtype=np.int32) for x in got["ids"]], got["toxic"].to_numpy(dtype=float))
+    got = in_one_task(rows.select("doc_id", "row.ids", "row.toxic").select("ids", "toxic", "doc_id"), [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")], run, "id int, w double")
+    weights = {r["id"]: r["w"] for r in got}
+    bias = weights.pop(-1, 0.0)
+    return np.fromiter(weights, dtype=np.int32, count=len(weights)), np.fromiter(weights.values(), dtype=np.float32, count=len(weights)), bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: int = BITS, keep: list[str] | None = None) -> DataFrame:
     """Rows (*keep, score): the probability that the text is toxic. Null and empty texts get the bias alone. Repeated
-    rows get the same score; columns that aren't kept aren't read."""
+    rows get the same score; a null doc_id doesn't matter; columns that aren't kept aren't read, and those that are may
+    have any name but that of the score. Empty table: no rows."""
     ids, weights, bias = model
 
     def make() -> Callable[[list[str | None]], list[list]]:
@@ -130,13 +158,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
 
 
 def fit_tables(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model for the tables documents and labels. Which labels to use is settled before any text is read, and the
-    choice, sum(AT_MOST.values()) rows at most, is broadcast. Rows with a null label or id don't take part."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_rest("doc_id", 5) != 0)).dropDuplicates(["doc_id"])
-    use = reduce(DataFrame.unionByName, [sampled(known.filter(F.col("toxic") == label), "toxic", most, "doc_id") for label, most in AT_MOST.items()])
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return fit(docs.join(F.broadcast(use), "doc_id"))
+    """The model for the tables documents and labels, without the labels that are held out."""
+    return fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").filter(crc_rest("doc_id", 5) != 0))
 
 
 def op9_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:

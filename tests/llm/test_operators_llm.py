@@ -370,7 +370,7 @@ def test_toxicity_on_held_out_labels(spark):
 
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, text string, toxic int")
-    ids, _, bias = toxicity.fit(none)
+    ids, _, bias = toxicity.fit(none, none)
     assert len(ids) == 0 and bias == 0.0
 
 
