@@ -11,8 +11,10 @@ segment's content is what they cover. Keys that occur once hold no repeat and le
    in the first are repeats only where a longer or another interval says so.
 3. A document's repeated starts are merged into spans of covered bytes, which are cut out.
 
-Keys with more different segments than one task should hold are not put into an array: their strings of `length` bytes
-are hashed (128 bits) and meet in an aggregation, which gives the same starts.
+Keys with more different segments than one array should hold are dealt anew before step 2, by the 2, 4, 8 ... least
+hashes within a string in place of the least one, until no key is too long. The list of all hashes within a string
+leaves no other strings together than rotations of a short period, so that ends, and each string meets its equals in an
+array however common its gram is.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from strandline.llm.common import Stage, table
 
 LENGTH = 100
 GRAM = 32
-#: Different segments of one key that one suffix array takes, at most; of longer lists each string is hashed.
+#: Different segments of one key that one suffix array takes, at most; longer lists are dealt anew by more hashes.
 MOST = 4096
 #: Segments that are put into one suffix array together, about; those of one key stay together.
 TOGETHER = 4000
@@ -48,9 +50,6 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     if len(raw) < length:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     h = gram_hashes(raw, gram)
-    h ^= h >> np.uint64(31)
-    h *= _MUL
-    h ^= h >> np.uint64(29)
     window = length - gram + 1
     strings = len(h) - window + 1
     places = []
@@ -72,15 +71,33 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
 
 
 def gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
-    """Polynomial hashes (modulo 2 ** 64) of all strings of `gram` bytes, a power of two, by doubling."""
+    """Hashes of all strings of `gram` bytes, a power of two: polynomials (modulo 2 ** 64) by doubling, then mixed."""
     h, width, base = raw.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
     while width < gram:
         h = h[:-width] * np.uint64(base) + h[width:]
         base = base * base % (1 << 64)
         width *= 2
+    h ^= h >> np.uint64(31)
+    h *= _MUL
+    h ^= h >> np.uint64(29)
     return h
 
 
+def finer_segments(data: bytes, many: int, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as segments(), but a string's key tells of the `many` least hashes within it, equal ones included."""
+    h = gram_hashes(np.frombuffer(data, dtype=np.uint8), gram)
+    keys = []
+    for at in range(0, len(h) - (length - gram), 4096):
+        part = np.sort(np.lib.stride_tricks.sliding_window_view(h[at : at + 4096 + length - gram], length - gram + 1), axis=1)[:, :many]
+        key = np.zeros(len(part), dtype=np.uint64)
+        for j in range(part.shape[1]):
+            key = (key ^ (key >> np.uint64(31))) * _MUL + part[:, j]
+        keys.append(key)
+    key = np.concatenate(keys)
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
+    return key[starts], starts, np.diff(np.append(starts, len(key)))
+
+
 def suffix_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes of at least `least` bytes of each segment [start, end), in order of their bytes up to the segment's
     end, and the common-prefix length of each with the one before it. Ranks of 7 bytes are doubled to ranks of 56 for all
@@ -215,18 +232,20 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "uid long, z binary, doc_id long")
 
 
-def _numbered(stage: Stage, docs: DataFrame) -> DataFrame:
-    """(uid, text, doc_id): uid has the order of the documents. It is doc_id where that is there and differs everywhere;
-    else the rows' ids and text hashes are sorted and numbered."""
+def _numbered(stage: Stage, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(uid, text, doc_id) of all rows, and the same without repeated rows. uid has the order of the documents. It is
+    doc_id where that is there and differs everywhere; else the rows' ids and text hashes are sorted and numbered."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n, there, different = given.agg(F.count(F.lit(1)), F.count("doc_id"), F.countDistinct("doc_id")).first()
     if n == there == different:
-        return given.select(F.col("doc_id").alias("uid"), "text", "doc_id")
+        same = given.select(F.col("doc_id").alias("uid"), "text", "doc_id")
+        return same, same
     given = given.withColumn("h", F.xxhash64("text"))
     rows = given.select("doc_id", "h").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "h").withColumn("uid", F.monotonically_increasing_id())
     rows = stage.write(rows, "ids").withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-    return stage.write(given.join(rows, given["doc_id"].eqNullSafe(rows["d"]) & (given["h"] == rows["g"])).select("uid", "text", "doc_id"), "numbered")
+    numbered = stage.write(given.join(rows, given["doc_id"].eqNullSafe(rows["d"]) & (given["h"] == rows["g"])).select("uid", "text", "doc_id"), "numbered")
+    return numbered, stage.write(numbered.groupBy("uid").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id")), "unique")
 
 
 def _contents(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
@@ -263,18 +282,26 @@ def _by_arrays(contents: DataFrame, groups: int, length: int) -> DataFrame:
     return contents.select(group, "uid", "start", "content").groupBy("group").applyInPandas(one, "uid long, s long, e long")
 
 
-def _by_hashes(contents: DataFrame, length: int) -> DataFrame:
-    """The same for keys with very many different segments: every string of `length` bytes, by a hash of 128 bits."""
+def _dealt_anew(contents: DataFrame, many: int, length: int) -> DataFrame:
+    """(key, chash, uid, start, n, content) of the finer segments of segments."""
+    kinds = {"key": pa.int64(), "chash": pa.int64(), "uid": pa.int64(), "start": pa.int32(), "n": pa.int32(), "content": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
-            for uid, start, n, content in zip(*(batch.column(batch.schema.names.index(c)).to_pylist() for c in ("uid", "start", "n", "content")), strict=True):
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(content[i : i + length]) for i in range(n)), dtype=np.int64).reshape(n, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(np.full(n, uid)), pa.array(np.arange(start, start + n))], names=["w1", "w2", "uid", "s"])
+            rows: list[tuple] = []
+            for old, uid, start, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for key, s, n in zip(*(x.tolist() for x in finer_segments(content, many, length)), strict=True):
+                    part = content[s : s + n + length - 1]
+                    # the old key goes on in the new one: whole keys are dealt, never parts of two together
+                    rows.append((signed(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"), seed=old & 0xFFFFFFFFFFFFFFFF)), signed(xxhash.xxh3_64_intdigest(part)), uid, start + s, n, part))
+                if len(rows) > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    strings = contents.mapInArrow(run, "w1 long, w2 long, uid long, s long")
-    first = strings.groupBy("w1", "w2").agg(F.min(F.struct("uid", "s")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return strings.join(first, ["w1", "w2"]).filter(F.struct("uid", "s") > F.col("first")).select("uid", "s", (F.col("s") + length).alias("e"))
+    return contents.select("key", "uid", "start", "content").mapInArrow(run, "key long, chash long, uid long, start int, n int, content binary")
 
 
 def merged_spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
@@ -287,24 +314,31 @@ def merged_spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[first].tolist(), reach[np.append(np.flatnonzero(first)[1:] - 1, len(s) - 1)].tolist(), strict=True))
 
 
-def repeat_spans(stage: Stage, numbered: DataFrame, packed: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """(uid, s, e): bytes to remove, overlapping pieces of them."""
-    plain = numbered.select("uid", "text")
-    often = _keys(plain, length, True).groupBy("key").count().filter("count > 1").select("key")
-    found = stage.write(_keys(plain, length, False).join(often, "key"), "segments")
+def repeat_spans(stage: Stage, unique: DataFrame, packed: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+    """(uid, s, e): bytes to remove, overlapping pieces of them. Keys' counts are tables of their own, so that joins on
+    keys are plain ones, which adaptive execution splits where a key is hot."""
+    plain = unique.select("uid", "text")
+    often = stage.write(_keys(plain, length, True).groupBy("key").count().filter("count > 1").select("key"), "often")
+    found = stage.write(_keys(plain, length, False).join(often, "key"), "segments0")
     here = F.struct("uid", "start")
-    one = stage.write(found.groupBy("key", "chash").agg(F.min(here).alias("first"), F.max("n").alias("n")), "different")
-    whole = found.join(one.select("key", "chash", "first"), ["key", "chash"]).filter(here > F.col("first"))
-    whole = whole.select("uid", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + (length - 1)).cast("long").alias("e"))
-    per_key = one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    part = one.join(per_key, "key").select("key", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"), "n", (F.col("c") > most).alias("many"))
-    part = stage.write(part, "parts")
-    few, many = (part.agg(F.count_if(~F.col("many")), F.count_if("many")).first())
-    spans = whole
-    if few:
-        spans = spans.unionByName(_by_arrays(_contents(part.filter("NOT many"), packed, length), max(1, few // TOGETHER), length))
-    if many:
-        spans = spans.unionByName(_by_hashes(stage.write(_contents(part.filter("many"), packed, length), "many"), length))
+    levels = [2**k for k in range(1, (length - GRAM).bit_length())] + [length - GRAM + 1]
+    spans = None
+    for level in range(len(levels) + 1):
+        held = ["content"] if level else []
+        one = stage.write(found.groupBy("key", "chash").agg(F.min(here).alias("first"), F.max("n").alias("n"), *(F.min(c).alias(c) for c in held)), f"different{level}")
+        whole = found.join(one.select("key", "chash", "first"), ["key", "chash"]).filter(here > F.col("first"))
+        whole = whole.select("uid", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + (length - 1)).cast("long").alias("e"))
+        per_key = stage.write(one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), f"keys{level}")
+        long = F.lit(False) if level == len(levels) else F.col("c") > most
+        part = stage.write(one.join(per_key, "key").select("key", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"), "n", long.alias("long"), *held), f"parts{level}")
+        spans = whole if spans is None else spans.unionByName(whole)
+        few, many = part.agg(F.count_if(~F.col("long")), F.count_if("long")).first()
+        with_bytes = lambda p, held=held: p if held else _contents(p, packed, length)
+        if few:
+            spans = spans.unionByName(_by_arrays(with_bytes(part.filter("NOT long")), max(1, few // TOGETHER), length))
+        if not many:
+            break
+        found = stage.write(_dealt_anew(with_bytes(part.filter("long")), levels[level], length), f"segments{level + 1}")
     return stage.write(spans, "spans")
 
 
@@ -316,9 +350,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, m
     `length` lose nothing. Repeated rows (same doc_id and text) are one document. Empty table: no rows. Other columns
     aren't looked at."""
     stage = Stage(spark)
-    numbered = _numbered(stage, docs)
-    packed = _packed(numbered.select("uid", "text", "doc_id"))
-    lists = repeat_spans(stage, numbered, packed, length, most).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("w"))
+    numbered, unique = _numbered(stage, docs)
+    packed = _packed(numbered)
+    lists = repeat_spans(stage, unique, _packed(unique), length, most).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("w"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept_bytes"] if with_text else [])]
     span = pa.struct([("s", pa.int64()), ("e", pa.int64())])
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *([pa.list_(span), pa.binary()] if with_text else [])]
