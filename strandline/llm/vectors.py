@@ -1,20 +1,25 @@
 """Near duplicates among embeddings by dual traversal of cover trees: exact pairs at a cosine threshold.
 
-On unit vectors, cosine >= c means a distance of at most sqrt(2 - 2c). Vectors of a label are dealt to cells, the
-Voronoi cells of centres drawn from a bounded sample; a vector also visits each later cell whose bisecting hyperplane is
-within that distance and whose covering radius reaches it, so every pair meets once: in the home cell of both, or where
-one visits the other's. Cells are cut into blocks of bounded size. For each pair of blocks, trees of nested nets with
-halving radii are traversed together: pairs of nodes farther apart than their covering radii and the threshold allow are
-pruned, pairs that lie wholly within it are counted at once, and only the rest is compared vector by vector.
-
-A block pair reports how many links each vector has and edges that connect what is linked, never the pairs themselves.
-Equal vectors are one point with a multiplicity.
+On unit vectors, cosine >= c means a distance of at most sqrt(2 - 2c). Each label has a tree. Its upper levels are tables:
+a node with more vectors than a task should hold is split by a net of its own, drawn from a sample of about SAMPLE of its
+vectors; every vector moves to its nearest centre, its home, and the children's covering radii are measured. A vector
+also visits the children of later number that could hold a partner: those whose covering radius, enlarged by the
+threshold, reaches it and whose border to its own nearest centre is near enough. Visitors move down in the same way. So
+every pair meets once, in the home of both or where one visits the other's. A visitor that has a whole node within the
+threshold is counted at once and goes no further, and so are the vectors of a node that are all linked with each other.
+
+Nodes that are small enough are compared in tasks of bounded size. There, trees of nested nets with halving radii are
+traversed together: pairs of nodes farther apart than their covering radii and the threshold allow are pruned, pairs that
+lie wholly within it are counted at once, and only the rest is compared vector by vector.
+
+Tasks report how many links each vector has and edges that connect what is linked, never the pairs themselves. Equal
+vectors are one point with a multiplicity. The driver holds nothing that grows with the data.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,17 +29,20 @@ from pyspark.sql import functions as F
 from strandline.llm.common import Stage, components, table
 
 COSINE = 0.98
-#: Vectors of a block, and of a cell as far as the centres allow.
+#: Vectors that a task holds of each side.
 BLOCK = 2048
-#: Centres of a label, at most, and vectors that they are drawn from.
-CENTRES = 64
-SAMPLE = 2048
-_LEAF = 24
+#: Children of a node, at most, and how many of a node's vectors a net is drawn from, about.
+FANOUT = 32
+SAMPLE = 256
+_LEAF = 48
+#: What sums of rounding errors of distances stay below.
+_EPS = 1e-9
 
 
 class CoverTree:
-    """Nested nets over points: the children of a node are centres at least half its radius apart that together cover its
-    points within half of it; a node's radius is then measured. Distances are computed a few rows at a time."""
+    """Nested nets over points: a node's centre and the points farthest from the centres so far become its children, until
+    they cover its points within half its radius or are FANOUT; each point goes to its nearest, whose radius is then
+    measured. All nodes above _LEAF points are split, whether FANOUT children halve the radius or not."""
 
     def __init__(self, points: np.ndarray, members: np.ndarray | None = None, centre: int | None = None, radius: float | None = None):
         self.points = points
@@ -50,29 +58,17 @@ class CoverTree:
         return np.sqrt(np.maximum(((self.points[others] - self.points[i]) ** 2).sum(axis=1), 0.0))
 
     def _split(self) -> None:
-        rest, half = self.members, self.radius / 2
-        groups: list[tuple[int, np.ndarray, float]] = []
-        centre = self.centre
-        while len(rest):
-            d = self._far(centre, rest)
-            near = d <= half
-            near |= rest == centre
-            groups.append((centre, rest[near], float(d[near].max(initial=0.0))))
-            rest = rest[~near]
-            if len(rest):
-                centre = int(rest[0])
-            if len(groups) > 64:
-                break
-        if len(rest):  # the points are too far apart for nets to help: the rest is one node under a radius of its own
-            groups.append((int(rest[0]), rest, -1.0))
-        for c, members, r in groups:
-            if r < 0:
-                child = CoverTree.__new__(CoverTree)
-                child.points, child.members, child.centre, child.children = self.points, members, c, []
-                child.radius = float(child._far(c, members).max(initial=0.0))
-                self.children.append(child)
-            else:
-                self.children.append(CoverTree(self.points, members, c, r))
+        d = self._far(self.centre, self.members)
+        nearest = np.zeros(len(d), dtype=np.int64)
+        centres = [self.centre]
+        while len(centres) < FANOUT and d.max() > self.radius / 2:
+            centres.append(int(self.members[d.argmax()]))
+            e = self._far(centres[-1], self.members)
+            nearest[e < d] = len(centres) - 1
+            d = np.minimum(d, e)
+        for j, c in enumerate(centres):
+            own = nearest == j
+            self.children.append(CoverTree(self.points, self.members[own], c, float(d[own].max())))
 
 
 class Links:
@@ -186,65 +182,121 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     key = [F.xxhash64("v").alias("x1"), F.xxhash64(F.lit(1), "v").alias("x2")]
     points = stage.write(good.select("g", "v", "uid", *key).groupBy("g", "x1", "x2").agg(F.min("uid").alias("p"), F.count(F.lit(1)).alias("m")), "points")
     at = rows.select(F.col("uid").alias("p"), "v")
-    points_v = stage.write(points.select("g", "p", "m").join(at, "p"), "points_v")
-
-    centres, sizes = _centres(points_v, block)
-    shared = spark.sparkContext.broadcast(centres)
-
-    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cell, far = np.zeros(len(batch), dtype=np.int64), np.zeros(len(batch))
-            for g, index in batch.groupby("g").indices.items():
-                c = shared.value[g]
-                d = np.sqrt(np.maximum(2 - 2 * _units(_matrix(batch["v"].iloc[index])) @ c.T, 0.0))
-                cell[index], far[index] = d.argmin(axis=1), d.min(axis=1)
-            yield batch.assign(cell=cell, far=far)
-
-    homes = stage.write(points_v.mapInPandas(home, "p long, g string, m long, v array<double>, cell long, far double"), "homes")
-    radii = {}
-    for r in homes.groupBy("g", "cell").agg(F.max("far").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # CENTRES rows a label at most
-        radii[(r["g"], r["cell"])] = (r["r"], max(1, -(-r["n"] // block)))
-    cells = spark.sparkContext.broadcast(radii)
-    limit = math.sqrt(max(0.0, 2 - 2 * cosine))
+    points_v = points.select(F.col("g").alias("node"), "p", "m").join(at, "p")
+    counts, edges = _links(stage, points_v, cosine, block)
+    counts = counts.groupBy("p").agg(F.sum("n").alias("n"))
+    roots = components(spark, stage, edges, "points").select(F.col("node").alias("p"), "root")
+    with_roots = points.join(counts, "p", "left").join(roots, "p", "left").select("g", "x1", "x2", "p", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "p").alias("root"))
+    linked = good.select("vec_id", "uid", "g", *key).join(with_roots, ["g", "x1", "x2"])
+    linked = stage.write(linked.select("vec_id", "n_links", "root"), "linked")
+    least = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    out = linked.join(least, "root").select("vec_id", "n_links", "component_id")
+    alone = rows.filter(F.col("g").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A row for each pair of blocks that a vector takes part in: side 0 and 1 of a pair, or both of one block."""
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("g", "cell", "i", "j", "side", "row")}
-            for g, index in batch.groupby("g").indices.items():
-                c = shared.value[g]
-                own = batch["cell"].to_numpy()[index]
-                block_of = batch["p"].to_numpy()[index] * 2654435761 % (1 << 32)
-                d2 = np.maximum(2 - 2 * _units(_matrix(batch["v"].iloc[index])) @ c.T, 0.0)
-                between = np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-18))
-                for k, row in enumerate(index.tolist()):
-                    n = cells.value[(g, int(own[k]))][1]
-                    b = int(block_of[k] % n)
-                    for x in range(n):
-                        i, j = min(b, x), max(b, x)
-                        for name, v in zip(out, (g, int(own[k]), i, j, int(b != i), row), strict=True):
-                            out[name].append(v)
-                    near = d2[k] - d2[k, own[k]] <= 2 * limit * between[own[k]] + 1e-9
-                    near[: own[k] + 1] = False
-                    for other in np.flatnonzero(near).tolist():
-                        known = cells.value.get((g, other))
-                        if known is None or math.sqrt(d2[k, other]) > known[0] + limit + 1e-9:
-                            continue
-                        for x in range(known[1]):
-                            # visitors come in blocks too: those of their home cell and block are side 1 together
-                            for name, v in zip(out, (g, other, x, -1 - (int(own[k]) << 20) - b, 1, row), strict=True):
-                                out[name].append(v)
-            row = out.pop("row")
-            frame = pd.DataFrame(out)
-            frame["p"], frame["m"], frame["v"] = (batch[c].to_numpy()[row] for c in ("p", "m", "v"))
-            yield frame
-
-    dealt = homes.mapInPandas(deal, "g string, cell long, i long, j long, side int, p long, m long, v array<double>")
-    # a cell's own block also meets its visitors, under the key of each group of them
-    visits = stage.write(dealt.filter("j < 0"), "visits")
-    keys = visits.select("g", "cell", "i", "j").distinct()
-    hosts = dealt.filter("j >= 0 AND i = j").select("g", "cell", "i", "p", "m", "v").join(keys, ["g", "cell", "i"]).select("g", "cell", "i", "j", F.lit(0).alias("side"), "p", "m", "v")
-    work = dealt.filter("j >= 0").unionByName(visits).unionByName(hosts.select("g", "cell", "i", "j", "side", "p", "m", "v"))
+def _links(stage: Stage, points: DataFrame, cosine: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of points (node, p, m, v), with a root for a node: (p, n), how many links each has, in parts, and edges (a, b)."""
+    limit = math.sqrt(max(0.0, 2 - 2 * cosine))
+    rows = stage.write(points.select("node", "p", "m", "v", F.lit(True).alias("home")), "rows0")
+    nodes = stage.write(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).select("node", "n", F.lit(0).cast("long").alias("visitors"), F.lit(False).alias("settled")), "nodes0")
+    counts: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    level = 0
+    while True:
+        large = nodes.filter((F.col("n") > block) & (~F.col("settled") | (F.col("visitors") > 0)))
+        nets = None if large.isEmpty() else stage.write(_nets(rows, large), f"nets{level}")
+        leaves = nodes if nets is None else nodes.join(nets.select("node"), "node", "left_anti")
+        met = stage.write(_meet(rows, leaves, cosine, block), f"met{level}")
+        counts.append(met.filter("p >= 0").select("p", "n"))
+        edges.append(met.filter("a >= 0").select("a", "b"))
+        level += 1
+        if nets is None:
+            break
+        moved = stage.write(_moved(rows, nodes, nets, limit), f"moved{level}")
+        at_home = moved.filter("home")
+        new = stage.write(at_home.groupBy("node").agg(F.max("d").alias("r"), F.count(F.lit(1)).alias("n"), F.sum("m").alias("weight"), F.min("p").alias("rep"), F.first("settled").alias("settled")), f"new{level}")
+        visits = moved.filter("NOT home").join(new.select("node", "r", "weight", "rep"), "node").filter(F.col("d") <= F.col("r") + limit + _EPS)
+        whole = F.col("d") + F.col("r") < limit - _EPS
+        within = stage.write(visits.filter(whole).select("node", "p", "m", "weight", "rep"), f"within{level}")
+        dense = ~F.col("settled") & (2 * F.col("r") < limit - _EPS)
+        credit = within.groupBy("node").agg(F.sum("m").alias("credit"))
+        told = new.join(credit, "node", "left").select("node", "weight", "rep", F.coalesce("credit", F.lit(0)).alias("credit"), dense.alias("dense")).filter("credit > 0 OR dense")
+        own = at_home.select("node", "p", "m").join(stage.write(told, f"told{level}"), "node")
+        counts += [within.select("p", F.col("weight").alias("n")), own.select("p", (F.col("credit") + F.when(F.col("dense"), F.col("weight") - F.col("m")).otherwise(0)).alias("n"))]
+        edges += [within.select(F.col("p").alias("a"), F.col("rep").alias("b")), own.select(F.col("rep").alias("a"), F.col("p").alias("b"))]
+        columns = ["node", "p", "m", "v", "home"]
+        rows = stage.write(at_home.select(*columns).unionByName(visits.filter(~whole).select(*columns)), f"rows{level}")
+        sizes = rows.groupBy("node").agg(F.count_if("home").alias("n"), F.count_if(~F.col("home")).alias("visitors"))
+        nodes = stage.write(sizes.join(new.select("node", (F.col("settled") | dense).alias("settled")), "node"), f"nodes{level}")
+        stage.drop(f"rows{level - 1}")
+    return stage.write(reduce(DataFrame.unionByName, counts), "counts"), reduce(DataFrame.unionByName, edges)
+
+
+def _nets(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """(node, centres) for the nodes that can be split. A sample's vectors are those of least hash; half of the centres
+    are the farthest from those before, so that radii fall, and half come as the sample has them, so that sizes do."""
+    lot = F.xxhash64("p").cast("double") / 2.0**64 + 0.5
+    drawn = rows.filter("home").select("node", "p", "v").join(large.select("node", "n"), "node").filter(lot * F.col("n") < SAMPLE)
+
+    def net(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("p")
+        x = _units(_matrix(frame["v"]))
+        chosen = [0]
+        d = 2 - 2 * x @ x[0]
+        while len(chosen) < min(FANOUT, len(x)):
+            k = int(d.argmax()) if len(chosen) < FANOUT // 2 else int(np.flatnonzero(d > 1e-12)[0]) if (d > 1e-12).any() else 0
+            if d[k] <= 1e-12:
+                break
+            chosen.append(k)
+            d = np.minimum(d, 2 - 2 * x @ x[k])
+        return pd.DataFrame({"node": frame["node"].iloc[:1], "centres": [x[chosen].ravel().tolist()], "k": [len(chosen)]})
+
+    return drawn.select("node", "p", "v").groupBy("node").applyInPandas(net, "node string, centres array<double>, k int").filter("k > 1")
+
+
+def _moved(rows: DataFrame, nodes: DataFrame, nets: DataFrame, limit: float) -> DataFrame:
+    """(node, settled, p, m, v, home, d): rows of split nodes at the children that they live in or visit, and how far from
+    the child's centre they are. A node's rows are dealt to chunks; each chunk gets the node's centres."""
+    chunks = nodes.join(nets.select("node"), "node").select("node", "settled", F.ceil((F.col("n") + F.col("visitors")) / 4096).cast("int").alias("chunks"))
+    dealt = rows.join(chunks, "node").withColumn("chunk", F.pmod(F.xxhash64("p"), F.col("chunks"))).drop("chunks")
+    centres = nets.join(chunks.drop("settled"), "node").select("node", "centres", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"))
+
+    def move(frame: pd.DataFrame, net: pd.DataFrame) -> pd.DataFrame:
+        c = np.asarray(net["centres"].iloc[0], dtype=np.float64).reshape(int(net["k"].iloc[0]), -1)
+        x = _units(_matrix(frame["v"]))
+        d2 = np.maximum(2 - 2 * x @ c.T, 0.0)
+        between = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0.0))
+        home, settled = frame["home"].to_numpy(), frame["settled"].to_numpy()
+        own = d2.argmin(axis=1)
+        # a partner at child j is nearer to centre j than to any other, so j's side of each border is within the limit
+        able = np.ones(d2.shape, dtype=bool)
+        for i in range(len(c)):
+            able &= d2 - d2[:, i : i + 1] <= 2 * limit * between[i][None, :] + _EPS
+        able &= ~home[:, None] | (~settled[:, None] & (np.arange(len(c))[None, :] > own[:, None]))
+        visit, child = np.nonzero(able)
+        stay = np.flatnonzero(home)
+        row, child = np.concatenate([stay, visit]), np.concatenate([own[stay], child])
+        out = frame.iloc[row][["p", "m", "v", "settled"]].copy()
+        out["node"] = [f"{frame['node'].iloc[0]}.{j}" for j in child]
+        out["home"] = np.arange(len(row)) < len(stay)
+        out["d"] = np.sqrt(d2[row, child])
+        return out[["node", "settled", "p", "m", "v", "home", "d"]]
+
+    return dealt.groupBy("node", "chunk").cogroup(centres.groupBy("node", "chunk")).applyInPandas(move, "node string, settled boolean, p long, m long, v array<double>, home boolean, d double")
+
+
+def _meet(rows: DataFrame, leaves: DataFrame, cosine: float, block: int) -> DataFrame:
+    """(p, n, a, b): link counts (a is -1) and edges (p is -1) of the pairs that meet in leaves: of two vectors at home,
+    unless those are settled, and of one at home with a visitor. Leaves are cut into blocks, each two of which are a task."""
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    shape = leaves.filter((F.col("n") + F.col("visitors") > 1) & (~F.col("settled") | (F.col("visitors") > 0))).select("node", "settled", blocks("n").alias("h"), blocks("visitors").alias("w"))
+    dealt = rows.join(shape, "node")
+    dealt = dealt.withColumn("k", F.when(F.col("home"), F.pmod(F.xxhash64("p"), F.col("h"))).otherwise(F.col("h") + F.pmod(F.xxhash64("p"), F.greatest("w", F.lit(1)))).cast("int"))
+    first = F.when(F.col("home") & F.col("settled"), F.col("h")).otherwise(0)
+    last = F.when(F.col("home"), F.col("h") + F.col("w")).otherwise(F.col("h")) - 1
+    dealt = dealt.select("node", "p", "m", "v", "k", F.explode(F.sequence(first, last)).alias("x"))
+    work = dealt.select("node", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side"), "p", "m", "v")
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         one = bool(frame["i"].iloc[0] == frame["j"].iloc[0])
@@ -261,47 +313,10 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
         ids_a, ids_b = a["p"].to_numpy(), b["p"].to_numpy()
         parts = [(ids_a, links.na + (links.nb if one else 0))] + ([] if one else [(ids_b, links.nb)])
         counts = pd.DataFrame({"p": np.concatenate([x for x, _ in parts]), "n": np.concatenate([n for _, n in parts]), "a": -1, "b": -1})
-        edges = pd.DataFrame({"p": -1, "n": 0, "a": [ids_a[x] for x, _ in links.edges], "b": [ids_b[y] for _, y in links.edges]})
-        return pd.concat([counts[counts["n"] > 0], edges]).astype("int64")
-
-    found = stage.write(work.groupBy("g", "cell", "i", "j").applyInPandas(meet, "p long, n long, a long, b long"), "found")
-    counts = found.filter("p >= 0").groupBy("p").agg(F.sum("n").alias("n"))
-    roots = components(spark, stage, found.filter("a >= 0").select("a", "b"), "points").select(F.col("node").alias("p"), "root")
-    with_roots = points.join(counts, "p", "left").join(roots, "p", "left").select("g", "x1", "x2", "p", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "p").alias("root"))
-    linked = good.select("vec_id", "uid", "g", *key).join(with_roots, ["g", "x1", "x2"])
-    linked = stage.write(linked.select("vec_id", "n_links", "root"), "linked")
-    least = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = linked.join(least, "root").select("vec_id", "n_links", "component_id")
-    alone = rows.filter(F.col("g").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
-
+        found = pd.DataFrame({"p": -1, "n": 0, "a": [ids_a[x] for x, _ in links.edges], "b": [ids_b[y] for _, y in links.edges]})
+        return pd.concat([counts[counts["n"] > 0], found]).astype("int64")
 
-def _centres(points: DataFrame, block: int) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """For each group, as many centres as its size asks for: farthest points of a sample, so that they make a net."""
-    from strandline.llm.common import sampled
-
-    sizes = {r["g"]: r["n"] for r in points.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each label
-    wanted = {g: min(CENTRES, -(-n // block)) for g, n in sizes.items()}
-    drawn = sampled(points.select("g", "p"), "g", SAMPLE, "p").select("p")
-    many = [g for g, k in wanted.items() if k > 1]
-    frame = points.filter(F.col("g").isin(many)) if many else points.limit(0)
-    # one centre needs no sample: any vector of the group will do
-    single = points.filter(~F.col("g").isin(many)) if many else points
-    frame = frame.join(F.broadcast(drawn), "p", "left_semi").select("g", "p", "v").toPandas()
-    one = single.groupBy("g").agg(F.min(F.struct("p", "v")).alias("x")).select("g", F.col("x.v").alias("v")).toPandas()
-    out = {r.g: _units(np.asarray([r.v], dtype=np.float64)) for r in one.itertuples()}
-    for g, part in frame.sort_values("p").groupby("g"):
-        x = _units(_matrix(part["v"]))
-        chosen = [0]
-        d = 2 - 2 * x @ x[0]
-        while len(chosen) < min(wanted[g], len(x)):
-            k = int(d.argmax())
-            if d[k] <= 1e-12:
-                break
-            chosen.append(k)
-            d = np.minimum(d, 2 - 2 * x @ x[k])
-        out[g] = x[chosen]
-    return out, sizes
+    return work.groupBy("node", "i", "j").applyInPandas(meet, "p long, n long, a long, b long")
 
 
 def op5_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
