@@ -7,8 +7,9 @@ next arrival is later than every register's first. The share of equal registers
 
 Texts with the same words in the same order are one node from the start. Nodes meet in buckets of equal bands. All
 members of a bucket are first compared with one, then with four pivots, those that share most buckets with others; that
-joins groups of copies at a few comparisons a member. Buckets whose members are all connected by then are settled. The
-rest is compared in blocks: tasks of bounded size that report edges which connect what they find linked, not the links.
+joins groups of copies at a few comparisons a member. Buckets whose members are all connected by then are settled, and
+of buckets with the same members one stays. Each of the rest is compared in blocks: tasks of bounded size that report
+edges which connect what they find linked, not the links.
 Links are those of exact similarity >= 0.8; none that a bucket holds between different components is missed.
 """
 
@@ -25,19 +26,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Stage, WordTable, components, map_texts, table
+from strandline.llm.common import Stage, WordTable, components, hold, map_texts, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares none of the bands with a probability of (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
-#: Pivots of each bucket in the rounds before what is left is compared in blocks of BLOCK members.
+#: Pivots of each bucket in the rounds before what is left is compared in blocks of BLOCK members and BLOCK_WORDS words,
+#: about.
 PIVOTS = (1, 4)
 BLOCK = 512
+BLOCK_WORDS = 1_000_000
 
 _WORDS = re.compile(r"\w+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_TABLE = WordTable(lambda w: [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))], 1, most=300_000)
+_TABLE = WordTable(lambda w: [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))], 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -109,6 +112,8 @@ def _read(docs: DataFrame, keep: list[str]) -> DataFrame:
     """(*keep, h1, h2, n_words, sig)."""
 
     def make() -> Callable[[list[str | None]], list[list]]:
+        hold("near duplicates", _TABLE.forget)
+
         def say(texts: list[str | None]) -> list[list]:
             out: list[list] = [[], [], [], []]
             for text in texts:
@@ -128,6 +133,8 @@ def _shingle_rows(texts: DataFrame) -> DataFrame:
     """(uid, ids, counts): shingles as bytes; counts is null where all are 1."""
 
     def make() -> Callable[[list[str | None]], list[list]]:
+        hold("near duplicates", _TABLE.forget)
+
         def say(batch: list[str | None]) -> list[list]:
             found = [shingles(word_numbers(t)) for t in batch]
             return [[x.tobytes() for x, _ in found], [None if (n == 1).all() else n.astype("<u4").tobytes() for _, n in found]]
@@ -237,28 +244,29 @@ def _block_links(frame: pd.DataFrame, threshold: float) -> list[tuple[int, int]]
 
 
 def _in_blocks(stage: Stage, now: DataFrame, rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) among the members (bucket, uid, label) of buckets that pivots didn't settle. Buckets that share
-    members are one community; its members are dealt to blocks, those of its commonest label apart from the rest, and
-    each two blocks that can hold a link between labels meet in one task."""
-    spark = stage.spark
-    hub = now.groupBy("bucket").agg(F.min("uid").alias("b"))
-    roots = components(spark, stage, now.join(hub, "bucket").select(F.col("uid").alias("a"), "b"), "communities")
-    members = stage.write(now.select("uid", "label").distinct().join(roots.select(F.col("node").alias("uid"), F.col("root").alias("c")), "uid"), "members")
-    per_label = members.groupBy("c", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = per_label.groupBy("c").agg(F.max(F.struct("n", "label")).alias("t"), F.sum("n").alias("all"))
-    shape = top.select("c", F.col("t.label").alias("top"), F.ceil(F.col("t.n") / BLOCK).cast("int").alias("n_top"), F.ceil((F.col("all") - F.col("t.n")) / BLOCK).cast("int").alias("n_rest"))
-    dealt = members.join(shape, "c").filter("n_rest > 0")
+    """Links (a, b) among the members (bucket, uid, label) of buckets that pivots didn't settle. Members of a bucket are
+    dealt to blocks, those of its commonest label apart from the rest, and each two blocks that can hold a link between
+    labels meet in one task. Members that share no bucket never meet."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "uid")).alias(f"x{k}") for k in range(2)]
+    sets = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *marks)
+    one = stage.write(sets.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket"), "blocked")
+    members = stage.write(now.select("bucket", "uid", "label").join(one, "bucket").join(rows.select("uid", "n_words"), "uid"), "blocked_members")
+    per_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
+    top = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label", "words")).alias("t"), F.sum("n").alias("n"), F.sum("words").alias("words"))
+    blocks = lambda n, words: F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
+    shape = top.select("bucket", F.col("t.label").alias("top"), blocks(F.col("t.n"), F.col("t.words")).alias("n_top"), blocks(F.col("n") - F.col("t.n"), F.col("words") - F.col("t.words")).alias("n_rest"))
+    dealt = members.drop("n_words").join(stage.write(shape, "shape"), "bucket").filter("n_rest > 0")
     # blocks of the commonest label count from 0, the others' from n_top; (i, j) with i <= j names a task
     mine = F.when(F.col("label") == F.col("top"), F.pmod(F.xxhash64("uid"), F.col("n_top"))).otherwise(F.col("n_top") + F.pmod(F.xxhash64("uid"), F.col("n_rest"))).cast("int")
     dealt = dealt.withColumn("k", mine)
     meets = F.when(F.col("k") < F.col("n_top"), F.sequence(F.col("n_top"), F.col("n_top") + F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_top") + F.col("n_rest") - 1))
-    dealt = dealt.select("c", "uid", "label", "k", F.explode(meets).alias("x")).select("c", "uid", "label", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side"))
+    dealt = dealt.select("bucket", "uid", "label", "k", F.explode(meets).alias("x")).select("bucket", "uid", "label", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side"))
     content = known.join(rows.select("uid", "sig"), "uid")
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_block_links(frame, threshold), columns=["a", "b"]).astype("int64")
 
-    return dealt.join(content, "uid").groupBy("c", "i", "j").applyInPandas(meet, "a long, b long")
+    return dealt.join(content, "uid").groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY, keep: list[str] | None = None) -> DataFrame:
@@ -267,8 +275,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
 
     Texts without any word (null and empty ones among them) have no shingles and no links: each is a class of its own.
     Texts of under five words are one shingle. Null doc_id: takes part, comes last in order; a class of such rows alone
-    has a null class_id. Repeated rows are copies of each other. Empty table: no rows."""
-    keep = keep or ["doc_id"]
+    has a null class_id. Repeated rows are copies of each other. Empty table: no rows. Kept columns may have any
+    name; one called class_id or kept is replaced."""
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in ("class_id", "kept")]
     stage = Stage(spark)
     columns = {c: f"c{i}" for i, c in enumerate(dict.fromkeys(["doc_id", "text", *keep]))}
     plain = docs.select(*(docs[f"`{c}`"].alias(n) for c, n in columns.items()), docs["text"].alias("text"))
@@ -281,7 +290,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     first = nodes.select(F.col("first.uid").alias("uid"))
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring(F.col("sig"), 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
     banded = with_words.select("uid", "sig").join(first, "uid", "left_semi").select("uid", F.explode(bands).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    # a table, so that the join is a plain one, which adaptive execution splits at a hot bucket
+    shared = stage.write(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
     members = stage.write(banded.join(shared, "bucket").select("bucket", "uid"), "members0")
     some = members.select("uid").distinct()
     known = stage.write(_shingle_rows(rows.select("uid", F.col("c1").alias("text")).join(some, "uid", "left_semi")), "shingles")
@@ -302,7 +312,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
         """Members of buckets that hold different labels, and how many of the bucket's members share buckets with each."""
         now = members.withColumn("label", F.col("uid")) if labels is None else members.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("label", "uid").alias("label"))
         mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-        now = now.join(mixed.select("bucket", "n"), "bucket")
+        now = now.join(stage.write(mixed.select("bucket", "n"), f"unlike{k}"), "bucket")
         central = now.groupBy("uid").agg(F.sum("n").alias("central"))
         return stage.write(now.select("bucket", "uid", "label").join(central, "uid"), f"mixed{k}")
 
