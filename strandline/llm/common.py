@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import re
 import tempfile
@@ -10,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -66,16 +68,13 @@ def crc_rest(doc_id: str, n: int) -> Column:
 
 
 def sampled(df: DataFrame, by: str, at_most: int, key: str) -> DataFrame:
-    """At most `at_most` rows of each value of `by`, those with the smallest hash of `key`. The counts of the values say
-    below which hash that many rows are to be expected, six standard errors and 20 rows more; only those are ranked, so
-    the ranking task of a value gets about `at_most` rows whatever the input is. The counts (a row for each value) are
-    broadcast: a caller has a model row for each value anyway."""
-    most = at_most + 6 * math.sqrt(at_most) + 20
+    """About `at_most` rows of each value of `by` (all where there are fewer), those with the smallest hashes of `key`:
+    the counts of the values say below which hash that many are to be expected. With different keys the number is off by
+    six standard errors, 6 * sqrt(at_most), less than once in a billion samples. No row is shuffled. The counts, a row
+    for each value, are broadcast: a caller's model has a row for each value anyway."""
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    lot = F.xxhash64(F.col(key).cast("string"))
-    few = df.join(F.broadcast(counts), by).filter((lot.cast("double") / 2.0**64 + 0.5) * F.col("_n") < most)
-    w = Window.partitionBy(by).orderBy(lot, F.col(key))
-    return few.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= at_most).drop("_rank", "_n")
+    lot = F.xxhash64(F.col(key).cast("string")).cast("double") / 2.0**64 + 0.5
+    return df.join(F.broadcast(counts), by).filter(lot * F.col("_n") < at_most).drop("_n")
 
 
 def in_one_task(rows: DataFrame, order: list[Column], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> list:
@@ -115,7 +114,9 @@ def components(spark: SparkSession, stage: Stage, edges: DataFrame, name: str) -
 
 def map_texts(docs: DataFrame, keep: list[str], added: str, make: Callable[[], Callable[[list[str | None]], list[list]]]) -> DataFrame:
     """Rows (*keep, *added): the kept columns as they are, and what a Python function says of each whole text. make() is
-    called once in each task and gives the function, from a batch's texts to one list for each added column."""
+    called once in each task and gives the function, from a batch's texts to one list for each added column. A kept
+    column that is called like an added one is left out."""
+    keep = [c for c in keep if c.lower() not in {f.name.lower() for f in T.StructType.fromDDL(added)}]
     given = docs.select(*(docs[f"`{c}`"].alias(f"k{i}") for i, c in enumerate(keep)), docs["text"].cast("string").alias("t"))
     new = T.StructType.fromDDL(added)
     schema = T.StructType([*given.schema.fields[:-1], *(T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new.fields))])
@@ -124,21 +125,46 @@ def map_texts(docs: DataFrame, keep: list[str], added: str, make: Callable[[], C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         say = make()
-        for batch in batches:
-            found = say(batch.column(n).to_pylist())
-            arrays = [batch.column(i) for i in range(n)] + [pa.array(x, type=kind) for x, kind in zip(found, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f"k{i}" for i in range(n)] + [f"n{i}" for i in range(len(kinds))])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):  # a part at a time, for what it becomes may be larger than the texts
+                batch = whole.slice(at, 1000)
+                found = say(batch.column(n).to_pylist())
+                arrays = [batch.column(i) for i in range(n)] + [pa.array(x, type=kind) for x, kind in zip(found, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f"k{i}" for i in range(n)] + [f"n{i}" for i in range(len(kinds))])
 
     return given.mapInArrow(run, schema).toDF(*keep, *new.fieldNames())
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def hold(name: str, forget: Callable[[], None]) -> None:
+    """Says that this worker process now remembers something for the operator `name`, and how to forget it. What it holds
+    for others is forgotten: Spark keeps workers between stages, so their memories would add up."""
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    _HELD[name] = forget
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system, where the C library can do that."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class WordTable:
     """Numbers of each distinct word, kept between texts within a bound; one array row for each word of a text."""
 
-    def __init__(self, say: Callable[[str], list[int]], width: int, most: int = 400_000):
-        self.say, self.most = say, most
+    def __init__(self, say: Callable[[str], list[int]], width: int, most: int = 250_000):
+        self.say, self.most, self.width = say, most, width
+        self.forget()
+
+    def forget(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((most, width), dtype=np.uint64)
+        self.table = np.zeros((self.most, self.width), dtype=np.uint64)
 
     def __call__(self, words: list[str]) -> np.ndarray:
         rows = self.rows

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import crc_rest, in_one_task, map_texts, sampled, table
 
 BITS = 16
-#: Labelled texts of each language that the machines are fitted on, at most.
+#: Labelled texts of each language that the machines are fitted on, about at most (the error is that of a random sample).
 AT_MOST = 1500
 #: Features of all texts of the sample together, at most; texts past that, in the order of the hash, aren't learnt.
 MOST_IDS = 20_000_000

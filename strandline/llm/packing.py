@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Stage, table
+from strandline.llm.common import Stage, hold, table
 
 MAX_LENGTH = 4096
 END_ID = 1
@@ -45,7 +45,7 @@ class Encoder:
     text can be encoded alone and remembered. Both memories are bounded and emptied when full; what is remembered never
     changes a result."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -111,6 +111,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One for each worker process, kept between tasks."""
+    hold("packing", _ENCODERS.clear)
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use all cores
         _ENCODERS[path] = Encoder(path)

@@ -2,7 +2,7 @@
 
 Every coordinate has its own learning rate and an L1 threshold, so that only n-grams seen in several labelled texts get
 a weight; the model that is sent to the executors is the list of those. Fitting uses a bounded sample of labelled texts
-(`at_most` of each label, by the smallest hash of doc_id, and `most_ids` features in all), scoring covers every whole text.
+(about `at_most` of each label, by the smallest hash of doc_id, and `most_ids` features in all), scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordTable, crc_rest, in_one_task, map_texts, sampled, table
+from strandline.llm.common import WordTable, crc_rest, give_back, hold, in_one_task, map_texts, sampled, table
 
 BITS = 20
-#: Labelled texts of each label that the model is fitted on, at most.
+#: Labelled texts of each label that the model is fitted on, about at most (the error is that of a random sample).
 AT_MOST = {1: 3000, 0: 6000}
 #: Distinct features of all texts of the sample together, at most; texts past that, in the order of the hash, aren't learnt.
 MOST_IDS = 40_000_000
@@ -63,14 +63,14 @@ class Ftrl:
     epochs: int = 5
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Ids with a weight, the weights, the bias. Ids in under three texts can't pass L1 in any useful way and are left out."""
+        """Ids with a weight, the weights, the bias, of rows of different ids, which are shortened in place. Ids in under three texts can't pass L1 in any useful way and are left out."""
         size = (1 << self.bits) + 1
         bias = size - 1
         n_docs = np.zeros(size, dtype=np.int32)
-        rows = [np.unique(r) for r in rows]
         for r in rows:
             n_docs[r] += 1
-        rows = [np.append(r[n_docs[r] >= 3], bias) for r in rows]
+        for k, r in enumerate(rows):  # in place: what is left out needn't be held twice
+            rows[k] = np.append(r[n_docs[r] >= 3], bias)
         z, n = np.zeros(size), np.zeros(size)
         l1 = np.full(size, self.l1)
         l1[bias] = 0.0
@@ -113,11 +113,13 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: dict[int, int] | None = Non
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def make() -> Callable[[list[str | None]], list[list]]:
+        hold("toxicity", _TABLE.forget)
         return lambda texts: [[np.unique(features(t, bits)).tobytes() for t in texts]]
 
     rows = map_texts(some, ["doc_id", "toxic"], "ids binary", make).groupBy("doc_id").agg(F.min(F.struct("ids", "toxic")).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity fit", give_back)
         ids: list[np.ndarray] = []
         toxic: list[int] = []
         held = 0
@@ -129,6 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, at_most: dict[int, int] | None = Non
                     ids.append(one.copy())
                     toxic.append(y)
         found, weights, bias = model.fit(ids, np.asarray(toxic, dtype=float))
+        ids.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1), type=pa.int32()), pa.array(np.append(weights, bias), type=pa.float64())], names=["id", "w"])
 
     got = in_one_task(rows.select("doc_id", "row.ids", "row.toxic").select("ids", "toxic", "doc_id"), [F.xxhash64(F.col("doc_id").cast("string")), F.col("doc_id")], run, "id int, w double")
@@ -144,6 +148,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], bits: in
     ids, weights, bias = model
 
     def make() -> Callable[[list[str | None]], list[list]]:
+        hold("toxicity", _TABLE.forget)
         dense = np.zeros(1 << bits, dtype=np.float32)
         dense[ids] = weights
 

@@ -13,30 +13,32 @@ from strandline.llm import language, toxicity
 from strandline.llm.common import sampled
 
 
+def hashed(i):
+    return int(np.int64(np.uint64(xxhash.xxh64_intdigest(str(i).encode(), seed=42))))
+
+
 def by_hash(ids):
     """Ids in the order of Spark's xxhash64 of their text."""
-    return sorted(ids, key=lambda i: (int(np.int64(np.uint64(xxhash.xxh64_intdigest(str(i).encode(), seed=42)))), i))
+    return sorted(ids, key=lambda i: (hashed(i), i))
+
+
+def drawn(ids, most):
+    ids = list(ids)
+    return [i for i in ids if (hashed(i) / 2.0**64 + 0.5) * len(ids) < most]
 
 
 @pytest.mark.parametrize("n", [0, 3, 50, 5000])
 def test_samples_are_the_least_hashes(spark, n):
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 9, "hot").otherwise("cold").alias("lang")).repartition(7)
     got = {r.doc_id for r in sampled(rows, "lang", 40, "doc_id").collect()}
-    assert got == set(by_hash(i for i in range(n) if i % 10 < 9)[:40]) | set(by_hash(i for i in range(n) if i % 10 == 9)[:40])
-
-
-def test_sample_ranks_few_rows(spark):
-    """The ranking task sees about as many rows as are asked for, not those of the hot value."""
-    rows = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("hot").alias("lang"))
-    most = 100
-    df = sampled(rows, "lang", most, "doc_id")
-    assert df.count() == most
-    counts = rows.filter((F.xxhash64(F.col("doc_id").cast("string")).cast("double") / 2.0**64 + 0.5) * 200_000 < most + 6 * 10 + 20).count()
-    assert most <= counts < 4 * most
+    parts = [[i for i in range(n) if (i % 10 < 9) == hot] for hot in (True, False)]
+    assert got == {i for part in parts for i in drawn(part, 40)}
+    for part in parts:
+        assert abs(len(got & set(part)) - min(40, len(part))) <= (6 * 40**0.5 if len(part) > 40 else 0)
 
 
 def plain_toxicity(texts, labels, at_most):
-    chosen = {i for y, most in at_most.items() for i in by_hash(k for k, v in labels.items() if v == y)[:most]}
+    chosen = {i for y, most in at_most.items() for i in drawn((k for k, v in labels.items() if v == y), most)}
     rows = by_hash(i for i in chosen if i in texts)
     return toxicity.Ftrl().fit([np.unique(toxicity.features(texts[i])) for i in rows], np.asarray([labels[i] for i in rows], dtype=float))
 
@@ -78,7 +80,7 @@ def test_language_is_the_plain_fit_and_vote(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
     learn = [i for i, r in rows.items() if r.lang is not None and zlib.crc32(str(i).encode()) % 4 != 2]
-    chosen = {i for x in {rows[i].lang for i in learn} for i in by_hash(k for k in learn if rows[k].lang == x)[: language.AT_MOST]}
+    chosen = {i for x in {rows[i].lang for i in learn} for i in drawn((k for k in learn if rows[k].lang == x), language.AT_MOST)}
     order = by_hash(chosen)
     model = language.machines_of([language.vector(rows[i].text or "") for i in order], np.asarray([rows[i].lang for i in order], dtype=object), None, language.BITS)
     for r in language.op3_language_families(spark, data).collect():
