@@ -36,6 +36,17 @@ def kmer_starts(length: Column, k: int) -> Column:
     return F.when(length >= k, F.sequence(F.lit(0), length - k)).otherwise(F.array().cast("array<int>"))
 
 
+def part_size(length: Column, parts: Column, i: Column, policy: str = "small_ends") -> Column:
+    """Size of part i (from 0) of a length that is cut into so many nearly equal parts. What is left over goes to the last
+    parts (small_first), to the first (large_first), or to those nearest the middle (small_ends); large_ends leaves the
+    smaller ones in the middle. The middle is part parts div 2, then its left neighbour, its right one, and so on."""
+    base, rest = F.floor(length / parts).cast("int"), (length % parts).cast("int")
+    middle = F.floor(parts / 2).cast("int")
+    rank = F.when(i < middle, 2 * (middle - i) - 1).otherwise(2 * (i - middle))
+    larger = {"small_first": i >= parts - rest, "large_first": i < rest, "small_ends": rank < rest, "large_ends": rank >= parts - rest}[policy]
+    return base + larger.cast("int")
+
+
 def left_context(seq: Column, pos: Column, size: int) -> Column:
     """`size` bases before pos, filled with A beyond the start; N counts as A."""
     start = F.greatest(pos - size, F.lit(0))

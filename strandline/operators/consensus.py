@@ -42,7 +42,7 @@ def best_shifts(accepted: DataFrame, min_weight: float = 0.0) -> DataFrame:
 def votes(best: DataFrame, reads: DataFrame, stranded: DataFrame) -> DataFrame:
     """(read_id, pos, base, w): the read's own bases and those of its overlaps; N never votes. Qualities scale a vote."""
     qual = "qual" in reads.columns
-    p = lambda c: right_probability(F.ascii(F.expr(c)) - 33) if qual else F.lit(1.0)
+    p = lambda c: F.coalesce(right_probability(F.ascii(F.expr(c)) - 33), F.lit(1.0)) if qual else F.lit(1.0)
     own = reads.select("read_id", "seq", *(["qual"] if qual else []), F.posexplode(F.split("seq", "")).alias("pos", "base"))
     own = own.filter(F.col("base") != "").select("read_id", "pos", "base", p("substring(qual, pos + 1, 1)").alias("w"))
     b = stranded.select(F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), F.col("seq").alias("b"), *([F.col("qual").alias("bq")] if qual else []))
@@ -89,11 +89,11 @@ def trim_range(weights: list[float] | None, factor: float) -> tuple[int, int]:
 
 
 def trim(corrected: DataFrame, factor: float) -> DataFrame:
-    """(read_id, seq, weights) cut by trim_range, with trimmed, the number of bases that went."""
+    """(read_id, seq, weights) cut by trim_range, with start, the first place that stays, and trimmed, how many bases went."""
 
     @F.pandas_udf("start int, end int")
     def ranges(weights: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([trim_range(w, factor) for w in weights], columns=["start", "end"])
 
     rows = corrected.withColumn("_r", ranges("weights")).withColumn("_n", F.length("seq"))
-    return rows.select("read_id", F.expr("substring(seq, _r.start + 1, _r.end - _r.start)").alias("seq"), F.expr("slice(weights, _r.start + 1, _r.end - _r.start)").alias("weights"), F.expr("_n - (_r.end - _r.start)").alias("trimmed"))
+    return rows.select("read_id", F.expr("substring(seq, _r.start + 1, _r.end - _r.start)").alias("seq"), F.expr("slice(weights, _r.start + 1, _r.end - _r.start)").alias("weights"), F.col("_r.start").alias("start"), F.expr("_n - (_r.end - _r.start)").alias("trimmed"))

@@ -1,22 +1,24 @@
 """Consensus with insertions and deletions: a weighted graph of alternatives along each read, and its best path.
 
-Nodes are places of the read: its own base, another base there, or the n-th base inserted before it. Each overlapping
-read adds its weight to the edges of the path that its edit script takes. The best path maximises the product of the
-edges' shares at each node.
+Nodes are places of the read, with its own base, and stretches inserted before a place; a substitution is an insertion and
+a deletion. Each overlapping read adds its weight to the edges of the path that its edit script takes. The best path
+maximises the product of the edges' shares at each node; where the read's own edge is heavy enough, it is the only one.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.consensus import trim_range
 from strandline.operators.distance import EDIT, edit_script, extend, extend_back
 
-Node = tuple[int, int, str]  # place, number of the inserted base before it (-1: the place itself), base
+Node = tuple[int, str]  # a place and what is inserted before it up to this base; '' is the place itself
 
 
 def common_seed(a: str, b: str, k: int) -> tuple[int, int, int]:
@@ -39,9 +41,9 @@ def common_seed(a: str, b: str, k: int) -> tuple[int, int, int]:
     return best
 
 
-def overlap_path(a: str, b: str, k: int, error_rate: float, min_overlap: int, mode: str = EDIT) -> tuple[int, int, list[tuple[int, str, str]], int, int] | None:
-    """(start and end in a, script with places in a, errors, allowed) of b's overlap with a, None if there is none that is
-    good enough."""
+def overlap_path(a: str, b: str, k: int, error_rate: float, min_overlap: int, mode: str = EDIT, min_share: float = 0.0) -> tuple[int, int, list[tuple[int, str, str]], int, int, int] | None:
+    """(start and end in a, script with places in a, errors, allowed, start in b) of b's overlap with a, None if there is
+    none that is good enough. The overlap's size is that of its shorter side; errors allowed are those of a's side."""
     i, j, n = common_seed(a, b, k)
     if not n:
         return None
@@ -50,105 +52,208 @@ def overlap_path(a: str, b: str, k: int, error_rate: float, min_overlap: int, mo
     d2, la2, lb2 = extend(a[i + n :], b[j + n :], limit, mode)
     if d1 < 0 or d2 < 0:
         return None
-    size = la1 + n + la2
-    allowed = int(error_rate * size)
-    if d1 + d2 > allowed or size - d1 - d2 < min_overlap:
+    size_a, size_b = la1 + n + la2, lb1 + n + lb2
+    errors, least = d1 + d2, max(min_overlap, int(min_share * len(a)))
+    if errors > int(error_rate * min(size_a, size_b)) or min(size_a, size_b) - errors < least:
         return None
     start = i - la1
     script = [(start + p, op, c) for p, op, c in edit_script(a[start:i], b[j - lb1 : j], mode)]
     script += [(i + n + p, op, c) for p, op, c in edit_script(a[i + n : i + n + la2], b[j + n : j + n + lb2], mode)]
-    return start, i + n + la2, script, d1 + d2, allowed
+    return start, i + n + la2, script, errors, int(error_rate * size_a), j - lb1
 
 
-def right_shifted(a: str, script: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
-    """Deletions and insertions within a run of one base move to the run's end, so equal edits meet."""
-    out, limit = [], len(a)
-    for p, op, c in reversed(script):  # no edit passes the one after it
-        if op == "D":
-            while p + 1 < limit and a[p + 1] == c:
-                p += 1
-        elif op == "I":
-            while p < limit and a[p] == c:
-                p += 1
-        out.append((p, op, c))
-        limit = p
-    return out[::-1]
+def normalized(a: str, start: int, end: int, script: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
+    """The script on a[start:end] in one form for all that do the same: a substitution is an insertion and a deletion,
+    both move right over bases that are the same, insertions come before deletions, and an insertion and a deletion of one
+    base next to each other cancel out."""
+    by_place: dict[int, list[tuple[str, str]]] = defaultdict(list)
+    for p, op, c in script:
+        by_place[p].append((op, c))
+    columns: list[tuple[str, str]] = []  # a base of a, or none; a base of the other, or none
+    for p in range(start, end + 1):
+        columns += [("", c) for op, c in by_place.get(p, ()) if op == "I"]
+        if p == end:
+            break
+        changed = [(op, c) for op, c in by_place.get(p, ()) if op != "I"]
+        if not changed:
+            columns.append((a[p], a[p]))
+        else:
+            columns += [("", changed[0][1])] * (changed[0][0] == "S") + [(a[p], "")]
+    at = len(columns) - 2
+    while at >= 0:
+        (x, y), (u, v) = columns[at], columns[at + 1]
+        if bool(x) != bool(y):  # an insertion or a deletion, and what follows it
+            if u == v == x + y:
+                columns[at], columns[at + 1] = columns[at + 1], columns[at]
+                at = min(at + 1, len(columns) - 2)
+                continue
+            if bool(u) != bool(v) and bool(x) != bool(u):
+                if x + y == u + v:
+                    columns[at : at + 2] = [(x + y, x + y)]
+                    at = min(at, len(columns) - 2)
+                    continue
+                if x:
+                    columns[at], columns[at + 1] = columns[at + 1], columns[at]
+                    at = min(at + 1, len(columns) - 2)
+                    continue
+        at -= 1
+    out, p = [], start
+    for x, y in columns:
+        if not x:
+            out.append((p, "I", y))
+        else:
+            if not y:
+                out.append((p, "D", x))
+            p += 1
+    return out
 
 
 def path_nodes(a: str, start: int, end: int, script: list[tuple[int, str, str]]) -> list[Node]:
+    """The nodes that a script passes on a[start:end], and the inserted ones at its end."""
     by_place: dict[int, list[tuple[str, str]]] = defaultdict(list)
     for p, op, c in script:
         by_place[p].append((op, c))
     out: list[Node] = []
     for p in range(start, end + 1):
-        inserted = [c for op, c in by_place.get(p, ()) if op == "I"]
-        out += [(p, n, c) for n, c in enumerate(inserted)]
-        if p == end:
-            break
-        ops = [(op, c) for op, c in by_place.get(p, ()) if op != "I"]
-        if any(op == "D" for op, _ in ops):
-            continue
-        out.append((p, -1, ops[0][1] if ops else a[p]))
+        inserted = "".join(c for op, c in by_place.get(p, ()) if op == "I")
+        changed = [(op, c) for op, c in by_place.get(p, ()) if op != "I"]
+        if changed and changed[0][0] == "S":
+            inserted += changed[0][1]
+        out += [(p, inserted[: n + 1]) for n in range(len(inserted))]
+        if p < end and not changed:
+            out.append((p, ""))
     return out
 
 
+def node_base(a: str, n: Node) -> str:
+    return n[1][-1:] or a[n[0] : n[0] + 1]
+
+
 def _order(n: Node) -> tuple:
-    return (n[0], n[1] if n[1] >= 0 else 1 << 30, n[2])
+    return (n[0], len(n[1]) or 1 << 30, n[1])
+
+
+Path = tuple[list[float], list[Node], bool, bool]
 
 
-def best_path(a: str, paths: list[tuple[float, list[Node]]]) -> str:
-    """The read after correction: nodes in order, from its first to its last, with the largest product of shares; the
-    read's own way wins ties."""
+def best_path(a: str, paths: list[Path], own: list[float] | None = None, reserve: float = math.inf, reserve_share: float = 1.0) -> tuple[list[Node], list[float]]:
+    """The nodes of the read after correction, and the weights of the edges to them and to the end.
+
+    paths: for each overlap the weight of the edge to each of its nodes, and of one to the end, its nodes, and whether it
+    holds the read's start and its end. own: the
+    same of the read itself (1 each by default). The read's own edge is the only one where it has the weight `reserve`, or
+    `reserve_share` of the heaviest; bases that are unknown are passed only where nothing else is; the read's own way wins
+    ties."""
     if not a:
-        return a
-    first, last = (-1, -1, ""), (len(a), -1, "")
+        return [], []
+    first, last = (-1, ""), (len(a), "")
     edges: dict[Node, dict[Node, float]] = defaultdict(lambda: defaultdict(float))
-    own = [first, *((i, -1, c) for i, c in enumerate(a)), last]
-    for x, y in zip(own, own[1:], strict=False):
-        edges[x][y] += 1.0
-    for w, nodes in paths:
-        # a path that reaches the read's end leads to the end as well; the same at its start
-        chain = ([first] if nodes and nodes[0][0] == 0 else []) + nodes + ([last] if nodes and nodes[-1][0] >= len(a) - 1 else [])
-        for x, y in zip(chain, chain[1:], strict=False):
-            if _order(x) < _order(y):
-                edges[x][y] += w
+    line = [first, *((i, "") for i in range(len(a))), last]
+    follows = dict(zip(line, line[1:], strict=False))
+    for (x, y), w in zip(follows.items(), own or [1.0] * (len(a) + 1), strict=True):
+        edges[x][y] += w
+    for weights, nodes, at_start, at_end in paths:
+        chain = [first] * at_start + nodes + [last] * at_end
+        for x, y, w in zip(chain, chain[1:], weights if at_start else weights[1:], strict=False):
+            edges[x][y] += w
     score, back = {first: 0.0}, {}
-    mine = set(zip(own, own[1:], strict=False))
     for x in sorted(edges, key=_order):
         if x not in score:
             continue
-        total = sum(edges[x].values())
-        for y, w in sorted(edges[x].items(), key=lambda e: ((x, e[0]) not in mine, _order(e[0]))):
-            s = score[x] + math.log(w / total)
+        out = edges[x]
+        most, mine = max(out.values()), out.get(follows.get(x, x), 0.0) if node_base(a, follows.get(x, x)) != "N" else 0.0
+        if x in follows and (mine >= reserve or most < 1e-4 or mine / most >= reserve_share):
+            out = {follows[x]: 1.0}
+        else:
+            known = {y: w for y, w in out.items() if node_base(a, y) != "N"}
+            out = known if sum(known.values()) > 1e-4 else out
+        total = sum(out.values())
+        for y, w in sorted(out.items(), key=lambda e: (e[0] != follows.get(x), _order(e[0]))):
+            s = score[x] + math.log(w / total) if w > 0 else -math.inf
             if y not in score or s > score[y] + 1e-12:
                 score[y], back[y] = s, x
-    out, at = [], last
+    nodes, weights, at = [], [], last
     while at != first:
-        out.append(at[2])
+        weights.append(edges[back[at]][at])
+        nodes.append(at)
         at = back[at]
-    return "".join(reversed(out))
+    return nodes[:0:-1], weights[::-1]
+
+
+def path_quality(nodes: list[Node], quality: list[int]) -> list[int]:
+    """Own bases keep their quality; a new one gets the whole mean of those from the own base before to the one after it."""
+    own = [n[0] if not n[1] else -1 for n in nodes]
+    before, after, low, high = [], [], 0, len(quality) - 1
+    for p in own:
+        low = p if p >= 0 else low
+        before.append(low)
+    for p in reversed(own):
+        high = p if p >= 0 else high
+        after.append(high)
+    return [quality[p] if p >= 0 else sum(quality[x : y + 1]) // (y + 1 - x) for p, x, y in zip(own, before, reversed(after), strict=True)]
+
 
+def right_share(ordinal: int) -> float:
+    return 0.1 if ordinal <= 0 else 1 - 10 ** (-ordinal / 10)
 
-def correct_read(a: str, others: list[str], k: int, error_rate: float, min_overlap: int, min_weight: float = 0.0, mode: str = EDIT) -> str:
+
+def correct_read(a: str, others: list[tuple[str, str | None]], options: EditOptions, quality: str | None = None) -> tuple[str, str | None]:
+    """The corrected read and its quality (None without one). others: sequences with qualities or None."""
     paths = []
-    for b in others:
-        found = overlap_path(a, b, k, error_rate, min_overlap, mode)
-        if found:
-            start, end, script, errors, allowed = found
-            w = 1.0 if allowed <= 0 else 1 - (1 - min_weight) * math.sqrt(errors / allowed)
-            if w > 0:
-                paths.append((w, path_nodes(a, start, end, right_shifted(a, script))))
-    return best_path(a, paths)
-
-
-def correct_edit(cands: DataFrame, reads: DataFrame, stranded: DataFrame, k: int, error_rate: float, min_overlap: int, min_weight: float = 0.0, mode: str = EDIT) -> DataFrame:
-    """(read_id, seq): each read with its candidates' sequences (capped before, so a row is bounded) in one kernel call."""
-    b = stranded.select(F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), F.col("seq").alias("b"))
-    lists = cands.join(b, ["cand_id", "cand_strand"]).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("max_overlap")).alias("o"), "cand_id", "cand_strand", "b"))).alias("l"))
-    rows = reads.select("read_id", "seq").join(lists.select("read_id", F.transform("l", lambda x: x["b"]).alias("others")), "read_id", "left")
-
-    @F.pandas_udf("string")
-    def fix(seq: pd.Series, others: pd.Series) -> pd.Series:
-        return pd.Series([correct_read(a, list(o) if o is not None else [], k, error_rate, min_overlap, min_weight, mode) for a, o in zip(seq, others, strict=True)])
-
-    return rows.select("read_id", fix("seq", "others").alias("seq"))
+    for b, bq in others:
+        found = overlap_path(a, b, options.k, options.error_rate, options.min_overlap, options.mode, options.min_share)
+        if not found:
+            continue
+        start, end, script, errors, allowed, at_b = found
+        w = 1.0 if allowed <= 0 else 1 - (1 - options.min_weight) * math.sqrt(errors / allowed)
+        if w <= 0:
+            continue
+        nodes = path_nodes(a, start, end, normalized(a, start, end, script))
+        scale = [right_share(ord(c) - 33) for c in bq[at_b : at_b + len(nodes)]] if bq else [1.0] * len(nodes)
+        paths.append(([w if n[1] else w * s for n, s in zip(nodes, scale, strict=True)] + [w], nodes, start == 0, end == len(a)))
+    ordinals = [ord(c) - 33 for c in quality] if quality is not None else None
+    own = [right_share(q) for q in ordinals] + [1.0] if ordinals is not None and options.use_quality else None
+    nodes, weights = best_path(a, paths, own, options.reserve, options.reserve_share)
+    kept = range(len(nodes))
+    if options.trim_factor and nodes:  # the edges are gone through from the read's end
+        low, high = trim_range(weights[::-1], options.trim_factor)
+        kept = range(len(nodes) - max(high - 1, low), len(nodes) - low)
+    done = "".join(node_base(a, nodes[i]) for i in kept)
+    if ordinals is None:
+        return done, None
+    new = path_quality(nodes, ordinals)
+    return done, "".join(chr(33 + min(max(new[i], 0), 93)) for i in kept)
+
+
+@dataclass(frozen=True)
+class EditOptions:
+    """What a read's correction depends on; no trim_factor means no trimming."""
+
+    k: int
+    error_rate: float
+    min_overlap: int
+    min_share: float = 0.0
+    min_weight: float = 0.0
+    mode: str = EDIT
+    reserve: float = math.inf
+    reserve_share: float = 1.0
+    trim_factor: float = 0.0
+    use_quality: bool = True
+
+
+def correct_edit(cands: DataFrame, reads: DataFrame, stranded: DataFrame, options: EditOptions) -> DataFrame:
+    """(read_id, seq[, qual]): each read with its candidates' sequences (capped before, so a row is bounded) in one kernel
+    call. Qualities of reads (and of stranded, if used) count where they are there."""
+    qual = "qual" in reads.columns
+    bq = F.col("qual") if "qual" in stranded.columns and options.use_quality else F.lit(None).cast("string")
+    b = stranded.select(F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), F.col("seq").alias("b"), bq.alias("bq"))
+    lists = cands.join(b, ["cand_id", "cand_strand"]).groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("max_overlap")).alias("o"), "cand_id", "cand_strand", "b", "bq"))).alias("l"))
+    lists = lists.select("read_id", F.transform("l", lambda x: x["b"]).alias("others"), F.transform("l", lambda x: x["bq"]).alias("quals"))
+    rows = reads.select("read_id", "seq", (F.col("qual") if qual else F.lit(None).cast("string")).alias("qual")).join(lists, "read_id", "left")
+
+    @F.pandas_udf("seq string, qual string")
+    def fix(seq: pd.Series, quality: pd.Series, others: pd.Series, quals: pd.Series) -> pd.DataFrame:
+        given = zip(seq, quality, others, quals, strict=True)
+        return pd.DataFrame([correct_read(a, list(zip(o, oq, strict=True)) if o is not None else [], options, q) for a, q, o, oq in given], columns=["seq", "qual"])
+
+    return rows.select("read_id", fix("seq", "qual", "others", "quals").alias("x")).select("read_id", "x.seq", *(["x.qual"] if qual else []))

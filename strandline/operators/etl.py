@@ -70,14 +70,21 @@ def pair_ids(records: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def zip_quality(fasta: DataFrame, quals: DataFrame) -> DataFrame:
-    """FASTA and QUAL records (read_id, qual_text) by place; what one of them lacks is left out."""
-    qual = F.array_join(F.transform(F.filter(F.split("qual_text", "[^0-9]+"), lambda x: x != ""), lambda x: F.char(x.cast("long") + 33)), "")
+    """FASTA and QUAL records (read_id, qual_text) by place; what one of them lacks is left out. A number beyond 93 is an
+    error."""
+    char = lambda x: F.when(x.cast("long") > 93, F.raise_error(F.concat(F.lit("no such quality: "), x)).cast("string")).otherwise(F.char(x.cast("long") + 33))
+    qual = F.array_join(F.transform(F.filter(F.split("qual_text", "[^0-9]+"), lambda x: x != ""), char), "")
     return fasta.select("read_id", F.concat(F.lit("@"), F.expr("substring(info, 2)")).alias("info"), "seq").join(quals.select("read_id", qual.alias("qual")), "read_id")
 
 
 def replace_headers(headers: DataFrame, records: DataFrame) -> DataFrame:
-    """Sequences of records under the header of the same place, its length rewritten."""
-    return headers.select("read_id", F.col("info").alias("_info")).join(records, "read_id").withColumn("info", with_length(F.col("_info"), F.length("seq"))).drop("_info")
+    """Records under the header of the same place, its mark theirs and its length rewritten; records beyond the last header
+    keep their own (none at all without one)."""
+    n = F.length("seq")
+    own = F.col("info") if "info" in records.columns else F.lit(None).cast("string")
+    mark = F.when(own.startswith(">"), F.concat(F.lit(">"), F.expr("substring(_info, 2)"))).otherwise(F.col("_info"))
+    rows = records.join(headers.select("read_id", F.col("info").alias("_info")), "read_id", "left")
+    return rows.withColumn("info", with_length(F.coalesce(mark, own), n)).drop("_info")
 
 
 def merge_numbered(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -88,11 +95,19 @@ def merge_numbered(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def restore_order(original: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each original record the one of a, else of b, whose header (to the first blank) is the same. Originals that
-    neither holds have a null sequence."""
-    short = lambda d, c: d.select(F.split("info", " ")[0].alias("_id"), F.col("seq").alias(c))
-    rows = original.select("read_id", F.col("info"), F.split("info", " ")[0].alias("_id")).join(short(a, "sa"), "_id", "left").join(short(b, "sb"), "_id", "left")
-    return rows.select("read_id", "info", F.coalesce("sa", "sb").alias("seq"))
+    """For each original record the one of a, else of b, whose header begins with the original's. Both headers are the
+    same up to the first blank, so that is joined on. An original that neither holds is an error."""
+    columns = [c for c in ("info", "seq", "qual_info", "qual") if c in a.columns and c in b.columns]
+    short = F.split("info", "[ \t]")[0].alias("_id")
+    side = lambda d, name: d.select(short, F.struct(*columns).alias(name))
+    rows = original.select("read_id", F.col("info").alias("_info"), short)
+    for d, name in ((a, "_a"), (b, "_b")):
+        rows = rows.join(side(d, name), "_id", "left").withColumn(name, F.when(F.col(f"{name}.info").startswith(F.col("_info")), F.col(name)))
+    rows = rows.groupBy("read_id", "_info").agg(F.min("_a").alias("_a"), F.min("_b").alias("_b"))
+    found = F.coalesce("_a", "_b")
+    known = F.when(found.isNull(), F.raise_error(F.concat(F.lit("unknown header: "), F.col("_info"))).cast("string")).otherwise(F.col("_info"))
+    rows = rows.select("read_id", found.alias("x"), known.alias("_known")).filter("_known IS NOT NULL")
+    return rows.select("read_id", *(F.col("x")[c].alias(c) for c in columns))
 
 
 def to_fasta(records: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,18 @@ def slot_cap(index: DataFrame, cap: int) -> DataFrame:
     return index.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r")
 
 
+class Kmers:
+    """Table function: the places and k-mers of a sequence. register() makes it kmers(seq, k) in SQL."""
+
+    def eval(self, seq: str, k: int) -> Iterator[tuple[int, str]]:
+        for i in range(len(seq or "") - k + 1):
+            yield i, seq[i : i + k]
+
+
+def register(spark: SparkSession) -> None:
+    spark.udtf.register("kmers", F.udtf(Kmers, returnType="pos: int, kmer: string"))
+
+
 def totals(reads: DataFrame, k: int) -> DataFrame:
     """Numbers that size an index over both strands: k-mers, and characters with a separator for each read."""
     n = F.length("seq")
@@ -47,7 +61,13 @@ def coverage(spark: SparkSession, reads: DataFrame, k: int = 10, extension: int
     """(n_extended, coverage): the mean count above `floor` of the longer k-mers that begin with one of the `middle` k-mers
     around the median, over all 4 ** k of them (a fixed number) ordered by count, then code."""
     both = strands(reads)
-    found = explode_kmers(both, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).select(kmer_code(F.col("kmer")).alias("code"), "c")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        """(kmer, c): counted within reads first, so that a read's repeats don't travel."""
+        inside = rows.groupBy("read_id", "strand", "kmer").agg(F.count(F.lit(1)).alias("c"))
+        return inside.groupBy("kmer").agg(F.sum("c").alias("c"))
+
+    found = counted(explode_kmers(both, k)).select(kmer_code(F.col("kmer")).alias("code"), "c")
     domain = spark.range(4**k).withColumnRenamed("id", "code").join(found, "code", "left").select("code", F.coalesce("c", F.lit(0)).alias("c"))
     # only the ranks around the median are wanted: counts of counts say in which count they lie
     by_count = domain.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
@@ -58,5 +78,5 @@ def coverage(spark: SparkSession, reads: DataFrame, k: int = 10, extension: int
     ranked = near.withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("c").orderBy("code")) - 1)
     chosen = ranked.filter((F.col("r") >= low) & (F.col("r") < low + middle)).select("code")
     longer = explode_kmers(both, k + extension).withColumn("code", kmer_code(F.substring("kmer", 1, k)))
-    counts = longer.join(F.broadcast(chosen), "code", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))
+    counts = longer.join(F.broadcast(chosen), "code", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))  # chosen: `middle` rows
     return counts.agg(F.count(F.lit(1)).alias("n_extended"), F.round(F.avg(F.when(F.col("c") > floor, F.col("c"))), 6).alias("coverage"))

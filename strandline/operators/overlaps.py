@@ -47,14 +47,25 @@ def context_errors(part: str, context: str, k: int, max_errors: int, mode: str)
     return F.expr(f"CASE WHEN {part} IS NOT NULL THEN array_min(aggregate(sequence(1, {k}), {row}, (r, i) -> {step})) END")
 
 
-def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, by: Column | None = None, outer: bool = False, mode: str = HAMMING) -> DataFrame:
-    """(read_id, win, cand_id, cand_strand, side, ref_pos, query_pos, errors) of all seeds with up to max_errors errors.
+def by_hot_keys(parts: DataFrame, entries: DataFrame, per_task: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on kmer with a salt to join on as well: rows of parts of a k-mer that has more than per_task
+    of them are dealt to several salts, and the k-mer's entries are there for each. Other k-mers have salt 0 alone."""
+    hot = parts.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > per_task).select("kmer", F.ceil(F.col("n") / per_task).cast("int").alias("salts"))
+    salts = F.coalesce("salts", F.lit(1))
+    left = parts.join(hot, "kmer", "left").withColumn("salt", F.pmod(F.xxhash64("read_id", "win"), salts).cast("int")).drop("salts")
+    right = entries.join(hot, "kmer", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return left, right
+
+
+def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, outer: bool = True, mode: str = HAMMING, neighbours: bool = False, per_task: int = 100_000) -> DataFrame:
+    """(read_id, win, cand_id, cand_strand, side, ref_pos, query_pos, errors) of all seeds with up to max_errors errors;
+    with neighbours also neighbour, the candidate's k-mer beside the equal one.
 
     index: explode_kmers with a context of k, and of k + max_errors in a mode other than hamming, where a k-mer is
     compared with the best beginning of the context. In windows of three the middle k-mer is equal and the k-mer to its right
     (side 'R') or left ('L') may differ; in windows of two one of them is equal and the other may differ. With outer, an
     outer k-mer of a window of three may be the equal one too and the middle one differ (without errors it is a seed of
-    the middle k-mer already)."""
+    the middle k-mer already). No two seeds are the same, as a side and a place in the query tell which k-mer is equal."""
     three = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p2").alias("kmer"), F.col("p1").alias("left"), F.col("p3").alias("right"), F.lit(k).alias("at"))
     first = windows.filter("parts = 2").select("read_id", "win", "start", F.col("p1").alias("kmer"), F.lit(None).cast("string").alias("left"), F.col("p2").alias("right"), F.lit(0).alias("at"))
     second = windows.filter("parts = 2").select("read_id", "win", "start", F.col("p2").alias("kmer"), F.col("p1").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(k).alias("at"))
@@ -64,12 +75,25 @@ def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, by: Col
         begin = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p1").alias("kmer"), F.lit(None).cast("string").alias("left"), F.col("p2").alias("right"), F.lit(0).alias("at"), F.lit(1).alias("least"))
         end = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p3").alias("kmer"), F.col("p2").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(2 * k).alias("at"), F.lit(1).alias("least"))
         parts = parts.unionByName(begin).unionByName(end)
-    hits = parts.join(entries, "kmer")
-    side = lambda name, errors, pos, at: F.when((errors <= max_errors) & (errors >= F.col("least")), F.struct(F.lit(name).alias("side"), pos.alias("ref_pos"), at.alias("query_pos"), errors.alias("errors")))
-    right = side("R", context_errors("right", "right_ctx", k, max_errors, mode), F.col("pos"), F.col("start") + F.col("at"))
-    left = side("L", context_errors("left", "left_ctx", k, max_errors, mode), F.col("pos") - k, F.col("start") + F.col("at") - k)
-    found = hits.select("read_id", "win", "cand_id", "cand_strand", F.explode(F.filter(F.array(right, left), lambda x: x.isNotNull())).alias("x"))
-    return found.select("read_id", "win", "cand_id", "cand_strand", "x.*").filter("ref_pos >= 0").distinct()
+    left, right = by_hot_keys(parts, entries, per_task)
+    hits = left.join(right, ["kmer", "salt"])
+    near = [F.left("right_ctx", F.lit(k)), F.right("left_ctx", F.lit(k))]
+
+    def side(name: str, errors: Column, pos: Column, at: Column, neighbour: Column) -> Column:
+        beside = [neighbour.alias("neighbour")] if neighbours else []
+        return F.when((errors <= max_errors) & (errors >= F.col("least")), F.struct(F.lit(name).alias("side"), pos.alias("ref_pos"), at.alias("query_pos"), errors.alias("errors"), *beside))
+
+    r = side("R", context_errors("right", "right_ctx", k, max_errors, mode), F.col("pos"), F.col("start") + F.col("at"), near[0])
+    f = side("L", context_errors("left", "left_ctx", k, max_errors, mode), F.col("pos") - k, F.col("start") + F.col("at") - k, near[1])
+    found = hits.select("read_id", "win", "cand_id", "cand_strand", F.explode(F.filter(F.array(r, f), lambda x: x.isNotNull())).alias("x"))
+    return found.select("read_id", "win", "cand_id", "cand_strand", "x.*").filter("ref_pos >= 0")
+
+
+def cap_neighbours(found: DataFrame, cap: int) -> DataFrame:
+    """Of the seeds (with neighbours) of one k-mer of a window the first `cap` of each different neighbour k-mer, in the
+    order of candidates: the operator's own limit on what a repeat can give."""
+    w = Window.partitionBy("read_id", "win", "side", "query_pos", "neighbour").orderBy("cand_id", "cand_strand", "ref_pos")
+    return found.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cap).drop("_r", "neighbour")
 
 
 def escalate(found: DataFrame, max_errors: int, enough: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 A read with at most e errors has one of its e + 1 parts intact (pigeonhole), so parts join with the reference's q-grams by
 equality; only places that a part suggests are verified. How many errors a read may have follows from its length.
+
+A reference is a table (g) of one row, or (at, g) of consecutive stretches, such as lines. Both of its strands are cut
+into overlapping chunks that a place joins by its number, so no task holds the whole reference and nothing of it is
+broadcast unless Spark finds it small.
 """
 
 from __future__ import annotations
@@ -10,19 +14,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import kmer_starts, reverse_complement
+from strandline.functions.sequence import hamming, part_size, reverse_complement
 from strandline.operators.distance import EDIT, HAMMING, placements
 
-
-def reference_strands(genome: DataFrame) -> DataFrame:
-    """(strand, g) of the reference and its reverse complement."""
-    return genome.select(F.explode(F.array(F.struct(F.lit("+").alias("strand"), F.col("g")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("g")).alias("g")))).alias("x")).select("x.*")
+CHUNK = 4096
+
+
+def reference_chunks(genome: DataFrame, over: int = 0, size: int = CHUNK) -> DataFrame:
+    """(strand, chunk, g): of each strand the bases from chunk * size on, size + over of them where there are as many."""
+    if over > size:
+        raise ValueError("chunks overlap by their own size at most")
+    if "at" in genome.columns:
+        rows = genome.select(F.col("at").cast("long").alias("at"), "g").filter("g <> ''")
+    else:
+        rows = genome.select(F.posexplode(F.regexp_extract_all("g", F.lit(f"(?s).{{1,{16 * size}}}"), F.lit(0))).alias("i", "g"))
+        rows = rows.select((F.col("i").cast("long") * (16 * size)).alias("at"), "g")
+    whole = F.broadcast(rows.agg(F.max(F.col("at") + F.length("g")).alias("whole")))  # one row
+    minus = rows.crossJoin(whole).select(F.lit("-").alias("strand"), (F.col("whole") - F.col("at") - F.length("g")).alias("at"), reverse_complement(F.col("g")).alias("g"))
+    both = rows.select(F.lit("+").alias("strand"), "at", "g").unionByName(minus)
+    spread = both.withColumn("chunk", F.explode(F.expr(f"sequence(at div {size}, (at + length(g) - 1) div {size})"))).withColumn("first", F.greatest("at", F.col("chunk") * size))
+    parts = spread.select("strand", "chunk", "first", F.expr(f"substring(g, cast(first - at + 1 as int), cast(least(at + length(g), (chunk + 1) * {size}) - first as int))").alias("g"))
+    if over:
+        begin = parts.filter(f"chunk > 0 AND first < chunk * {size} + {over}")
+        begin = begin.select("strand", (F.col("chunk") - 1).alias("chunk"), "first", F.expr(f"substring(g, 1, cast(chunk * {size} + {over} - first as int))").alias("g"))
+        parts = parts.unionByName(begin)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "g"))), lambda x: x["g"]), "")
+    return parts.groupBy("strand", "chunk").agg(joined.alias("g"))
 
 
 def reference_grams(genome: DataFrame, q: int) -> DataFrame:
     """(strand, at, gram): the q-grams of both strands."""
-    rows = reference_strands(genome)
-    return rows.select("strand", "g", F.explode(kmer_starts(F.length("g"), q)).alias("at")).select("strand", "at", F.expr(f"substring(g, at + 1, {q})").alias("gram"))
+    rows = reference_chunks(genome, q - 1, max(CHUNK, q)).filter(F.length("g") >= q)
+    rows = rows.select("strand", "chunk", "g", F.explode(F.sequence(F.lit(0), F.length("g") - q)).alias("i"))
+    return rows.select("strand", (F.col("chunk") * max(CHUNK, q) + F.col("i")).alias("at"), F.expr(f"substring(g, i + 1, {q})").alias("gram"))
+
+
+def with_text(places: DataFrame, genome: DataFrame, longest: int) -> DataFrame:
+    """places (strand, low, size, ...) with there, the reference's `size` bases from low on, fewer at its end; rows that
+    begin beyond it are left out. No size is over `longest`."""
+    size = max(CHUNK, longest)
+    chunks = reference_chunks(genome, longest, size).withColumnRenamed("g", "_g")
+    rows = places.withColumn("chunk", F.expr(f"low div {size}")).join(chunks, ["strand", "chunk"])
+    rows = rows.withColumn("there", F.expr(f"substring(_g, cast(low - chunk * {size} + 1 as int), cast(size as int))"))
+    return rows.drop("chunk", "_g").filter("there <> ''")
+
+
+def _longest(reads: DataFrame) -> int:
+    return reads.agg(F.max(F.length("seq"))).first()[0] or 0
 
 
 def error_limit(length: Column, errors: int | None, q: int) -> Column:
@@ -32,13 +70,15 @@ def error_limit(length: Column, errors: int | None, q: int) -> Column:
     return own if errors is None else F.least(own, F.lit(errors))
 
 
-def read_parts(reads: DataFrame, errors: int | None, q: int) -> DataFrame:
+def read_parts(reads: DataFrame, errors: int | None, q: int, policy: str = "small_ends") -> DataFrame:
     """(read_id, part_at, gram): the first q bases of each of the even parts, one more than the read's error_limit; of a
     read of under q bases all of it."""
-    rows = reads.filter(F.length("seq") > 0).select("read_id", "seq", (error_limit(F.length("seq"), errors, q) + 1).alias("parts"))
-    rows = rows.select("read_id", "seq", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
-    rows = rows.withColumn("part_at", F.expr("cast((i * length(seq)) div parts as int)"))
-    return rows.select("read_id", "part_at", F.expr(f"substring(seq, part_at + 1, {q})").alias("gram"))
+    n = F.length("seq")
+    rows = reads.filter(n > 0).select("read_id", "seq", (error_limit(n, errors, q) + 1).alias("parts"))
+    sizes = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: part_size(n, F.col("parts"), i, policy))
+    rows = rows.select("read_id", "seq", F.posexplode(sizes).alias("i", "size"), sizes.alias("sizes"))
+    before = F.aggregate(F.slice("sizes", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + x)
+    return rows.withColumn("part_at", before).select("read_id", "part_at", F.expr(f"substring(seq, part_at + 1, {q})").alias("gram"))
 
 
 def suggested(reads: DataFrame, genome: DataFrame, errors: int | None, q: int) -> DataFrame:
@@ -47,8 +87,10 @@ def suggested(reads: DataFrame, genome: DataFrame, errors: int | None, q: int) -
     hits = parts.join(reference_grams(genome, q), "gram")
     # reads of under q bases: grams of the lengths that occur, each a number below q
     sizes = reads.select(F.length("seq").alias("size")).filter(f"size BETWEEN 1 AND {q - 1}").distinct()
-    grams = F.broadcast(reference_strands(genome)).join(sizes).filter("length(g) >= size").select("strand", "g", "size", F.explode(F.expr("sequence(0, length(g) - size)")).alias("at"))
-    short = parts.filter(F.length("gram") < q).join(grams.select("strand", "at", F.expr("substring(g, at + 1, size)").alias("gram")), "gram")
+    size = max(CHUNK, q)
+    grams = reference_chunks(genome, q - 1, size).join(F.broadcast(sizes), F.expr("size <= length(g)"))
+    grams = grams.select("strand", "chunk", "g", "size", F.explode(F.expr(f"sequence(0, least({size} - 1, length(g) - size))")).alias("i"))
+    short = parts.filter(F.length("gram") < q).join(grams.select("strand", (F.col("chunk") * size + F.col("i")).alias("at"), F.expr("substring(g, i + 1, size)").alias("gram")), "gram")
     return hits.unionByName(short).select("read_id", "strand", (F.col("at") - F.col("part_at")).alias("start")).distinct()
 
 
@@ -59,11 +101,9 @@ def align_exact(reads: DataFrame, genome: DataFrame, q: int) -> DataFrame:
 
 def align_hamming(reads: DataFrame, genome: DataFrame, errors: int, q: int) -> DataFrame:
     """(read_id, edit, strand, start): the fewest mismatches (at most error_limit) and every place that has as few."""
-    n = F.length("seq")
-    rows = suggested(reads, genome, errors, q).join(reads.select("read_id", "seq"), "read_id").join(F.broadcast(reference_strands(genome)), "strand")
-    rows = rows.filter((F.col("start") >= 0) & (F.col("start") + n <= F.length("g"))).withColumn("there", F.expr("substring(g, start + 1, length(seq))"))
-    edit = F.aggregate(F.zip_with(F.split("seq", ""), F.split("there", ""), lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-    rows = rows.select("read_id", "strand", "start", edit.alias("edit"), error_limit(n, errors, q).alias("most")).filter("edit <= most").drop("most")
+    rows = suggested(reads, genome, errors, q).filter("start >= 0").join(reads.select("read_id", "seq"), "read_id")
+    rows = with_text(rows.withColumn("low", F.col("start")).withColumn("size", F.length("seq")), genome, _longest(reads)).filter("length(there) = size")
+    rows = rows.select("read_id", "strand", F.col("start").cast("int").alias("start"), hamming(F.col("seq"), F.col("there")).alias("edit"), error_limit(F.col("size"), errors, q).alias("most")).filter("edit <= most").drop("most")
     best = rows.groupBy("read_id").agg(F.min("edit").alias("edit"))
     return rows.join(best, ["read_id", "edit"]).select("read_id", "edit", "strand", "start")
 
@@ -75,18 +115,20 @@ def align_edit(reads: DataFrame, genome: DataFrame, errors: int | None, q: int,
     if mode == HAMMING:
         rows = align_hamming(reads, genome, errors, q).join(reads.select("read_id", F.length("seq").alias("len")), "read_id")
         return rows.groupBy("read_id", "edit").agg(F.array_sort(F.collect_set(F.struct("strand", "start", "len"))).alias("maps"))
-    rows = suggested(reads, genome, errors, q).join(reads.select("read_id", "seq", error_limit(F.length("seq"), errors, q).alias("most")), "read_id").join(F.broadcast(reference_strands(genome)), "strand")
-    rows = rows.withColumn("low", F.greatest(F.col("start") - F.col("most"), F.lit(0)))
-    rows = rows.select("read_id", "strand", "seq", "most", "low", F.expr("substring(g, low + 1, start + length(seq) + most - low)").alias("window"))
+    longest = _longest(reads)
+    most = max(0, longest // q - 1 if errors is None else min(errors, longest // q - 1))
+    rows = suggested(reads, genome, errors, q).join(reads.select("read_id", "seq", error_limit(F.length("seq"), errors, q).alias("most")), "read_id")
+    rows = rows.withColumn("low", F.greatest(F.col("start") - F.col("most"), F.lit(0))).withColumn("size", F.col("start") + F.length("seq") + F.col("most") - F.col("low")).filter("size > 0")
+    rows = with_text(rows, genome, longest + 2 * most)
 
     @F.pandas_udf("edit int, maps array<struct<start:int,len:int>>")
     def verify(window: pd.Series, seq: pd.Series, most: pd.Series) -> pd.DataFrame:
         found = [placements(w, s, k, mode) for w, s, k in zip(window, seq, most, strict=True)]
         return pd.DataFrame({"edit": [e for e, _ in found], "maps": [[{"start": s, "len": n} for s, n in m] for _, m in found]})
 
-    rows = rows.withColumn("v", verify("window", "seq", "most")).filter("v.edit >= 0").select("read_id", "strand", "low", F.col("v.edit").alias("edit"), F.explode("v.maps").alias("m"))
+    rows = rows.withColumn("v", verify("there", "seq", "most")).filter("v.edit >= 0").select("read_id", "strand", "low", F.col("v.edit").alias("edit"), F.explode("v.maps").alias("m"))
     best = rows.groupBy("read_id").agg(F.min("edit").alias("edit"))
-    maps = F.array_sort(F.collect_set(F.struct("strand", (F.col("low") + F.col("m.start")).alias("start"), F.col("m.len").alias("len"))))
+    maps = F.array_sort(F.collect_set(F.struct("strand", (F.col("low") + F.col("m.start")).cast("int").alias("start"), F.col("m.len").alias("len"))))
     return rows.join(best, ["read_id", "edit"]).groupBy("read_id", "edit").agg(maps.alias("maps"))
 
 

@@ -32,7 +32,6 @@ class Options:
     trim_factor: float = 2.5
     use_quality: bool = True
     both_strands: bool = True
-    outer_seeds: bool = True
 
 
 def derived(options: Options, mean_length: int, num_kmers: int, coverage: float | None, kmer_factor: int = 1000) -> Options:
@@ -55,8 +54,8 @@ def stranded(reads: DataFrame, options: Options) -> DataFrame:
 def find_candidates(reads: DataFrame, both: DataFrame, options: Options) -> DataFrame:
     k = options.kmer
     index = overlaps_index(both, options)
-    found = overlaps.seeds(overlaps.window_parts(reads, k), index, k, options.kmer_errors, outer=options.outer_seeds, mode=options.match)
-    found = overlaps.escalate(found, options.kmer_errors, options.max_kmer_results)
+    found = overlaps.seeds(overlaps.window_parts(reads, k), index, k, options.kmer_errors, mode=options.match, neighbours=True)
+    found = overlaps.escalate(overlaps.cap_neighbours(found, options.max_kmer_results), options.kmer_errors, options.max_kmer_results)
     cands = overlaps.candidates(found, reads, both, options.min_overlap, options.min_overlap_share, 0 if options.match == "hamming" else options.kmer_errors)
     return overlaps.without_self(cands)
 
@@ -74,15 +73,23 @@ def hamming_overlaps(reads: DataFrame, both: DataFrame, options: Options) -> Dat
 
 
 def correct(reads: DataFrame, options: Options | None = None) -> DataFrame:
-    """(read_id, seq): corrected reads. Reads of under two k-mers have no candidates and stay as they are."""
+    """(read_id, seq[, qual]): corrected reads, with qualities if they have any. Reads of under two k-mers have no
+    candidates and stay as they are."""
     options = options or Options()
     both = stranded(reads, options)
+    plain = [c for c in both.columns if c != "qual"]
     if options.match == "hamming":
         best = hamming_overlaps(reads, both, options)
-        voted = consensus.votes(best, reads, both if options.use_quality else both.select("read_id", "strand", "seq"))
+        voted = consensus.votes(best, *((reads, both) if options.use_quality else (reads.select("read_id", "seq"), both.select(*plain))))
         done = consensus.assemble(consensus.call_bases(voted, reads, options.reserve, options.reserve_share), reads)
         if options.trim:
-            return consensus.trim(done, options.trim_factor).select("read_id", "seq")
-        return done.select("read_id", "seq")
+            done = consensus.trim(done, options.trim_factor)
+        elif "qual" in reads.columns:
+            done = done.withColumn("start", F.lit(0))
+        if "qual" not in reads.columns:
+            return done.select("read_id", "seq")
+        # bases change, places don't
+        return done.join(reads.select("read_id", "qual"), "read_id").select("read_id", "seq", F.expr("substring(qual, start + 1, length(seq))").alias("qual"))
     cands = overlaps.cap_candidates(find_candidates(reads, both, options), max(options.max_length_matches, 3 * options.max_kmer_results))
-    return edit_graph.correct_edit(cands, reads, both, options.kmer, options.error_rate, options.min_overlap, options.min_read_weight, options.match)
+    how = edit_graph.EditOptions(options.kmer, options.error_rate, options.min_overlap, options.min_overlap_share, options.min_read_weight, options.match, options.reserve, options.reserve_share, options.trim_factor if options.trim else 0.0, options.use_quality)
+    return edit_graph.correct_edit(cands, reads, both, how)

@@ -50,6 +50,14 @@ def tiled(spark: SparkSession, sf_dir: str, size: int = 80, step: int = 4) -> Da
     return rows.withColumn("seq", F.when(F.col("read_id") % 3 == 0, wrong).otherwise(F.col("truth")))
 
 
+def with_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tiled with other, the true stretch without one of its bases (a third of the rows), or with one more (another)."""
+    at = "cast((read_id * 13) % 70 + 5 as int)"
+    less = f"concat(substring(truth, 1, {at}), substring(truth, {at} + 2))"
+    more = f"concat(substring(truth, 1, {at}), substring('ACGT', cast(read_id % 4 + 1 as int), 1), substring(truth, {at} + 1))"
+    return tiled(spark, sf_dir).withColumn("other", F.expr(f"CASE read_id % 3 WHEN 1 THEN {less} WHEN 2 THEN {more} ELSE truth END"))
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(read_id, info, seq): turns of conversations as paired reads."""
     turn = F.concat(F.lit("@c"), F.col("conv_id").cast("string"), F.lit("_"), F.expr("turn div 2").cast("string"), F.lit("/"), (F.col("turn") % 2 + 1).cast("string"))

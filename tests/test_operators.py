@@ -110,7 +110,7 @@ def test_error_in_the_middle_kmer_is_seeded(spark):
     options = Options(kmer=9, min_overlap=20)
     assert {(r.read_id, r.cand_id, r.shift1, r.shift2) for r in find_candidates(reads, stranded(reads, options), options).collect()} >= {(1, 2, 0, 0), (2, 1, 0, 0)}
     index = kmers.explode_kmers(reads.withColumn("strand", F.lit("+")), 9, 9)
-    rows = overlaps.seeds(overlaps.window_parts(reads.filter("read_id = 1"), 9), index, 9, 2, outer=True).filter("cand_id = 2").collect()
+    rows = overlaps.seeds(overlaps.window_parts(reads.filter("read_id = 1"), 9), index, 9, 2).filter("cand_id = 2").collect()
     assert {(r.side, r.ref_pos, r.query_pos, r.errors) for r in rows} == {("R", 0, 0, 1), ("L", 9, 9, 1)}
 
 
