@@ -66,11 +66,13 @@ PATTERNS = {
     "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f]{0,3}[0-9])[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}:(?::[0-9A-Fa-f]{1,4}){1,6}|[Ff][Ee]80:(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "phone": rf"(?<![0-9A-Za-z])(?:(?:\+[0-9]{{1,3}}[ -]?)?(?:\([0-9]{{2,4}}\) ?|[0-9]{{3}}[ -])[0-9]{{3}}[ -][0-9]{{4}}|[0-9]{{3}}\.[0-9]{{3}}\.[0-9]{{4}}|\+[1-9](?:[ .-]?\(?[0-9]\)?){{7,14}}){_END}",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "person": rf"(?<![\p{{L}}])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
+    "person": rf"(?<![\p{{L}}0-9])(?:{_TITLES})\.? {_NAME}(?: {_NAME})?",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every entity holds a digit or an @, or begins with a title or a key's beginning.
-POSSIBLE = rf"[0-9@]|{_PREFIX}|(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}"
+#: No entity begins within a word, so places there fail at once.
+ANY = f"(?<![0-9A-Za-z])(?:{'|'.join(f'(?:{p})' for p in PATTERNS.values())})"
+_FIRST = "".join(sorted({t[0] for t in _TITLES.split("|")}))
+#: Every entity holds a digit or an @, or begins with a title or a key's beginning; the first look is at one or two letters.
+POSSIBLE = rf"[0-9@]|(?=A[KSI]|g[hil]|xo|[rs]k|np|hf|[{_FIRST}])(?:{_PREFIX}|(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}})"
 
 # Letters that syllables of invented names are made of, and the endings that tell a gender.
 SYLLABLES = {
