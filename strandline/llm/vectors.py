@@ -23,14 +23,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Stage, components, table
 
 COSINE = 0.98
-#: Vectors that a task holds of each side.
-BLOCK = 2048
+#: Vectors that a task holds of each side, at most, and numbers in them.
+BLOCK = 8192
+NUMBERS = 1 << 22
 #: Children of a node, at most, and how many of a node's vectors a net is drawn from, about.
 FANOUT = 32
 SAMPLE = 256
@@ -195,6 +196,11 @@ def link_vectors(spark: SparkSession, vectors: DataFrame, cosine: float = COSINE
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
+def _room(block: int) -> Column:
+    """How many of a node's vectors a task holds; a node's name begins with their length."""
+    return F.least(F.lit(block), F.greatest(F.lit(1), (F.lit(NUMBERS) / F.substring_index("node", ":", 1).cast("int")).cast("int")))
+
+
 def _links(stage: Stage, points: DataFrame, cosine: float, block: int) -> tuple[DataFrame, DataFrame]:
     """Of points (node, p, m, v), with a root for a node: (p, n), how many links each has, in parts, and edges (a, b)."""
     limit = math.sqrt(max(0.0, 2 - 2 * cosine))
@@ -204,7 +210,7 @@ def _links(stage: Stage, points: DataFrame, cosine: float, block: int) -> tuple[
     edges: list[DataFrame] = []
     level = 0
     while True:
-        large = nodes.filter((F.col("n") > block) & (~F.col("settled") | (F.col("visitors") > 0)))
+        large = nodes.filter((F.col("n") > _room(block)) & (~F.col("settled") | (F.col("visitors") > 0)))
         nets = None if large.isEmpty() else stage.write(_nets(rows, large), f"nets{level}")
         leaves = nodes if nets is None else nodes.join(nets.select("node"), "node", "left_anti")
         met = stage.write(_meet(rows, leaves, cosine, block), f"met{level}")
@@ -258,7 +264,7 @@ def _nets(rows: DataFrame, large: DataFrame) -> DataFrame:
 def _moved(rows: DataFrame, nodes: DataFrame, nets: DataFrame, limit: float) -> DataFrame:
     """(node, settled, p, m, v, home, d): rows of split nodes at the children that they live in or visit, and how far from
     the child's centre they are. A node's rows are dealt to chunks; each chunk gets the node's centres."""
-    chunks = nodes.join(nets.select("node"), "node").select("node", "settled", F.ceil((F.col("n") + F.col("visitors")) / 4096).cast("int").alias("chunks"))
+    chunks = nodes.join(nets.select("node"), "node").select("node", "settled", F.ceil((F.col("n") + F.col("visitors")) / _room(4096)).cast("int").alias("chunks"))
     dealt = rows.join(chunks, "node").withColumn("chunk", F.pmod(F.xxhash64("p"), F.col("chunks"))).drop("chunks")
     centres = nets.join(chunks.drop("settled"), "node").select("node", "centres", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"))
 
@@ -289,7 +295,7 @@ def _moved(rows: DataFrame, nodes: DataFrame, nets: DataFrame, limit: float) ->
 def _meet(rows: DataFrame, leaves: DataFrame, cosine: float, block: int) -> DataFrame:
     """(p, n, a, b): link counts (a is -1) and edges (p is -1) of the pairs that meet in leaves: of two vectors at home,
     unless those are settled, and of one at home with a visitor. Leaves are cut into blocks, each two of which are a task."""
-    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    blocks = lambda c: F.ceil(F.col(c) / _room(block)).cast("int")
     shape = leaves.filter((F.col("n") + F.col("visitors") > 1) & (~F.col("settled") | (F.col("visitors") > 0))).select("node", "settled", blocks("n").alias("h"), blocks("visitors").alias("w"))
     dealt = rows.join(shape, "node")
     dealt = dealt.withColumn("k", F.when(F.col("home"), F.pmod(F.xxhash64("p"), F.col("h"))).otherwise(F.col("h") + F.pmod(F.xxhash64("p"), F.greatest("w", F.lit(1)))).cast("int"))
