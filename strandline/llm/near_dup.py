@@ -7,9 +7,9 @@ next arrival is later than every register's first. The share of equal registers
 
 Texts with the same words in the same order are one node from the start. Nodes meet in buckets of equal bands. All
 members of a bucket are first compared with one, then with four pivots, those that share most buckets with others; that
-joins groups of copies at a few comparisons a member. Buckets whose members are all connected by then are settled, and
-of buckets with the same members one stays. Each of the rest is compared in blocks: tasks of bounded size that report
-edges which connect what they find linked, not the links.
+joins groups of copies at a few comparisons a member. Buckets whose members are all connected by then are settled. Each
+of the rest is compared in blocks: tasks of bounded size that report edges which connect what they find linked, not the
+links.
 Links are those of exact similarity >= 0.8; none that a bucket holds between different components is missed.
 """
 
@@ -130,7 +130,7 @@ def _read(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _shingle_rows(texts: DataFrame) -> DataFrame:
-    """(uid, ids, counts): shingles as bytes; counts is null where all are 1."""
+    """(uid, sig, n_words, ids, counts): shingles as bytes; counts is null where all are 1."""
 
     def make() -> Callable[[list[str | None]], list[list]]:
         hold("near duplicates", _TABLE.forget)
@@ -141,7 +141,7 @@ def _shingle_rows(texts: DataFrame) -> DataFrame:
 
         return say
 
-    return map_texts(texts, ["uid"], "ids binary, counts binary", make)
+    return map_texts(texts, ["uid", "sig", "n_words"], "ids binary, counts binary", make)
 
 
 def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -243,30 +243,33 @@ def _block_links(frame: pd.DataFrame, threshold: float) -> list[tuple[int, int]]
     return edges
 
 
-def _in_blocks(stage: Stage, now: DataFrame, rows: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) among the members (bucket, uid, label) of buckets that pivots didn't settle. Members of a bucket are
-    dealt to blocks, those of its commonest label apart from the rest, and each two blocks that can hold a link between
-    labels meet in one task. Members that share no bucket never meet."""
-    marks = [F.bit_xor(F.xxhash64(F.lit(k), "uid")).alias(f"x{k}") for k in range(2)]
-    sets = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), *marks)
-    one = stage.write(sets.groupBy("n", "x0", "x1").agg(F.min("bucket").alias("bucket")).select("bucket"), "blocked")
-    members = stage.write(now.select("bucket", "uid", "label").join(one, "bucket").join(rows.select("uid", "n_words"), "uid"), "blocked_members")
-    per_label = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
-    top = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label", "words")).alias("t"), F.sum("n").alias("n"), F.sum("words").alias("words"))
-    blocks = lambda n, words: F.greatest(F.ceil(n / BLOCK), F.ceil(words / BLOCK_WORDS)).cast("int")
-    shape = top.select("bucket", F.col("t.label").alias("top"), blocks(F.col("t.n"), F.col("t.words")).alias("n_top"), blocks(F.col("n") - F.col("t.n"), F.col("words") - F.col("t.words")).alias("n_rest"))
-    dealt = members.drop("n_words").join(stage.write(shape, "shape"), "bucket").filter("n_rest > 0")
+def _in_blocks(stage: Stage, now: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) among the members (bucket, uid, n_words, label) of buckets that pivots didn't settle. A bucket has its
+    commonest label and the rest; buckets with the same rest and commonest label are one group, so a member meets that
+    rest once however many buckets it shares with it. Members are dealt to blocks, those of the commonest label apart from
+    the rest, and each two blocks that can hold a link between labels meet in one task. Members that share no bucket
+    never meet."""
+    per_label = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = per_label.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("t")).select("bucket", F.col("t.label").alias("top"))
+    now = now.join(stage.write(top, "tops"), "bucket")
+    marks = [F.bit_xor(F.when(F.col("label") != F.col("top"), F.xxhash64(F.lit(k), "uid"))).alias(f"x{k}") for k in range(2)]
+    groups = now.groupBy("bucket").agg(F.min("top").alias("t"), *marks).select("bucket", F.xxhash64("t", "x0", "x1").alias("g"))
+    members = now.join(stage.write(groups, "groups"), "bucket").select("g", "uid", "n_words", "label", "top").distinct()
+    members = stage.write(members, "blocked")
+    blocks = lambda mine: F.greatest(F.ceil(F.count_if(mine) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(mine, F.col("n_words"))), F.lit(0)) / BLOCK_WORDS)).cast("int")
+    common = F.col("label") == F.col("top")
+    shape = members.groupBy("g").agg(blocks(common).alias("n_top"), blocks(~common).alias("n_rest"))
+    dealt = members.join(stage.write(shape, "shape"), "g").filter("n_rest > 0")
     # blocks of the commonest label count from 0, the others' from n_top; (i, j) with i <= j names a task
-    mine = F.when(F.col("label") == F.col("top"), F.pmod(F.xxhash64("uid"), F.col("n_top"))).otherwise(F.col("n_top") + F.pmod(F.xxhash64("uid"), F.col("n_rest"))).cast("int")
+    mine = F.when(common, F.pmod(F.xxhash64("uid"), F.col("n_top"))).otherwise(F.col("n_top") + F.pmod(F.xxhash64("uid"), F.col("n_rest"))).cast("int")
     dealt = dealt.withColumn("k", mine)
     meets = F.when(F.col("k") < F.col("n_top"), F.sequence(F.col("n_top"), F.col("n_top") + F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_top") + F.col("n_rest") - 1))
-    dealt = dealt.select("bucket", "uid", "label", "k", F.explode(meets).alias("x")).select("bucket", "uid", "label", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side"))
-    content = known.join(rows.select("uid", "sig"), "uid")
+    dealt = dealt.select("g", "uid", "label", "k", F.explode(meets).alias("x")).select("g", "uid", "label", F.least("k", "x").alias("i"), F.greatest("k", "x").alias("j"), (F.col("k") > F.col("x")).cast("int").alias("side"))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_block_links(frame, threshold), columns=["a", "b"]).astype("int64")
 
-    return dealt.join(content, "uid").groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
+    return dealt.join(known.drop("n_words"), "uid").groupBy("g", "i", "j").applyInPandas(meet, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY, keep: list[str] | None = None) -> DataFrame:
@@ -289,12 +292,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     nodes = stage.write(with_words.groupBy("h1", "h2").agg(F.min(place).alias("first")), "nodes")
     first = nodes.select(F.col("first.uid").alias("uid"))
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring(F.col("sig"), 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
-    banded = with_words.select("uid", "sig").join(first, "uid", "left_semi").select("uid", F.explode(bands).alias("bucket"))
+    banded = with_words.select("uid", "sig", "n_words").join(first, "uid", "left_semi").select("uid", "n_words", F.explode(bands).alias("bucket"))
     # a table, so that the join is a plain one, which adaptive execution splits at a hot bucket
     shared = stage.write(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "shared")
-    members = stage.write(banded.join(shared, "bucket").select("bucket", "uid"), "members0")
+    members = stage.write(banded.join(shared, "bucket").select("bucket", "uid", "n_words"), "members0")
     some = members.select("uid").distinct()
-    known = stage.write(_shingle_rows(rows.select("uid", F.col("c1").alias("text")).join(some, "uid", "left_semi")), "shingles")
+    known = stage.write(_shingle_rows(rows.select("uid", "sig", "n_words", F.col("c1").alias("text")).join(some, "uid", "left_semi")), "shingles")
 
     labels = None
 
@@ -310,11 +313,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
 
     def unsettled(k: int) -> DataFrame:
         """Members of buckets that hold different labels, and how many of the bucket's members share buckets with each."""
-        now = members.withColumn("label", F.col("uid")) if labels is None else members.join(labels, "uid", "left").select("bucket", "uid", F.coalesce("label", "uid").alias("label"))
+        now = members.withColumn("label", F.col("uid")) if labels is None else members.join(labels, "uid", "left").select("bucket", "uid", "n_words", F.coalesce("label", "uid").alias("label"))
         mixed = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
         now = now.join(stage.write(mixed.select("bucket", "n"), f"unlike{k}"), "bucket")
         central = now.groupBy("uid").agg(F.sum("n").alias("central"))
-        return stage.write(now.select("bucket", "uid", "label").join(central, "uid"), f"mixed{k}")
+        return stage.write(now.select("bucket", "uid", "n_words", "label").join(central, "uid"), f"mixed{k}")
 
     for k, pivots in enumerate(PIVOTS):
         now = unsettled(k)
@@ -331,11 +334,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
         pairs = now.join(chosen, "bucket").filter("label <> b_label").select(F.col("uid").alias("a"), "b").distinct()
         labels = merged(k, now, stage.write(_verify(pairs, known, threshold), f"links{k}"))
         # a pivot has met all members of its bucket
-        members = stage.write(now.select("bucket", "uid").join(chosen.select("bucket", F.col("b").alias("uid")), ["bucket", "uid"], "left_anti"), f"members{k + 1}")
+        members = stage.write(now.select("bucket", "uid", "n_words").join(chosen.select("bucket", F.col("b").alias("uid")), ["bucket", "uid"], "left_anti"), f"members{k + 1}")
     else:
         now = unsettled(len(PIVOTS))
         if not now.isEmpty():
-            labels = merged(len(PIVOTS), now, stage.write(_in_blocks(stage, now, rows, known, threshold), "links"))
+            labels = merged(len(PIVOTS), now, stage.write(_in_blocks(stage, now, known, threshold), "links"))
 
     found = nodes.withColumn("uid", F.col("first.uid"))
     found = found.withColumn("label", F.col("uid")) if labels is None else found.join(labels, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
