@@ -182,25 +182,25 @@ class Bins:
                 mask |= 1 << room
         self.free = np.asarray(free, dtype=np.int64)
 
-    def improve(self, stuck_limit: int = 8) -> int:
+    def improve(self) -> int:
         """Empties the least filled bin that the room left elsewhere could take, as long as exchanges raise the sum of
-        squared fills. Returns the number of bins that became empty."""
-        emptied, stuck, given_up = 0, set(), 0
+        squared fills; ends when none of the open bins can be emptied. Returns the number of bins that became empty."""
+        emptied = 0
+        stuck = np.zeros(len(self.free), dtype=bool)
         while True:
-            open_ = np.flatnonzero((self.free > 0) & (self.free < self.capacity))
-            open_ = open_[~np.isin(open_, list(stuck))] if stuck else open_
-            if len(open_) < 2 or given_up >= stuck_limit:
+            open_ = (self.free > 0) & (self.free < self.capacity)
+            todo = np.flatnonzero(open_ & ~stuck)
+            if not len(todo):
                 return emptied
-            donor = int(open_[np.argmax(self.free[open_])])
-            rest = (self.free > 0) & (self.free < self.capacity)
-            rest[donor] = False
-            if self.free[rest].sum() < self.capacity - self.free[donor]:
-                return emptied
-            if self._drain(donor, rest):
+            donor = int(todo[np.argmax(self.free[todo])])
+            open_[donor] = False
+            if self.free[open_].sum() < self.capacity - self.free[donor]:
+                return emptied  # fuller bins need still more room
+            if self._drain(donor, open_):
                 emptied += 1
+                stuck[:] = False  # what is left has moved
             else:
-                stuck.add(donor)
-                given_up += 1
+                stuck[donor] = True
 
     def _drain(self, donor: int, rest: np.ndarray) -> bool:
         lengths, free, place = self.lengths, self.free, self.place
@@ -241,8 +241,8 @@ class Bins:
                 if j >= 0 and gain[j] > best[0]:
                     best = (int(gain[j]), j, (i,))
             if not best[0]:
-                for x, i in enumerate(own[:24]):  # two for one
-                    for k in own[x + 1 : 24]:
+                for x, i in enumerate(own):  # two for one
+                    for k in own[x + 1 :]:
                         gain = lengths[i] + lengths[k] - size
                         gain = np.where((gain > 0) & (gain <= room) & (fill + gain > filled), gain, 0)
                         j = int(gain.argmax()) if len(gain) else -1
