@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import Stage, table
 
 WINDOW = 3
 
@@ -43,6 +43,8 @@ def covered_lines(docs: DataFrame) -> DataFrame:
     windows = line_windows(docs)
     place = F.struct("_id", "_hash", "k")
     first = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # a table, so that the join is a plain one, which adaptive execution splits at a hot window
+    first = Stage(docs.sparkSession).write(first, "first")
     later = windows.join(first, ["w1", "w2"]).filter(place > F.col("first"))
     hits = later.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("k", "s", "e"))).alias("p"))
     runs = f"""arrays_zip(
@@ -57,11 +59,11 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
 
     Null text: stays null, no lines. Empty text or under three lines with content: unchanged. Lines are compared without
     blanks at their ends. Repeated rows (same doc_id and text) are one document and get the same result; a null doc_id
-    comes first in order. Other columns pass through untouched, whatever their names (names that start with an underscore
-    and a helper's name are renamed inside)."""
-    others = [c for c in docs.columns if c != "text"]
+    comes first in order. Empty table: no rows. Other columns pass through untouched, whatever their names; columns that
+    are called like an added one are replaced."""
+    others = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed", "n_spans")]
     packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in others)).alias("_row"), F.col("doc_id"), F.col("text"))
-    keyed = _keyed(packed)
+    keyed = _keyed(packed.select("_row", "doc_id", F.col("text").cast("string").alias("text")))
     hits = covered_lines(docs.select("doc_id", "text"))
     hits = hits.select(F.col("_id").alias("_id2"), F.col("_hash").alias("_hash2"), "runs")
     joined = keyed.join(hits, keyed["_id"].eqNullSafe(hits["_id2"]) & (keyed["_hash"] == hits["_hash2"]), "left")
