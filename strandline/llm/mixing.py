@@ -16,31 +16,43 @@ from pyspark.sql import functions as F
 from strandline.llm.common import Stage, table
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Default targets are the shares found, raised to this power and scaled to 1: rare values gain, frequent ones lose.
-POWER = 0.9
-ROUNDS = 12
+#: Shares of tokens by kind of content, the default target of that dimension. They're scaled to the kinds that occur.
+TARGETS = {"topic": {"article": 0.60, "long": 0.32, "note": 0.03, "table": 0.03, "markup": 0.02}}
+#: Targets of a dimension for which none are given: the shares found, raised to this power and scaled to 1, so that rare
+#: values gain and frequent ones lose.
+POWER = 0.8
+ROUNDS = 20
 SEED = "mix-1"
 #: Cells that the driver rakes and broadcasts, at most; each is three short strings and two numbers.
 MOST_CELLS = 20_000
 NONE = "<none>"
-#: A text's topic is the first whose pattern it holds.
-TOPICS = (("secret", 'token = "'), ("table", r" \| "), ("contact", r"@|\+1 \("))
-OTHER_TOPIC = "prose"
+#: Kinds of content: the first whose characters come at least once in ten words, else by the number of words under which
+#: a text is of that kind, else LONG.
+KINDS = (("table", "|\t"), ("markup", "#*$%&<>"))
+LENGTHS = (("note", 100), ("article", 1000))
+LONG = "long"
 
 _WORD = r"[^\x20\x09-\x0D]+"
+_ADDED = ("n_tokens", "topic", "probability", "kept")
 
 
-def topic_of(text: Column, topics: tuple[tuple[str, str], ...] = TOPICS) -> Column:
-    out = F.lit(OTHER_TOPIC)
-    for name, pattern in reversed(topics):
-        out = F.when(text.rlike(pattern), name).otherwise(out)
+def topic_of(text: Column, n_tokens: Column) -> Column:
+    """The kind of content of a text that isn't null."""
+    out = F.lit(LONG)
+    for name, words in reversed(LENGTHS):
+        out = F.when(n_tokens < words, name).otherwise(out)
+    for name, marks in reversed(KINDS):
+        n = F.length(text) - F.length(F.translate(text, marks, ""))
+        out = F.when((n > 0) & (10 * n >= n_tokens), name).otherwise(out)
     return out
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """Adds _source, _lang, _topic (null: '<none>') and _tokens, the number of words."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit(NONE)), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit(NONE)), "_topic": topic_of(text), "_tokens": F.regexp_count(text, F.lit(_WORD)).cast("long")})
+    """(_row, _source, _lang, _topic, _tokens): the row as it is, its cell (null: '<none>') and its number of words."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    value = lambda c: F.coalesce(docs[c].cast("string"), F.lit(NONE))
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("_row"), value("source").alias("_source"), value("lang").alias("_lang"), F.regexp_count(text, F.lit(_WORD)).cast("long").alias("_tokens"))
+    return rows.withColumn("_topic", topic_of(F.coalesce(F.col("_row")["text"].cast("string"), F.lit("")), F.col("_tokens")))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -98,7 +110,8 @@ def rake_tables(stage: Stage, cells: DataFrame, targets: list[dict[str, float] |
         for d, name in enumerate(names):
             sums = now.groupBy(name).agg(F.sum("w").alias("s"))
             step = sums.join(wanted[d], name).select(name, F.when(F.col("s") > 0, F.col("t") / F.col("s")).otherwise(0.0).alias("f"))
-            now = now.join(step, name).select(*names, "_tokens", (F.col("w") * F.col("f")).alias("w"))
+            # a table, so that the join is a plain one, which adaptive execution splits at a hot value
+            now = now.join(stage.write(step, f"step{k}-{d}"), name).select(*names, "_tokens", (F.col("w") * F.col("f")).alias("w"))
         now = stage.write(now, f"rake{k + 1}")
         stage.drop(f"rake{k}")
     factor = F.when(F.col("_tokens") > 0, F.col("w") / F.col("_tokens"))
@@ -109,23 +122,42 @@ def rake_tables(stage: Stage, cells: DataFrame, targets: list[dict[str, float] |
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER, rounds: int = ROUNDS, seed: str = SEED, most_cells: int = MOST_CELLS) -> DataFrame:
     """docs (doc_id, text, lang, source) with n_tokens, topic, probability (rounded to 9 places) and kept added.
 
+    targets: for source, lang and topic the shares of values; a value without one gets 0, a dimension without any its
+    smoothed shares; None means TARGETS. Where the cells can't meet all targets, the last dimension's are met.
+
     Null source or language: a value '<none>' of its own. Null or empty text: no tokens; a cell without any tokens is
     kept whole. Null doc_id: all such rows share one random number. Repeated rows share theirs and are kept or left out
-    together. Empty table: no rows. Other columns pass through."""
+    together. Empty table: no rows. Other columns pass through, whatever their names; columns that are called like an
+    added one are replaced."""
     stage = Stage(spark)
     marked = with_cells(docs)
     names = ["_source", "_lang", "_topic"]
     cells = stage.write(marked.groupBy(*names).agg(F.sum("_tokens").alias("_tokens")), "cells")
-    wanted = [(targets or {}).get(d) for d in DIMENSIONS]
+    wanted = [(TARGETS if targets is None else targets).get(d) for d in DIMENSIONS]
     if cells.count() <= most_cells:
         rows = [tuple(r) for r in cells.orderBy(*names).collect()]
         found = [(*r[:3], f) for r, f in zip(rows, rake_local(rows, wanted, power, rounds), strict=True)]
         factors = F.broadcast(spark.createDataFrame(found, "_source string, _lang string, _topic string, _factor double"))
     else:
         factors = stage.write(rake_tables(stage, cells, wanted, power, rounds), "factors")
-    out = marked.join(factors, names)
     p = F.round(F.col("_factor"), 9)
-    return out.select(*docs.columns, F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), p.alias("probability"), (uniform(F.col("doc_id"), seed) < p).alias("kept"))
+    given = [F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in _ADDED]
+    drawn = uniform(F.col("_row")["doc_id"], seed) < p
+    return marked.join(factors, names).select(*given, F.col("_tokens").alias("n_tokens"), F.col("_topic").alias("topic"), p.alias("probability"), drawn.alias("kept"))
+
+
+def marginals(mixed: DataFrame, targets: dict[str, dict[str, float]] | None = None, power: float = POWER) -> dict[str, dict[str, tuple[float, float]]]:
+    """For each dimension and value of the rows that mix() gave: the target share and the share that is reached in
+    expectation, so that targets that can't be met together show."""
+    out = {}
+    for d in DIMENSIONS:
+        wanted = (TARGETS if targets is None else targets).get(d)
+        value = F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias("v")
+        rows = mixed.groupBy(value).agg(F.sum("n_tokens").cast("double").alias("n"), F.sum(F.col("n_tokens") * F.col("probability")).alias("w")).collect()  # a row for each value
+        shares = _targets({r["v"]: r["n"] for r in rows}, wanted, power)
+        total = sum(r["w"] for r in rows) or 1.0
+        out[d] = {r["v"]: (shares[r["v"]], r["w"] / total) for r in rows}
+    return out
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,18 +166,23 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    parts = [r"""
-WITH marked AS (
-    SELECT doc_id, coalesce(source, '<none>') AS source, coalesce(lang, '<none>') AS lang,
-           CASE WHEN contains(coalesce(text, ''), 'token = "') THEN 'secret'
-                WHEN contains(coalesce(text, ''), ' | ') THEN 'table'
-                WHEN contains(coalesce(text, ''), '@') OR contains(coalesce(text, ''), '+1 (') THEN 'contact'
-                ELSE 'prose' END AS topic,
+    kinds = "\n".join(f"WHEN {n} > 0 AND 10 * {n} >= n_tokens THEN '{name}'" for name, n in ((k, f"(length(t) - length(translate(t, '{m}', '')))") for k, m in KINDS))
+    lengths = "\n".join(f"WHEN n_tokens < {n} THEN '{name}'" for name, n in LENGTHS)
+    parts = [rf"""
+WITH counted AS (
+    SELECT doc_id, coalesce(source, '<none>') AS source, coalesce(lang, '<none>') AS lang, coalesce(text, '') AS t,
            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
     FROM documents
+), marked AS (
+    SELECT doc_id, source, lang, n_tokens, CASE {kinds} {lengths} ELSE '{LONG}' END AS topic FROM counted
 ), total AS (SELECT sum(n_tokens)::DOUBLE AS t FROM marked),
 w0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS w FROM marked GROUP BY ALL)"""]
     for d in DIMENSIONS:
+        if d in TARGETS:
+            given = f"CASE {d} " + " ".join(f"WHEN '{v}' THEN {x}" for v, x in TARGETS[d].items()) + " ELSE 0 END"
+            parts.append(f"""t_{d} AS (SELECT {d}, {given} / sum({given}) OVER () AS share
+    FROM (SELECT DISTINCT {d} FROM w0))""")
+            continue
         parts.append(f"""t_{d} AS (SELECT {d}, CASE WHEN s > 0 THEN s ** {POWER} ELSE 0 END / sum(CASE WHEN s > 0 THEN s ** {POWER} ELSE 0 END) OVER () AS share
     FROM (SELECT {d}, sum(w) AS s FROM w0 GROUP BY {d}))""")
     k = 0
