@@ -33,6 +33,9 @@ CASE WHEN size(array_distinct(h)) = size(h) THEN 0L ELSE
                 0L, (a, n) -> a + n)), 1)), 1) END"""
 
 
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_capitals", "n_shouts", "n_short", "n_bare", "n_stutter", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 def base_counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Rows (*keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and what else the rules need).
     Null text counts as none."""
@@ -129,8 +132,9 @@ def judge(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, t
 
     Null, empty and very short texts fail the base rule and are not kept, whatever the posterior says; rules learn from
     the others alone. Repeated rows are judged alike and each counts. An empty table gives no rows. Columns that aren't
-    kept don't matter, whatever their names; kept ones must not have the names of the result's own."""
-    keep = keep or ["doc_id"]
+    kept don't matter, whatever their names; a kept one that is called like one of the result's own is replaced."""
+    own = {*_COUNTS, "base_failed", "posterior", "kept", *(f"vote_{k}" for k in rules())}
+    keep = [c for c in keep or ["doc_id"] if c.lower() not in own]
     stage = Stage(spark)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     votes = {f"vote_{k}": v for k, v in rules().items()}

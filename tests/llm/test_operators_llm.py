@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 from strandline.llm import language, line_dedup, mixing, near_dup, packing, quality, repeats, surrogates, toxicity, vectors
 from strandline.llm.common import Stage, components
@@ -444,6 +445,53 @@ def test_quality_agrees_with_labels(spark, data):
     assert np.mean(good) > 0.98 and np.mean([not r.kept for r in got if labels[r.doc_id] == 0]) > 0.8
 
 
+def votes_by_hand(t):
+    """Rules over plain counts of a text, one after the other."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    n, chars = len(words), sum(map(len, words))
+    count = lambda marks: sum((t or "").count(c) for c in marks)
+    share = lambda a, b: a / max(b, 1)
+    letters, marks = regex.compile(r"\p{L}"), regex.compile(r"[\p{L}\p{N}]")
+    short = [w for w in words if len(w) <= 3]
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    capitals, symbols, shouts = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("#*$%&|<>"), count("!?")
+    few, bare = sum(bool(letters.search(w)) for w in short), sum(not marks.search(w) for w in short)
+    stutter = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    repeat, dups, mean = counts_by_hand(t)[4], len(lines) - len(set(lines)), share(chars, n)
+    good_bad = [
+        (share(symbols, n) <= 0.02, share(symbols, n) >= 0.15),
+        (share(capitals, chars) <= 0.06, share(capitals, chars) >= 0.15),
+        (share(shouts, n) <= 0.05, share(shouts, n) >= 0.2),
+        (share(few, n) >= 0.15, share(few, n) < 0.08 and n >= 20),
+        (share(bare, n) <= 0.02, share(bare, n) >= 0.1 and n >= 20),
+        (share(stutter, n) <= 0.02 and n >= 20, share(stutter, n) >= 0.2),
+        (3 <= mean <= 7.5, mean < 2.5 or mean > 8.5),
+        (dups == 0 and len(lines) >= 3, share(dups, len(lines)) > 0.3),
+        (repeat == 0 and n >= 50, share(repeat, n) > 0.1),
+    ]
+    return [-1 if bad else 1 if good else 0 for good, bad in good_bad], n < 10 or 100 * repeat > 20 * n
+
+
+def test_posterior_by_hand(spark, data, texts):
+    """EM over documents one by one, with counts by numpy, against the operator's over patterns of votes."""
+    found = {k: votes_by_hand(t) for k, t in texts.items()}
+    learn = [k for k, (_, failed) in found.items() if not failed]
+    v = np.asarray([found[k][0] for k in learn])
+    p = (1 + 2 * (v == 1).sum(1)) / (2 + 2 * (v != 0).sum(1) + 4 * (v == -1).sum(1))
+    for _ in range(quality.ROUNDS):
+        g, b = p.sum(), (1 - p).sum()
+        prior = np.log((g + 1) / (b + 1))
+        w = {x: np.log((((v == x) * p[:, None]).sum(0) + 1) / (g + 3)) - np.log((((v == x) * (1 - p)[:, None]).sum(0) + 1) / (b + 3)) for x in (-1, 0, 1)}
+        w[-1], w[1] = np.minimum(w[-1], 0), np.maximum(w[1], 0)
+        odds = lambda v, w=w, prior=prior: prior + sum(np.where(v == x, w[x], 0).sum(1) for x in w)
+        p = 1 / (1 + np.exp(-np.clip(odds(v), -35, 35)))
+    got = {r.doc_id: r for r in quality.op7_weak_supervision_quality(spark, data).collect()}
+    assert got.keys() == texts.keys() and 0 < sum(r.kept for r in got.values()) < len(got)
+    want = dict(zip(found, 1 / (1 + np.exp(-np.clip(odds(np.asarray([x for x, _ in found.values()])), -35, 35))), strict=True))
+    for k, r in got.items():
+        assert abs(r.posterior - want[k]) < 1e-6 and r.base_failed == found[k][1] and r.kept == (not found[k][1] and r.posterior >= 0.5)
+
+
 def test_estimates_of_known_rules():
     rng = np.random.default_rng(4)
     truth = rng.random(4000) < 0.7
@@ -467,6 +515,25 @@ def test_marginals_are_met(spark, docs):
     assert got.probability.max() == 1.0 and 0 < got.kept.mean() < 1
 
 
+def test_default_targets_are_reached(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.marginals(mixing.mix(spark, docs))
+    assert all(abs(target - reached) < 1e-6 for d in got.values() for target, reached in d.values())
+    assert abs(got["topic"]["article"][0] / got["topic"]["long"][0] - 0.60 / 0.32) < 1e-9
+    # cells that can't meet the targets together: the last dimension's are met, and the others show what is reached
+    rows = spark.createDataFrame([(1, "w " * 50, "en", "a"), (2, "w " * 200, "de", "b")], "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"note": 0.2, "article": 0.8}}
+    got = mixing.marginals(mixing.mix(spark, rows, targets=targets), targets)
+    assert all(abs(t - r) < 1e-6 for t, r in got["topic"].values()) and abs(got["source"]["a"][1] - 0.2) < 1e-6 and got["source"]["a"][0] == 0.9
+
+
+def test_kinds_of_content(spark):
+    rows = [(1, None), (2, "a b | c\td"), (3, "a $ b"), (4, "a " * 99), (5, "a " * 100), (6, "a " * 1000), (7, "a " * 11 + "#"), (8, "a " * 1000 + "|")]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.topic for r in mixing.mix(spark, docs).collect()}
+    assert got == {1: "note", 2: "table", 3: "markup", 4: "note", 5: "article", 6: "long", 7: "note", 8: "long"}
+
+
 def test_both_ways_of_raking_agree(spark, docs):
     a = {r.doc_id: (round(r.probability, 7), r.kept) for r in mixing.mix(spark, docs, rounds=4).collect()}
     b = {r.doc_id: (round(r.probability, 7), r.kept) for r in mixing.mix(spark, docs, rounds=4, most_cells=0).collect()}
@@ -554,6 +621,24 @@ def test_odd_rows(spark, odd):
     assert toxicity.score(odd, (np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0), keep=["doc_id", "label"]).count() == n
 
 
+def test_columns_that_clash(spark):
+    """Columns called like an added one are replaced, helpers' names don't matter."""
+    names = "n_lines n_removed n_spans n_entities topic n_tokens probability kept _row _source _lang _topic _tokens _factor class_id posterior base_failed n_words score lang_pred".split()
+    docs = spark.createDataFrame([(1, "one two\nthree four\nfive six", "en", "a", *(-7,) * len(names))], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    plain = docs.select("doc_id", "text", "lang", "source")
+    for f in (lambda d: line_dedup.remove_repeated_lines(d), lambda d: surrogates.replace_personal_data(spark, d, KEY), lambda d: mixing.mix(spark, d)):
+        got, want = f(docs), f(plain)
+        assert sorted(got.columns) == sorted({*docs.columns, *want.columns})
+        row = got.first()
+        assert all(row[c] == -7 for c in docs.columns if c not in want.columns) and all(row[c] == want.first()[c] for c in want.columns)
+    keep = ["doc_id", *names]
+    for f in (lambda: near_dup.near_duplicates(spark, docs, keep=keep), lambda: quality.judge(spark, docs, keep=keep), lambda: toxicity.score(docs, (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0), keep=keep), lambda: language.identify(docs, language.Hierarchy({}, [], np.zeros((4, 0)), np.zeros(0), 2), keep=keep)):
+        got = f()
+        assert len(got.columns) == len({*got.columns}) and {*keep} <= {*got.columns} and got.count() == 1
+    vec = spark.createDataFrame([(1, [1.0], 1, 2, 3, 4)], "vec_id long, embedding array<float>, label int, p int, node int, kept int")
+    assert vectors.link_vectors(spark, vec).count() == 1 and repeats.remove_repeats(spark, docs).count() == 1 and packing.pack_documents(spark, docs).count() == 1
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     assert surrogates.replace_personal_data(spark, none, KEY).count() == 0
