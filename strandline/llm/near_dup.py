@@ -335,6 +335,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
         labels = merged(k, now, stage.write(_verify(pairs, known, threshold), f"links{k}"))
         # a pivot has met all members of its bucket
         members = stage.write(now.select("bucket", "uid", "n_words").join(chosen.select("bucket", F.col("b").alias("uid")), ["bucket", "uid"], "left_anti"), f"members{k + 1}")
+        for done in (f"members{k}", f"mixed{k}", f"unlike{k}", f"pivots{k}", f"links{k}"):
+            stage.drop(done)
     else:
         now = unsettled(len(PIVOTS))
         if not now.isEmpty():

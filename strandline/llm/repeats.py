@@ -21,13 +21,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Stage, table
@@ -249,20 +250,32 @@ def _numbered(stage: Stage, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _contents(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
-    """wanted: (key, uid, start, n) -> the same with the segment's bytes."""
-    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("key", "start", "n")).alias("w"))
+    """wanted: (key, chash, uid, start, n) -> the same with the segment's bytes."""
+    lists = wanted.groupBy("uid").agg(F.collect_list(F.struct("key", "chash", "start", "n")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows: list[tuple] = []
             for uid, w, z in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = open_.decompress(z)
-                rows += [(x["key"], uid, x["start"], x["n"], data[x["start"] : x["start"] + x["n"] + length - 1]) for x in w]
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "uid", "start", "n", "content"])
+                for at in range(0, len(w), 50_000):
+                    part = w[at : at + 50_000]
+                    bytes_ = [data[x["start"] : x["start"] + x["n"] + length - 1] for x in part]
+                    yield _rows([(x["key"], x["chash"], uid, x["start"], x["n"], c) for x, c in zip(part, bytes_, strict=True)], _SEGMENT)
+
+    return lists.join(packed.select("uid", "z"), "uid").select("uid", "w", "z").mapInArrow(run, _ddl(_SEGMENT))
+
+
+_SEGMENT = {"key": pa.int64(), "chash": pa.int64(), "uid": pa.int64(), "start": pa.int32(), "n": pa.int32(), "content": pa.binary()}
+_FINER = {**_SEGMENT, "p_key": pa.int64(), "p_chash": pa.int64(), "p_start": pa.int32()}
+
+
+def _rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
-    return lists.join(packed.select("uid", "z"), "uid").select("uid", "w", "z").mapInArrow(run, "key long, uid long, start int, n int, content binary")
+
+def _ddl(kinds: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {'binary' if k == pa.binary() else 'int' if k == pa.int32() else 'long'}" for c, k in kinds.items())
 
 
 def _by_arrays(contents: DataFrame, groups: int, length: int) -> DataFrame:
@@ -282,26 +295,53 @@ def _by_arrays(contents: DataFrame, groups: int, length: int) -> DataFrame:
     return contents.select(group, "uid", "start", "content").groupBy("group").applyInPandas(one, "uid long, s long, e long")
 
 
+def _intervals(contents: DataFrame, groups: int, length: int) -> DataFrame:
+    """(r1, r2, size, key, chash, uid, at): all maximal repeats of segments with one key, by a hash of their bytes, and
+    where in the segment (key, chash) of document uid they begin."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        contents = frame["content"].tolist()
+        sizes = np.asarray([len(c) for c in contents])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        data = b"".join(contents)
+        raw = np.frombuffer(data, dtype=np.uint8)
+        owner = np.repeat(np.arange(len(contents)), sizes)
+        order, lcp = suffix_array(raw, starts, starts + sizes, int(sizes.max()), length)
+        before = np.full(len(raw), -1, dtype=np.int64)
+        before[1:] = raw[:-1]
+        before[starts] = 256 + np.arange(len(starts))
+        found = [(xxhash.xxh3_128_digest(data[w[0] : w[0] + d]), d, w) for d, w in maximal_repeats(order, lcp, before, length)]
+        n = [len(w) for _, _, w in found]
+        where = np.concatenate([w for _, _, w in found]) if found else np.zeros(0, dtype=np.int64)
+        hashes = np.frombuffer(b"".join(h for h, _, _ in found), dtype=np.int64).reshape(-1, 2)
+        own = owner[where]
+        parts = {"r1": np.repeat(hashes[:, 0], n), "r2": np.repeat(hashes[:, 1], n), "size": np.repeat(np.asarray([d for _, d, _ in found], dtype=np.int64), n)}
+        return pd.DataFrame({**parts, **{c: frame[c].to_numpy()[own] for c in ("key", "chash", "uid")}, "at": where - starts[own]})
+
+    group = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group")
+    return contents.select(group, "key", "chash", "uid", "content").groupBy("group").applyInPandas(one, "r1 long, r2 long, size long, key long, chash long, uid long, at long")
+
+
 def _dealt_anew(contents: DataFrame, many: int, length: int) -> DataFrame:
-    """(key, chash, uid, start, n, content) of the finer segments of segments."""
-    kinds = {"key": pa.int64(), "chash": pa.int64(), "uid": pa.int64(), "start": pa.int32(), "n": pa.int32(), "content": pa.binary()}
+    """The finer segments of segments, with the segment (p_key, p_chash, p_start) that they are from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
             rows: list[tuple] = []
-            for old, uid, start, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for old, chash, uid, start, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for key, s, n in zip(*(x.tolist() for x in finer_segments(content, many, length)), strict=True):
                     part = content[s : s + n + length - 1]
                     # the old key goes on in the new one: whole keys are dealt, never parts of two together
-                    rows.append((signed(xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"), seed=old & 0xFFFFFFFFFFFFFFFF)), signed(xxhash.xxh3_64_intdigest(part)), uid, start + s, n, part))
+                    new = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little"), seed=old & 0xFFFFFFFFFFFFFFFF)
+                    rows.append((signed(new), signed(xxhash.xxh3_64_intdigest(part)), uid, start + s, n, part, old, chash, start))
                 if len(rows) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                    yield _rows(rows, _FINER)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+                yield _rows(rows, _FINER)
 
-    return contents.select("key", "uid", "start", "content").mapInArrow(run, "key long, chash long, uid long, start int, n int, content binary")
+    return contents.select("key", "chash", "uid", "start", "content").mapInArrow(run, _ddl(_FINER))
 
 
 def merged_spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
@@ -314,32 +354,96 @@ def merged_spans(s: np.ndarray, e: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[first].tolist(), reach[np.append(np.flatnonzero(first)[1:] - 1, len(s) - 1)].tolist(), strict=True))
 
 
-def repeat_spans(stage: Stage, unique: DataFrame, packed: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
-    """(uid, s, e): bytes to remove, overlapping pieces of them. Keys' counts are tables of their own, so that joins on
-    keys are plain ones, which adaptive execution splits where a key is hot."""
+def _dealt(stage: Stage, unique: DataFrame, packed: DataFrame, length: int, most: int) -> list[tuple[DataFrame, DataFrame, DataFrame | None, int]]:
+    """For each level of keys: all segments of keys that occur twice, of different ones (by key, chash) the first and
+    whether their key is too long and goes on to the next level, and those to put into arrays with their bytes, with a
+    number of groups that bounds an array. Keys' counts are tables of their own, so that joins on keys are plain ones, which adaptive execution splits where a key is hot."""
     plain = unique.select("uid", "text")
     often = stage.write(_keys(plain, length, True).groupBy("key").count().filter("count > 1").select("key"), "often")
     found = stage.write(_keys(plain, length, False).join(often, "key"), "segments0")
-    here = F.struct("uid", "start")
     levels = [2**k for k in range(1, (length - GRAM).bit_length())] + [length - GRAM + 1]
-    spans = None
+    out = []
     for level in range(len(levels) + 1):
         held = ["content"] if level else []
-        one = stage.write(found.groupBy("key", "chash").agg(F.min(here).alias("first"), F.max("n").alias("n"), *(F.min(c).alias(c) for c in held)), f"different{level}")
-        whole = found.join(one.select("key", "chash", "first"), ["key", "chash"]).filter(here > F.col("first"))
-        whole = whole.select("uid", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + (length - 1)).cast("long").alias("e"))
-        per_key = stage.write(one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), f"keys{level}")
+        one = stage.write(found.groupBy("key", "chash").agg(F.min(F.struct("uid", "start")).alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(c) for c in held)), f"different{level}")
         long = F.lit(False) if level == len(levels) else F.col("c") > most
-        part = stage.write(one.join(per_key, "key").select("key", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"), "n", long.alias("long"), *held), f"parts{level}")
-        spans = whole if spans is None else spans.unionByName(whole)
+        per_key = stage.write(one.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", long.alias("long")), f"keys{level}")
+        part = stage.write(one.join(per_key, "key").select("key", "chash", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"), "n", "long", *held), f"parts{level}")
         few, many = part.agg(F.count_if(~F.col("long")), F.count_if("long")).first()
         with_bytes = lambda p, held=held: p if held else _contents(p, packed, length)
-        if few:
-            spans = spans.unionByName(_by_arrays(with_bytes(part.filter("NOT long")), max(1, few // TOGETHER), length))
+        said = one.join(per_key, "key", "left").withColumn("long", F.coalesce("long", F.lit(False)))
+        out.append((found, said, with_bytes(part.filter("NOT long")) if few else None, max(1, few // TOGETHER)))
         if not many:
-            break
+            return out
         found = stage.write(_dealt_anew(with_bytes(part.filter("long")), levels[level], length), f"segments{level + 1}")
-    return stage.write(spans, "spans")
+    return out
+
+
+def repeat_spans(stage: Stage, unique: DataFrame, packed: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+    """(uid, s, e): bytes to remove, overlapping pieces of them."""
+    spans = []
+    for found, one, contents, groups in _dealt(stage, unique, packed, length, most):
+        copies = found.join(one.select("key", "chash", "first"), ["key", "chash"]).filter(F.struct("uid", "start") > F.col("first"))
+        spans.append(copies.select("uid", F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n") + (length - 1)).cast("long").alias("e")))
+        if contents is not None:
+            spans.append(_by_arrays(contents, groups, length))
+    return stage.write(reduce(DataFrame.unionByName, spans), "spans")
+
+
+def repeat_groups(spark: SparkSession, docs: DataFrame, length: int = LENGTH, most: int = MOST) -> DataFrame:
+    """(group, size, n_places, doc_id, start): passages of at least `length` bytes that occur more than once, each with
+    all places where it does, in bytes.
+
+    The maximal repeats of the arrays, and segments with copies, which overlap by length - 1 bytes, are put together
+    where they have the same places but for a shift. So a group can't be extended to either side without losing a place,
+    unless strings within the longer passage occur elsewhere too: then it is given in parts, between those. Null text
+    counts as empty, repeated rows are one document, an empty table gives no rows."""
+    stage = Stage(spark)
+    _, unique = _numbered(stage, docs)
+    ids = unique.select("uid", "doc_id")
+    levels = _dealt(stage, unique, _packed(unique), length, most)
+    names = ["r1", "r2", "size", "key", "chash", "at"]
+    at_level = None
+    for level in reversed(range(len(levels))):
+        found, one, contents, groups = levels[level]
+        # a segment with copies, here or of the one that it is part of, is a repeat as a whole; the hash of its bytes is
+        # the one that an array would give it. Segments of long keys are looked at in their parts
+        whole = one.filter("NOT long" if level else "NOT long AND copies > 1").select("key", "chash", F.col("first.uid").alias("uid"), F.col("first.start").alias("start"), "n", *(["content"] if level else []))
+        whole = (whole if level else _contents(whole, _packed(unique), length)).select("key", "chash", "content")
+        parts = [_whole_repeats(whole)] + ([_intervals(contents, groups, length).select(*names)] if contents is not None else []) + ([at_level] if at_level is not None else [])
+        inside = stage.write(reduce(DataFrame.unionByName, parts).distinct(), f"inside{level}")
+        places = inside.join(found, ["key", "chash"])
+        at = (F.col("start") + F.col("at")).cast("long")
+        if level:  # places in the segments of the level above
+            at_level = places.select("r1", "r2", "size", F.col("p_key").alias("key"), F.col("p_chash").alias("chash"), (at - F.col("p_start")).alias("at"))
+        else:
+            places = places.select("r1", "r2", "size", "uid", at.alias("start")).distinct()
+    places = stage.write(places, "places")
+    first = places.groupBy("r1", "r2").agg(F.min(F.struct("uid", "start")).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    first = stage.write(first.filter("n > 1"), "firsts")
+    shape = [F.bit_xor(F.xxhash64(F.lit(k), "uid", F.col("start") - F.col("first.start"))).alias(f"x{k}") for k in range(2)]
+    shapes = places.join(first.select("r1", "r2", "first"), ["r1", "r2"]).groupBy("r1", "r2").agg(*shape).join(first, ["r1", "r2"])
+    same = Window.partitionBy("first.uid", "x0", "x1", "n").orderBy("first.start", F.col("size").desc(), "r1", "r2")
+    end = F.col("first.start") + F.col("size")
+    reach = F.max(end).over(same.rowsBetween(Window.unboundedPreceding, -1))
+    rows = shapes.withColumn("new", (reach.isNull() | (F.col("first.start") > reach - (length - 1))).cast("int")).withColumn("end", end)
+    rows = rows.withColumn("island", F.sum("new").over(same))
+    island = Window.partitionBy("first.uid", "x0", "x1", "n", "island")
+    rows = rows.withColumn("size", F.max("end").over(island) - F.min("first.start").over(island)).filter("new = 1")
+    name = F.concat(F.hex("r1"), F.hex("r2")).alias("group")
+    return places.drop("size").join(stage.write(rows.select("r1", "r2", "size", "n"), "groups"), ["r1", "r2"]).join(ids, "uid").select(name, "size", F.col("n").alias("n_places"), "doc_id", "start")
+
+
+def _whole_repeats(segments_: DataFrame) -> DataFrame:
+    """(r1, r2, size, key, chash, at) of segments (key, chash, content) that are repeats as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            content = batch.column(2).to_pylist()
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(list(map(len, content)), type=pa.int64()), batch.column(0), batch.column(1), pa.array(np.zeros(len(content), dtype=np.int64))], names=["r1", "r2", "size", "key", "chash", "at"])
+
+    return segments_.mapInArrow(run, "r1 long, r2 long, size long, key long, chash long, at long")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, most: int = MOST, with_text: bool = False) -> DataFrame:

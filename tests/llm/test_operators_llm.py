@@ -259,6 +259,25 @@ def test_classes_of_a_family(spark, monkeypatch, pivots, block):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
+def test_near_copies_are_found(spark):
+    """Recall of near copies: of documents with words changed, all pairs of similarity 0.8 or more must be in one class."""
+    rng = np.random.default_rng(12)
+    rows, pairs = {}, []
+    for i in range(150):
+        words = [f"v{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        copy = list(words)
+        for p in rng.choice(len(words), max(1, len(words) // int(rng.integers(20, 120))), replace=False):
+            copy[p] = f"z{rng.integers(1 << 30)}"
+        rows[2 * i], rows[2 * i + 1] = " ".join(words), " ".join(copy)
+        pairs.append((2 * i, 2 * i + 1))
+    found = {k: near_dup.shingles(near_dup.word_numbers(t)) for k, t in rows.items()}
+    near = [(a, b) for a, b in pairs if near_dup.probability_jaccard(*found[a], *found[b]) >= 0.8]
+    assert 40 < len(near) < 140
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert np.mean([got[a] == got[b] for a, b in near]) >= 0.99
+    assert all(got[a] != got[b] for a, b in pairs if (a, b) not in near)
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(5)
     errors = []
@@ -403,6 +422,59 @@ def test_repeats_around_one_common_gram(spark):
     assert got == repeats_by_hand(rows)
 
 
+def places_by_hand(rows, length=100):
+    """Strings of `length` bytes that occur more than once, with their places."""
+    places = defaultdict(set)
+    for key, text in rows.items():
+        data = (text or "").encode()
+        for i in range(len(data) - length + 1):
+            places[data[i : i + length]].add((key, i))
+    return {s: p for s, p in places.items() if len(p) > 1}
+
+
+def repeat_groups(spark, rows, most):
+    docs = spark.createDataFrame(list(rows.items()) + [(104, rows[104])], "doc_id long, text string")
+    got = defaultdict(set)
+    for r in repeats.repeat_groups(spark, docs, most=most).collect():
+        got[(r.group, r["size"], r.n_places)].add((r.doc_id, r.start))
+    assert all(len(p) == n for (_, _, n), p in got.items())
+    return [(size, p) for (_, size, _), p in got.items()]
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_groups_of_repeats(spark, most):
+    rng = np.random.default_rng(14)
+    word = lambda n: "".join(rng.choice(list("abcdefghij klmno"), n))
+    a, b, c = word(130), word(400), word(1500)
+    rows = {i: word(80) + [a, b, c, a + word(40) + a, c[300:900], c, b][i % 7] + word(int(rng.integers(20, 90))) for i in range(40)}
+    rows |= {100: None, 101: "", 102: "ab" * 120, 103: a[:99], 104: rows[2], 105: rows[2]}
+    data = {k: (t or "").encode() for k, t in rows.items()}
+    got = repeat_groups(spark, rows, most)
+    assert len({(size, frozenset(p)) for size, p in got}) == len(got)
+    for size, places in got:  # all places of the passage, and no other
+        k, at = min(places)
+        passage = data[k][at : at + size]
+        assert len(passage) == size >= 100
+        assert places == {(d, i) for d, t in data.items() for i in range(len(t) - size + 1) if t[i : i + size] == passage}
+    for string, places in places_by_hand(rows).items():  # each string that repeats is in a group that has its places
+        assert any(size >= 100 and {(d, i + k) for d, i in p} == places for size, p in got for k in ({next(iter(places))[1] - i for d, i in p if d == next(iter(places))[0]} & set(range(size - 99))) or ()), string
+
+
+def test_groups_of_passages_apart(spark):
+    """Where passages don't share strings, the groups are the passages, however long."""
+    rng = np.random.default_rng(15)
+    word = lambda n, letters: "".join(rng.choice(list(letters), n))
+    passages = [word(n, "abcdefghij") for n in (100, 101, 170, 700, 5000)]
+    rows, want = {}, defaultdict(set)
+    for i in range(30):
+        k, head = i % 5, word(60 + i % 3, "klmnopq") + "ABCDEF"[i // 5]
+        rows[i] = head + passages[k] + "GHIJKL"[i // 5] + word(40, "rstuvw")
+        want[k].add((i, len(head)))
+    rows[104] = word(50, "klm")
+    assert sorted((size, sorted(p)) for size, p in repeat_groups(spark, rows, 4096)) == sorted((len(passages[k]), sorted(p)) for k, p in want.items())
+    assert repeats.repeat_groups(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_maximal_repeats_by_hand():
     contents = [b"xabcabcy", b"zabcabw"]
     data = np.frombuffer(b"".join(contents), dtype=np.uint8)
