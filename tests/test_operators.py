@@ -158,3 +158,141 @@ def test_long_qualities_stay_whole(spark):
     rows = spark.range(1).select(F.col("id").alias("read_id"), F.lit("@a/1 x").alias("info"), F.expr("repeat('A', 1100000)").alias("seq"), F.expr("concat('@', repeat('I', 1099999))").alias("qual"))
     assert etl.adjust_quality(rows).select(F.length("qual").alias("n"), F.substring("qual", 1, 2).alias("b")).first() == (1_100_000, "AI")
     assert etl.to_fasta(rows).first().info == ">a/1 x" and etl.pair_ids(rows.withColumn("ordinal", F.col("read_id"))).first().id_a == "a/1"
+
+
+def seeds_by_hand(reads, k, most, mode, results):
+    """Candidates (read, candidate, strand) -> (least shift, greatest shift, longest overlap), by plain loops."""
+    from collections import Counter, defaultdict
+
+    from strandline.operators import distance as d
+
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    both = {(i, strand): s if strand == "+" else turn(s) for i, s in reads.items() for strand in "+-"}
+    context = k + (0 if mode == d.HAMMING else most)
+    out = {}
+    for i, s in reads.items():
+        n = len(s)
+        parts = 3 if n >= 3 * k else 2 if n >= 2 * k else 0
+        if not parts:
+            continue
+        size = parts * k
+        m = -(-(n - k) // (size - k))
+        extra, starts = m * size - n, [0]
+        for w in range(1, m):
+            starts.append(starts[-1] + size - (extra + w - 1) // (m - 1))
+        found = []
+        for w, start in enumerate(starts):
+            p = [s[start + j * k : start + (j + 1) * k] for j in range(parts)]
+            # an equal k-mer, the one beside it, on which side, where the seed lies in the query, the fewest errors
+            wanted = [(p[0], p[1], "R", start, 0), (p[1], p[0], "L", start, 0)] if parts == 2 else [(p[1], p[2], "R", start + k, 0), (p[1], p[0], "L", start, 0), (p[0], p[1], "R", start, 1), (p[2], p[1], "L", start + k, 1)]
+            per, hits = Counter(), []
+            for (c, strand), t in sorted(both.items()):
+                for at in range(len(t) - k + 1):
+                    for kmer, beside, side, query, least in wanted:
+                        if t[at : at + k] != kmer:
+                            continue
+                        there = t[at + k : at + k + context].ljust(context, "A") if side == "R" else t[max(0, at - context) : at].rjust(context, "A")[::-1]
+                        own = beside if side == "R" else beside[::-1]
+                        e = sum(x != y for x, y in zip(own, there, strict=True)) if mode == d.HAMMING else d.flexible_end(there, own, most, mode)
+                        ref = at if side == "R" else at - k
+                        if least <= e <= most and ref >= 0:
+                            key = (side, query, there[:k])
+                            per[key] += 1
+                            if per[key] <= results:
+                                hits.append((e, c, strand, ref, query))
+            level = next((j for j in range(most) if sum(h[0] <= j for h in hits) >= results), most)
+            found += [h for h in hits if h[0] <= level]
+        shifts = defaultdict(list)
+        for _, c, strand, ref, query in found:
+            least = max(20, int(0.2 * n)) - (0 if mode == d.HAMMING else most)
+            if len(both[c, strand]) - ref >= least and (c, strand) != (i, "+"):
+                shifts[c, strand].append(query - ref)
+        for (c, strand), x in shifts.items():
+            nb = len(both[c, strand])
+            longest = min(n - min(x), nb) if min(x) > 0 else min(nb + max(x), n) if max(x) < 0 else min(n, nb)
+            out[i, c, strand] = (min(x), max(x), longest)
+    return out, both
+
+
+def test_corrections_by_hand(spark):
+    """Candidates and corrected reads of all modes against plain loops."""
+    import random
+
+    from strandline.operators import edit_graph
+    from strandline.plans.correction import find_candidates, stranded
+
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(160))
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    reads = {}
+    for i in range(36):
+        at = rng.randrange(100)
+        s = list(genome[at : at + rng.choice((20, 45, 60))])
+        for _ in range(i % 3):
+            p = rng.randrange(len(s))
+            s[p : p + 1] = rng.choice(([], [rng.choice("ACGT")], [s[p], rng.choice("ACGT")]))
+        reads[i] = "".join(s) if i % 4 else turn("".join(s))
+    df = spark.createDataFrame(list(reads.items()), "read_id long, seq string")
+    for mode in ("hamming", "edit", "insdel"):
+        options = Options(match=mode, min_overlap=20, max_kmer_results=12)
+        want, both = seeds_by_hand(reads, 9, 2, mode, 12)
+        rows = find_candidates(df, stranded(df, options), options).collect()
+        assert {(r.read_id, r.cand_id, r.cand_strand): (r.shift1, r.shift2, r.max_overlap) for r in rows} == want
+        if mode == "hamming":
+            continue
+        how = edit_graph.EditOptions(9, 0.25, 20, 0.2, 0.0, mode, 100.0, 1.0)
+        fixed = {}
+        for i, s in reads.items():
+            mine = sorted((-x[2], c, strand) for (j, c, strand), x in want.items() if j == i)
+            fixed[i] = edit_graph.correct_read(s, [(both[c, strand], None) for _, c, strand in mine], how)[0]
+        got = {r.read_id: r.seq for r in correct(df, options).collect()}
+        assert got == fixed and sum(got[i] != s for i, s in reads.items()) > 3
+
+
+def test_reads_with_and_without_quality(spark):
+    truth = "ACGTTGCAAGCTTAGGCATCGATTACGGATCCATGCAAGTCCATTGAC"
+    wrong = truth[:20] + "G" + truth[21:]
+    rows = [(i, truth, "I" * 48 if i % 2 else None) for i in range(5)] + [(9, wrong, "I" * 20 + "#" + "I" * 27)]
+    reads = spark.createDataFrame(rows, "read_id long, seq string, qual string")
+    for match in ("hamming", "edit"):
+        got = {r.read_id: (r.seq, r.qual) for r in correct(reads, Options(match=match, min_overlap=20)).collect()}
+        assert got[9][0] == truth and len(got[9][1]) == 48 and got[1] == (truth, "I" * 48) and got[0] == (truth, None)
+        short = {r.read_id: (r.seq, r.qual) for r in correct(reads, Options(match=match, min_overlap=20, trim=True, trim_factor=0.5)).collect()}
+        assert all(q is None or len(q) == len(s) for s, q in short.values())
+
+
+def test_hot_kmers_are_dealt(spark):
+    """Seeds don't depend on how many rows of a k-mer go to a task."""
+    reads = spark.createDataFrame([(i, "ACGTTGCAAGCTTAGGCATCGATTACG"[i % 3 :] + "ACGT" * (i % 4)) for i in range(12)], "read_id long, seq string")
+    index = kmers.explode_kmers(kmers.strands(reads), 9, 9)
+    rows = [sorted(map(tuple, overlaps.seeds(overlaps.window_parts(reads, 9), index, 9, 2, per_task=n).collect())) for n in (1, 2, 100_000)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == len(set(rows[0])) > 20
+
+
+def test_records_beyond_the_headers_and_unknown_ones(spark):
+    import pytest
+
+    rows = lambda *x: spark.createDataFrame(x, "read_id long, info string, seq string")
+    got = etl.replace_headers(rows((0, "@a len=9", "A")), rows((0, ">x", "ACG"), (1, ">y len=1", "AC"))).orderBy("read_id").collect()
+    assert [(r.info, r.seq) for r in got] == [(">a len=3", "ACG"), (">y len=2", "AC")]
+    original = rows((0, "@a", "A"), (1, "@b", "C"))
+    found = etl.restore_order(original, rows((0, "@b len=1 x", "G")), rows((0, "@a more", "T"))).orderBy("read_id").collect()
+    assert [(r.info, r.seq) for r in found] == [("@a more", "T"), ("@b len=1 x", "G")]
+    with pytest.raises(Exception, match="unknown header"):
+        etl.restore_order(original, rows((0, "@b", "G")), rows((0, "@c", "T"))).collect()
+    with pytest.raises(Exception, match="no such quality"):
+        etl.zip_quality(rows((0, ">a", "A")), spark.createDataFrame([(0, "94")], "read_id long, qual_text string")).collect()
+
+
+def test_judged_corrections():
+    from strandline.operators import distance as d
+
+    truth, wrong = "ACGTTGCAAGCTTAGG", "ACGTTGCATGCTTAGG"
+    assert evaluation.judge(truth, truth, 0, []) == (0, 0, 0, 0)
+    assert evaluation.judge(wrong, truth, 1, [truth]) == (0, 1, 0, 1)
+    assert evaluation.judge(truth, wrong, 0, []) == (1, 1, 0, 0)
+    assert evaluation.judge(wrong, truth + "A", 1, [truth], d.HAMMING) == (16, 16, 0, 1)
+    assert evaluation.judge(wrong, truth[:12], 1, [truth], trim=True) == (0, 1, 4, 1)
+    assert evaluation.judge(truth, truth[3:], 0, [], trim=True) == (0, 0, 3, 0)
+    # the error of the original is in what was trimmed
+    assert evaluation.judge(wrong, truth[:8], 1, [truth], trim=True) == (0, 0, 8, 0)
