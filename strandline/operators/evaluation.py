@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.sequence import measures
 from strandline.operators.distance import EDIT, HAMMING, edit_distance, placements
-from strandline.operators.placement import with_text
+from strandline.operators.placement import Reference
 
 
 def judge(original: str, corrected: str, edit: int, truths: list[str], mode: str = EDIT, trim: bool = False) -> tuple[int, int, int, int]:
@@ -50,7 +50,7 @@ def evaluate_placed(original: DataFrame, corrected: DataFrame, aligned: DataFram
     strand, start, len; exact ones need none)."""
     longest = aligned.agg(F.max(F.expr("array_max(maps.len)"))).first()[0] or 1
     places = aligned.select("read_id", F.explode("maps").alias("m")).select("read_id", "m.strand", F.col("m.start").alias("low"), F.col("m.len").alias("size"))
-    texts = with_text(places, genome, longest).groupBy("read_id").agg(F.array_sort(F.collect_set("there")).alias("truths"))
+    texts = Reference.of(genome, longest).with_text(places).groupBy("read_id").agg(F.array_sort(F.collect_set("there")).alias("truths"))
     rows = aligned.select("read_id", F.col("edit").alias("e1")).join(original.select("read_id", F.col("seq").alias("org")), "read_id").join(corrected.select("read_id", F.col("seq").alias("fixed")), "read_id").join(texts, "read_id", "left")
 
     @F.pandas_udf("e2 int, opers int, trimmed int, e1_left int")

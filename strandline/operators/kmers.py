@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import kmer_code, kmer_starts, left_context, reverse_complement, right_context
+from strandline.functions.sequence import kmer_code, kmer_text, reverse_complement
 
 
 def strands(reads: DataFrame) -> DataFrame:
@@ -18,13 +18,24 @@ def strands(reads: DataFrame) -> DataFrame:
     return reads.select("read_id", F.explode(F.array(plus, minus)).alias("x")).select("read_id", "x.*")
 
 
+def stretches(seq: Column, size: Column | int) -> Column:
+    """All stretches of so many characters, each one further than the one before. A pattern finds them in one pass; to cut
+    them out by their places would walk through the text from its start for each."""
+    pattern = F.lit(f"(?=(.{{{size}}}))") if isinstance(size, int) else F.format_string("(?=(.{%d}))", size)
+    return F.regexp_extract_all(seq, pattern, F.lit(1))
+
+
 def explode_kmers(stranded: DataFrame, k: int, context: int = 0) -> DataFrame:
-    """(read_id, strand, pos, kmer[, left_ctx, right_ctx]) of all k-mers; shorter reads have none."""
-    rows = stranded.select("read_id", "strand", "seq", F.explode(kmer_starts(F.length("seq"), k)).alias("pos"))
-    out = rows.withColumn("kmer", F.translate(F.substring("seq", F.col("pos") + 1, F.lit(k)), "N", "A"))
+    """(read_id, strand, pos, kmer[, left_ctx, right_ctx]) of all k-mers; shorter reads have none. N counts as A, and a
+    context beyond the read's ends is filled with A."""
+    beside = F.lit("A" * context)
+    padded = F.concat(beside, F.translate("seq", "N", "A"), beside)
+    rows = stranded.select("read_id", "strand", F.posexplode(stretches(padded, k + 2 * context)).alias("pos", "g"))
+    part = lambda at, n: F.substring("g", at + 1, n)
+    out = rows.select("read_id", "strand", "pos", part(context, k).alias("kmer"), "g")
     if context:
-        out = out.withColumn("left_ctx", left_context(F.col("seq"), F.col("pos"), context)).withColumn("right_ctx", right_context(F.col("seq"), F.col("pos") + k, context))
-    return out.drop("seq")
+        out = out.withColumn("left_ctx", part(0, context)).withColumn("right_ctx", part(context + k, context))
+    return out.drop("g")
 
 
 def kmer_counts(reads: DataFrame, k: int) -> DataFrame:
@@ -61,13 +72,7 @@ def coverage(spark: SparkSession, reads: DataFrame, k: int = 10, extension: int
     """(n_extended, coverage): the mean count above `floor` of the longer k-mers that begin with one of the `middle` k-mers
     around the median, over all 4 ** k of them (a fixed number) ordered by count, then code."""
     both = strands(reads)
-
-    def counted(rows: DataFrame) -> DataFrame:
-        """(kmer, c): counted within reads first, so that a read's repeats don't travel."""
-        inside = rows.groupBy("read_id", "strand", "kmer").agg(F.count(F.lit(1)).alias("c"))
-        return inside.groupBy("kmer").agg(F.sum("c").alias("c"))
-
-    found = counted(explode_kmers(both, k)).select(kmer_code(F.col("kmer")).alias("code"), "c")
+    found = explode_kmers(both, k).groupBy("kmer").agg(F.count(F.lit(1)).alias("c")).select(kmer_code(F.col("kmer")).alias("code"), "c")
     domain = spark.range(4**k).withColumnRenamed("id", "code").join(found, "code", "left").select("code", F.coalesce("c", F.lit(0)).alias("c"))
     # only the ranks around the median are wanted: counts of counts say in which count they lie
     by_count = domain.groupBy("c").agg(F.count(F.lit(1)).alias("n"))
@@ -77,6 +82,8 @@ def coverage(spark: SparkSession, reads: DataFrame, k: int = 10, extension: int
     near = domain.join(F.broadcast(spans.select("c", "before")), "c")
     ranked = near.withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("c").orderBy("code")) - 1)
     chosen = ranked.filter((F.col("r") >= low) & (F.col("r") < low + middle)).select("code")
-    longer = explode_kmers(both, k + extension).withColumn("code", kmer_code(F.substring("kmer", 1, k)))
-    counts = longer.join(F.broadcast(chosen), "code", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))  # chosen: `middle` rows
+    # `middle` rows; the k-mers that longer ones begin with are compared as text
+    starts = F.broadcast(chosen.select(kmer_text(F.col("code"), k).alias("start")))
+    longer = explode_kmers(both, k + extension).withColumn("start", F.substring("kmer", 1, k))
+    counts = longer.join(starts, "start", "left_semi").groupBy("kmer").agg(F.count(F.lit(1)).alias("c"))
     return counts.agg(F.count(F.lit(1)).alias("n_extended"), F.round(F.avg(F.when(F.col("c") > floor, F.col("c"))), 6).alias("coverage"))

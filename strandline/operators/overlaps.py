@@ -9,33 +9,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.sequence import hamming, max_overlap
+from strandline.functions.sequence import kmer_code, max_overlap
 from strandline.operators.distance import EDIT, HAMMING
 
 
-def query_windows(reads: DataFrame, k: int) -> DataFrame:
-    """(read_id, win, start, parts): windows of three k-mers (two for reads of under three, none under two) that overlap
-    by k at least and cover the read evenly."""
+def _windows(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, seq, win, start, parts)."""
     n = F.length("seq")
-    rows = reads.select("read_id", n.alias("n"), F.when(n >= 3 * k, 3).when(n >= 2 * k, 2).alias("parts")).filter("parts IS NOT NULL")
+    rows = reads.select("read_id", "seq", n.alias("n"), F.when(n >= 3 * k, 3).when(n >= 2 * k, 2).alias("parts")).filter("parts IS NOT NULL")
     rows = rows.withColumn("size", F.col("parts") * k).withColumn("m", F.expr(f"cast(ceil((n - {k}) / (size - {k})) as int)")).withColumn("extra", F.expr("m * size - n"))
     # the i-th gap takes (extra + i) div (m - 1) off a whole step
     starts = F.expr("transform(sequence(0, m - 1), w -> struct(w AS win, cast(w * size - aggregate(CASE WHEN w > 0 THEN sequence(0, w - 1) ELSE array() END, 0L, (a, i) -> a + (extra + i) div (m - 1)) AS int) AS start))")
-    return rows.select("read_id", F.explode(starts).alias("x"), "parts").select("read_id", "x.win", "x.start", "parts")
+    return rows.select("read_id", "seq", F.explode(starts).alias("x"), "parts").select("read_id", "seq", "x.win", "x.start", "parts")
+
+
+def query_windows(reads: DataFrame, k: int) -> DataFrame:
+    """(read_id, win, start, parts): windows of three k-mers (two for reads of under three, none under two) that overlap
+    by k at least and cover the read evenly."""
+    return _windows(reads, k).drop("seq")
 
 
 def window_parts(reads: DataFrame, k: int) -> DataFrame:
-    """query_windows with p1, p2, p3, the window's k-mers (p3 null in windows of two)."""
-    rows = query_windows(reads, k).join(reads.select("read_id", "seq"), "read_id")
-    part = lambda j: F.expr(f"substring(seq, start + 1 + {j * k}, {k})")
-    return rows.select("read_id", "win", "start", "parts", part(0).alias("p1"), part(1).alias("p2"), F.when(F.col("parts") == 3, part(2)).alias("p3"))
+    """query_windows with p1, p2, p3, the window's k-mers (p3 null in windows of two); N counts as A."""
+    part = lambda j: F.translate(F.expr(f"substring(seq, start + 1 + {j * k}, {k})"), "N", "A")
+    return _windows(reads, k).select("read_id", "win", "start", "parts", part(0).alias("p1"), part(1).alias("p2"), F.when(F.col("parts") == 3, part(2)).alias("p3"))
 
 
 def context_errors(part: str, context: str, k: int, max_errors: int, mode: str) -> Column:
-    """Errors of a k-mer against the context beside an equal k-mer (left ones end at it). Edits: the fewest over all
-    lengths of context that max_errors insertions or deletions could leave."""
+    """Errors of a k-mer against the context beside an equal k-mer (left ones end at it). Mismatches: of their numbers, as
+    k-mers have up to 14 bases. Edits: the fewest over all lengths of context that max_errors insertions or deletions
+    could leave."""
     if mode == HAMMING:
-        return hamming(F.col(part), F.col(context))
+        # both are numbers here, two bits a base: a base differs where one of its bits does
+        other = F.col(part).bitwiseXOR(F.col(context))
+        return F.bit_count(other.bitwiseOR(F.shiftright(other, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     cut = "right" if context == "left_ctx" else "left"
     if mode == EDIT:
         return F.expr(f"array_min(transform(sequence({max(0, k - max_errors)}, {k + max_errors}), n -> levenshtein({part}, {cut}({context}, n))))")
@@ -59,25 +66,32 @@ def by_hot_keys(parts: DataFrame, entries: DataFrame, per_task: int) -> tuple[Da
 
 def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, outer: bool = True, mode: str = HAMMING, neighbours: bool = False, per_task: int = 100_000) -> DataFrame:
     """(read_id, win, cand_id, cand_strand, side, ref_pos, query_pos, errors) of all seeds with up to max_errors errors;
-    with neighbours also neighbour, the candidate's k-mer beside the equal one.
+    with neighbours also neighbour, what the candidate has beside the equal k-mer (its number in the hamming mode).
 
     index: explode_kmers with a context of k, and of k + max_errors in a mode other than hamming, where a k-mer is
     compared with the best beginning of the context. In windows of three the middle k-mer is equal and the k-mer to its right
     (side 'R') or left ('L') may differ; in windows of two one of them is equal and the other may differ. With outer, an
     outer k-mer of a window of three may be the equal one too and the middle one differ (without errors it is a seed of
     the middle k-mer already). No two seeds are the same, as a side and a place in the query tell which k-mer is equal."""
-    three = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p2").alias("kmer"), F.col("p1").alias("left"), F.col("p3").alias("right"), F.lit(k).alias("at"))
-    first = windows.filter("parts = 2").select("read_id", "win", "start", F.col("p1").alias("kmer"), F.lit(None).cast("string").alias("left"), F.col("p2").alias("right"), F.lit(0).alias("at"))
-    second = windows.filter("parts = 2").select("read_id", "win", "start", F.col("p2").alias("kmer"), F.col("p1").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(k).alias("at"))
-    entries = index.select("kmer", F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), "pos", "left_ctx", "right_ctx")
-    parts = three.unionByName(first).unionByName(second).withColumn("least", F.lit(0))
+    none = F.lit(None).cast("string")
+
+    def part(parts: int, kmer: str, left: str | None, right: str | None, at: int, least: int = 0) -> Column:
+        columns = [F.col(kmer).alias("kmer"), (F.col(left) if left else none).alias("left"), (F.col(right) if right else none).alias("right"), F.lit(at).alias("at"), F.lit(least).alias("least")]
+        return F.when(F.col("parts") == parts, F.struct(*columns))
+
+    wanted = [part(3, "p2", "p1", "p3", k), part(2, "p1", None, "p2", 0), part(2, "p2", "p1", None, k)]
     if outer and max_errors:
-        begin = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p1").alias("kmer"), F.lit(None).cast("string").alias("left"), F.col("p2").alias("right"), F.lit(0).alias("at"), F.lit(1).alias("least"))
-        end = windows.filter("parts = 3").select("read_id", "win", "start", F.col("p3").alias("kmer"), F.col("p2").alias("left"), F.lit(None).cast("string").alias("right"), F.lit(2 * k).alias("at"), F.lit(1).alias("least"))
-        parts = parts.unionByName(begin).unionByName(end)
+        wanted += [part(3, "p1", None, "p2", 0, 1), part(3, "p3", "p2", None, 2 * k, 1)]
+    parts = windows.select("read_id", "win", "start", F.explode(F.filter(F.array(*wanted), lambda x: x.isNotNull())).alias("x")).select("read_id", "win", "start", "x.*")
+    entries = index.select("kmer", F.col("read_id").alias("cand_id"), F.col("strand").alias("cand_strand"), "pos", "left_ctx", "right_ctx")
+    if mode == HAMMING:
+        coded = lambda rows, *names: rows.withColumns({c: kmer_code(F.col(c)) for c in names})
+        parts, entries = coded(parts, "left", "right"), coded(entries, "left_ctx", "right_ctx")
+        near = [F.col("right_ctx"), F.col("left_ctx")]
+    else:
+        near = [F.left("right_ctx", F.lit(k)), F.right("left_ctx", F.lit(k))]
     left, right = by_hot_keys(parts, entries, per_task)
     hits = left.join(right, ["kmer", "salt"])
-    near = [F.left("right_ctx", F.lit(k)), F.right("left_ctx", F.lit(k))]
 
     def side(name: str, errors: Column, pos: Column, at: Column, neighbour: Column) -> Column:
         beside = [neighbour.alias("neighbour")] if neighbours else []

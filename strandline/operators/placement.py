@@ -10,12 +10,16 @@ broadcast unless Spark finds it small.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import hamming, part_size, reverse_complement
 from strandline.operators.distance import EDIT, HAMMING, placements
+from strandline.operators.kmers import stretches
+from strandline.sources.staging import Stage
 
 CHUNK = 4096
 
@@ -42,21 +46,31 @@ def reference_chunks(genome: DataFrame, over: int = 0, size: int = CHUNK) -> Dat
     return parts.groupBy("strand", "chunk").agg(joined.alias("g"))
 
 
-def reference_grams(genome: DataFrame, q: int) -> DataFrame:
-    """(strand, at, gram): the q-grams of both strands."""
-    rows = reference_chunks(genome, q - 1, max(CHUNK, q)).filter(F.length("g") >= q)
-    rows = rows.select("strand", "chunk", "g", F.explode(F.sequence(F.lit(0), F.length("g") - q)).alias("i"))
-    return rows.select("strand", (F.col("chunk") * max(CHUNK, q) + F.col("i")).alias("at"), F.expr(f"substring(g, i + 1, {q})").alias("gram"))
+@dataclass
+class Reference:
+    """Chunks of a reference that overlap by `over` bases, as a table, so that they are cut once for all that joins them."""
+
+    chunks: DataFrame
+    size: int
+
+    @classmethod
+    def of(cls, genome: DataFrame, over: int) -> Reference:
+        size = max(CHUNK, over)
+        return cls(Stage(genome.sparkSession).write(reference_chunks(genome, over, size), "chunks"), size)
 
+    def grams(self, sizes: Column) -> DataFrame:
+        """(strand, at, gram): on both strands the stretches of all lengths of an array, none over `over` + 1."""
+        rows = self.chunks.select("strand", "chunk", "g", F.explode(sizes).alias("q")).filter("q <= length(g)")
+        begin = F.expr(f"substring(g, 1, cast({self.size} - 1 + q as int))")  # what begins later is the next chunk's
+        rows = rows.select("strand", "chunk", F.posexplode(stretches(begin, F.col("q"))).alias("i", "gram"))
+        return rows.select("strand", (F.col("chunk") * self.size + F.col("i")).alias("at"), "gram")
 
-def with_text(places: DataFrame, genome: DataFrame, longest: int) -> DataFrame:
-    """places (strand, low, size, ...) with there, the reference's `size` bases from low on, fewer at its end; rows that
-    begin beyond it are left out. No size is over `longest`."""
-    size = max(CHUNK, longest)
-    chunks = reference_chunks(genome, longest, size).withColumnRenamed("g", "_g")
-    rows = places.withColumn("chunk", F.expr(f"low div {size}")).join(chunks, ["strand", "chunk"])
-    rows = rows.withColumn("there", F.expr(f"substring(_g, cast(low - chunk * {size} + 1 as int), cast(size as int))"))
-    return rows.drop("chunk", "_g").filter("there <> ''")
+    def with_text(self, places: DataFrame) -> DataFrame:
+        """places (strand, low, size, ...) with there, the reference's `size` bases from low on, fewer at its end; rows
+        that begin beyond it are left out. No size is over `over`."""
+        rows = places.withColumn("chunk", F.expr(f"low div {self.size}")).join(self.chunks.withColumnRenamed("g", "_g"), ["strand", "chunk"])
+        rows = rows.withColumn("there", F.expr(f"substring(_g, cast(low - chunk * {self.size} + 1 as int), cast(size as int))"))
+        return rows.drop("chunk", "_g").filter("there <> ''")
 
 
 def _longest(reads: DataFrame) -> int:
@@ -81,17 +95,13 @@ def read_parts(reads: DataFrame, errors: int | None, q: int, policy: str = "smal
     return rows.withColumn("part_at", before).select("read_id", "part_at", F.expr(f"substring(seq, part_at + 1, {q})").alias("gram"))
 
 
-def suggested(reads: DataFrame, genome: DataFrame, errors: int | None, q: int) -> DataFrame:
-    """(read_id, strand, start): where an intact part would put the read."""
+def suggested(reads: DataFrame, reference: Reference, errors: int | None, q: int) -> DataFrame:
+    """(read_id, strand, start): where an intact part would put the read. Reads of under q bases are parts of their own
+    length; which of those lengths occur is a short list."""
     parts = read_parts(reads, errors, q)
-    hits = parts.join(reference_grams(genome, q), "gram")
-    # reads of under q bases: grams of the lengths that occur, each a number below q
-    sizes = reads.select(F.length("seq").alias("size")).filter(f"size BETWEEN 1 AND {q - 1}").distinct()
-    size = max(CHUNK, q)
-    grams = reference_chunks(genome, q - 1, size).join(F.broadcast(sizes), F.expr("size <= length(g)"))
-    grams = grams.select("strand", "chunk", "g", "size", F.explode(F.expr(f"sequence(0, least({size} - 1, length(g) - size))")).alias("i"))
-    short = parts.filter(F.length("gram") < q).join(grams.select("strand", (F.col("chunk") * size + F.col("i")).alias("at"), F.expr("substring(g, i + 1, size)").alias("gram")), "gram")
-    return hits.unionByName(short).select("read_id", "strand", (F.col("at") - F.col("part_at")).alias("start")).distinct()
+    lengths = [r[0] for r in reads.select(F.length("seq").alias("n")).filter(f"n BETWEEN 1 AND {q - 1}").distinct().collect()]  # q - 1 numbers at most
+    hits = parts.join(reference.grams(F.array(*(F.lit(n) for n in [q, *lengths]))), "gram")
+    return hits.select("read_id", "strand", (F.col("at") - F.col("part_at")).alias("start")).distinct()
 
 
 def align_exact(reads: DataFrame, genome: DataFrame, q: int) -> DataFrame:
@@ -101,11 +111,16 @@ def align_exact(reads: DataFrame, genome: DataFrame, q: int) -> DataFrame:
 
 def align_hamming(reads: DataFrame, genome: DataFrame, errors: int, q: int) -> DataFrame:
     """(read_id, edit, strand, start): the fewest mismatches (at most error_limit) and every place that has as few."""
-    rows = suggested(reads, genome, errors, q).filter("start >= 0").join(reads.select("read_id", "seq"), "read_id")
-    rows = with_text(rows.withColumn("low", F.col("start")).withColumn("size", F.length("seq")), genome, _longest(reads)).filter("length(there) = size")
+    reference = Reference.of(genome, max(_longest(reads), q))
+    rows = suggested(reads, reference, errors, q).filter("start >= 0").join(reads.select("read_id", "seq"), "read_id")
+    rows = reference.with_text(rows.withColumn("low", F.col("start")).withColumn("size", F.length("seq"))).filter("length(there) = size")
     rows = rows.select("read_id", "strand", F.col("start").cast("int").alias("start"), hamming(F.col("seq"), F.col("there")).alias("edit"), error_limit(F.col("size"), errors, q).alias("most")).filter("edit <= most").drop("most")
-    best = rows.groupBy("read_id").agg(F.min("edit").alias("edit"))
-    return rows.join(best, ["read_id", "edit"]).select("read_id", "edit", "strand", "start")
+    return _fewest(rows).select("read_id", "edit", "strand", "start")
+
+
+def _fewest(rows: DataFrame) -> DataFrame:
+    """Of each read's rows those with the fewest edits; a read has few, for they are verified."""
+    return rows.withColumn("_least", F.min("edit").over(Window.partitionBy("read_id"))).filter("edit = _least").drop("_least")
 
 
 def align_edit(reads: DataFrame, genome: DataFrame, errors: int | None, q: int, mode: str = EDIT) -> DataFrame:
@@ -117,9 +132,10 @@ def align_edit(reads: DataFrame, genome: DataFrame, errors: int | None, q: int,
         return rows.groupBy("read_id", "edit").agg(F.array_sort(F.collect_set(F.struct("strand", "start", "len"))).alias("maps"))
     longest = _longest(reads)
     most = max(0, longest // q - 1 if errors is None else min(errors, longest // q - 1))
-    rows = suggested(reads, genome, errors, q).join(reads.select("read_id", "seq", error_limit(F.length("seq"), errors, q).alias("most")), "read_id")
+    reference = Reference.of(genome, max(longest + 2 * most, q))
+    rows = suggested(reads, reference, errors, q).join(reads.select("read_id", "seq", error_limit(F.length("seq"), errors, q).alias("most")), "read_id")
     rows = rows.withColumn("low", F.greatest(F.col("start") - F.col("most"), F.lit(0))).withColumn("size", F.col("start") + F.length("seq") + F.col("most") - F.col("low")).filter("size > 0")
-    rows = with_text(rows, genome, longest + 2 * most)
+    rows = reference.with_text(rows)
 
     @F.pandas_udf("edit int, maps array<struct<start:int,len:int>>")
     def verify(window: pd.Series, seq: pd.Series, most: pd.Series) -> pd.DataFrame:
@@ -127,9 +143,8 @@ def align_edit(reads: DataFrame, genome: DataFrame, errors: int | None, q: int,
         return pd.DataFrame({"edit": [e for e, _ in found], "maps": [[{"start": s, "len": n} for s, n in m] for _, m in found]})
 
     rows = rows.withColumn("v", verify("there", "seq", "most")).filter("v.edit >= 0").select("read_id", "strand", "low", F.col("v.edit").alias("edit"), F.explode("v.maps").alias("m"))
-    best = rows.groupBy("read_id").agg(F.min("edit").alias("edit"))
     maps = F.array_sort(F.collect_set(F.struct("strand", (F.col("low") + F.col("m.start")).cast("int").alias("start"), F.col("m.len").alias("len"))))
-    return rows.join(best, ["read_id", "edit"]).groupBy("read_id", "edit").agg(maps.alias("maps"))
+    return _fewest(rows).groupBy("read_id", "edit").agg(maps.alias("maps"))
 
 
 def summary(reads: DataFrame, aligned: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators import consensus, edit_graph, kmers, overlaps
+from strandline.sources.staging import Stage
 
 
 @dataclass(frozen=True)
@@ -76,6 +77,8 @@ def correct(reads: DataFrame, options: Options | None = None) -> DataFrame:
     """(read_id, seq[, qual]): corrected reads, with qualities if they have any. Reads of under two k-mers have no
     candidates and stay as they are."""
     options = options or Options()
+    # a table: the reads are read again at many places of the plan
+    reads = Stage(reads.sparkSession).write(reads, "reads")
     both = stranded(reads, options)
     plain = [c for c in both.columns if c != "qual"]
     if options.match == "hamming":

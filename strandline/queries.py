@@ -103,7 +103,8 @@ def query(sql: str | None = None) -> Callable:
 
 
 def _tiled(spark: SparkSession, d: str) -> DataFrame:
-    return tables.tiled(spark, d).select("read_id", "seq")
+    """The reads as a table, for plans that read them at many places."""
+    return Stage(spark).write(tables.tiled(spark, d).select("read_id", "seq"), "tiled")
 
 
 def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
