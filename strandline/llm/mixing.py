@@ -42,7 +42,7 @@ def topic_of(text: Column, n_tokens: Column) -> Column:
     for name, words in reversed(LENGTHS):
         out = F.when(n_tokens < words, name).otherwise(out)
     for name, marks in reversed(KINDS):
-        n = F.length(text) - F.length(F.translate(text, marks, ""))
+        n = F.regexp_count(text, F.lit(f"[{marks}]"))
         out = F.when((n > 0) & (10 * n >= n_tokens), name).otherwise(out)
     return out
 

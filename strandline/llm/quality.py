@@ -47,18 +47,19 @@ def base_counts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     rows = rows.withColumn("n_words", F.size("ws").cast("long"))
     rows = rows.withColumn("wh", F.transform("ws", lambda w: F.xxhash64(w)))
     rows = rows.withColumn("short", F.filter("ws", lambda w: F.length(w) <= 3))
+    count = lambda marks: F.regexp_count(F.col("t"), F.lit(marks)).cast("long")
     full = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     lines = rows.select(
         "_keep",
         "n_words",
-        F.length(F.translate("t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("t") - count(r"[\x20\x09-\x0D]")).cast("long").alias("word_chars"),
+        count("[#*$%&|<>]").alias("n_symbols"),
         full.alias("full"),
         F.size(F.filter("short", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_short"),
         F.size(F.filter("short", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_bare"),
-        (F.length("t") - F.length(F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_capitals"),
+        count("[A-Z]").alias("n_capitals"),
         F.expr("size(filter(wh, (x, i) -> x = get(wh, i - 1)))").cast("long").alias("n_stutter"),
-        (F.length("t") - F.length(F.translate("t", "!?", ""))).cast("long").alias("n_shouts"),
+        count("[!?]").alias("n_shouts"),
         F.expr(f"""CASE WHEN n_words < {WINDOW} THEN array() ELSE transform(sequence(0, size(wh) - {WINDOW}),
             i -> xxhash64({", ".join(f"get(wh, i + {j})" for j in range(WINDOW))})) END""").cast("array<bigint>").alias("h"),
     )
