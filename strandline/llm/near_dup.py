@@ -30,6 +30,8 @@ from strandline.llm.common import Stage, WordTable, components, hold, map_texts,
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: What sums of rounding errors of similarities stay below.
+ROUNDING = 1e-12
 #: At similarity 0.8 a pair shares none of the bands with a probability of (1 - 0.8 ** 5) ** 25 = 5e-5.
 BANDS, ROWS = 25, 5
 #: Pivots of each bucket in the rounds before what is left is compared in blocks of BLOCK members and BLOCK_WORDS words,
@@ -154,7 +156,7 @@ def _linked(pairs: DataFrame, threshold: float) -> DataFrame:
 
         for batch in batches:
             a_ids, a_n, b_ids, b_n = (batch.column(i) for i in range(2, 6))
-            ok = [probability_jaccard(*read(a_ids[i], a_n[i]), *read(b_ids[i], b_n[i])) >= threshold for i in range(batch.num_rows)]
+            ok = [probability_jaccard(*read(a_ids[i], a_n[i]), *read(b_ids[i], b_n[i])) >= threshold - ROUNDING for i in range(batch.num_rows)]
             yield batch.select([0, 1]).filter(pa.array(ok, type=pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -222,10 +224,10 @@ def _block_links(frame: pd.DataFrame, threshold: float) -> list[tuple[int, int]]
             da = dense(ca)
             common += da @ (da if same else dense(cb)).T
         size_a, size_b = np.asarray([len(x) for x in xa]), np.asarray([len(x) for x in xb])
-        linked |= plain & (common / (size_a[:, None] + size_b[None, :] - common) >= threshold)
+        linked |= plain & (common / (size_a[:, None] + size_b[None, :] - common) >= threshold - ROUNDING)
     ones = lambda x, n: n if n is not None else np.ones(len(x))
     for i, j in zip(*np.nonzero(able & ~plain), strict=True):
-        linked[i, j] = probability_jaccard(xa[i], ones(xa[i], na[i]), xb[j], ones(xb[j], nb[j])) >= threshold
+        linked[i, j] = probability_jaccard(xa[i], ones(xa[i], na[i]), xb[j], ones(xb[j], nb[j])) >= threshold - ROUNDING
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -355,3 +357,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: All pairs with a common shingle. A pair's similarity is at most the share of either text's mass that is common.
+OP4_SQL = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), shingled AS (
+    SELECT doc_id, s, count(*) AS n FROM (
+        SELECT doc_id, unnest([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') for i in range(1, len(w) - least(5, len(w)) + 2)]) AS s FROM worded WHERE len(w) > 0
+    ) GROUP BY ALL
+), total AS (SELECT doc_id, sum(n) AS t FROM shingled GROUP BY doc_id),
+common AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS k
+    FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), pairs AS (SELECT a, b, sum(k * na) AS ca, sum(k * nb) AS cb FROM common GROUP BY a, b),
+able AS (SELECT p.*, x.t AS ta, y.t AS tb FROM pairs p JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b WHERE p.ca >= 0.8 * x.t AND p.cb >= 0.8 * y.t),
+ratios AS (SELECT DISTINCT a, b, na, nb FROM common),
+shares AS (
+    SELECT p.a, p.b, r.na AS p_na, r.nb AS p_nb, any_value(p.ta - p.ca) AS only_a, any_value(p.tb - p.cb) AS only_b,
+        sum(c.k * greatest(c.na, r.na * c.nb / r.nb::DOUBLE)) AS shared
+    FROM able p JOIN ratios r USING (a, b) JOIN common c ON c.a = p.a AND c.b = p.b GROUP BY ALL
+), similar_ones AS (
+    SELECT s.a, s.b, sum(c.k * c.na / (shared + only_a + c.na * only_b / c.nb::DOUBLE)) AS j
+    FROM shares s JOIN common c ON c.a = s.a AND c.b = s.b AND c.na = p_na AND c.nb = p_nb GROUP BY s.a, s.b
+), links AS (SELECT a, b FROM similar_ones WHERE j >= 0.8 - 1e-12 UNION ALL SELECT b, a FROM similar_ones WHERE j >= 0.8 - 1e-12),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(b, doc_id)) AS class_id, doc_id = least(doc_id, coalesce(b, doc_id)) AS kept FROM documents LEFT JOIN least ON a = doc_id
+"""

@@ -483,3 +483,21 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, m
 
 def op6_suffix_array_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Every string of 100 bytes, two hexadecimal digits each.
+OP6_SQL = r"""
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+    SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99))::INT AS i FROM bytes)
+), later AS (
+    SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+), starts AS (
+    SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM later
+), runs AS (
+    SELECT doc_id, min(i) AS s, max(i) + 100 AS e FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM starts) GROUP BY doc_id, r
+), listed AS (SELECT doc_id, list(s ORDER BY s) AS s, list(e ORDER BY s) AS e, count(*) AS n, sum(e - s) AS gone FROM runs GROUP BY doc_id)
+SELECT b.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+    sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string([substr(h, 2 * coalesce(e[k], 0) + 1, 2 * (coalesce(s[k + 1], length(h) // 2) - coalesce(e[k], 0))) for k in range(0, n + 1)], '') END)) AS kept_sha256
+FROM bytes b LEFT JOIN listed l USING (doc_id)
+"""

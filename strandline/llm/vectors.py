@@ -327,3 +327,21 @@ def _meet(rows: DataFrame, leaves: DataFrame, cosine: float, block: int) -> Data
 
 def op5_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(spark, table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+#: All pairs of a label.
+OP5_SQL = r"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), usable AS (
+    SELECT vec_id, label, v, sqrt(list_sum([x * x for x in v])) AS size FROM vectors
+    WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len([x for x in v if x IS NOT NULL AND isfinite(x)]) = len(v) AND len([x for x in v if x <> 0]) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.98
+), reach AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a), counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(l.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(l.b, vec_id)) AS kept
+FROM vectors LEFT JOIN least l ON l.a = vec_id LEFT JOIN counted c ON c.a = vec_id
+"""

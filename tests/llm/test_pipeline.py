@@ -18,7 +18,8 @@ from strandline.llm import mixing, packing, queries, toxicity
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_as_sql(spark, data, same, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{data}/{table}.parquet'")
     same(queries.QUERIES[name](spark, data).toPandas(), con.sql(queries.ORACLE_SQL[name]).df())
 
 
