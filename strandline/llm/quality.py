@@ -149,6 +149,54 @@ def judge(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None, t
 
 def op7_weak_supervision_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+def _sql() -> str:
+    """The counts, votes and rounds of EM over patterns of votes, a table for each round."""
+    share = lambda a, b: f"({a} / greatest({b}, 1)::DOUBLE)"
+    mean = share("word_chars", "n_words")
+    votes = {
+        "symbols": (f"{share('n_symbols', 'n_words')} <= 0.02", f"{share('n_symbols', 'n_words')} >= 0.15"),
+        "capitals": (f"{share('n_capitals', 'word_chars')} <= 0.06", f"{share('n_capitals', 'word_chars')} >= 0.15"),
+        "shouts": (f"{share('n_shouts', 'n_words')} <= 0.05", f"{share('n_shouts', 'n_words')} >= 0.2"),
+        "short_words": (f"{share('n_short', 'n_words')} >= 0.15", f"{share('n_short', 'n_words')} < 0.08 AND n_words >= 20"),
+        "bare_marks": (f"{share('n_bare', 'n_words')} <= 0.02", f"{share('n_bare', 'n_words')} >= 0.1 AND n_words >= 20"),
+        "stutter": (f"{share('n_stutter', 'n_words')} <= 0.02 AND n_words >= 20", f"{share('n_stutter', 'n_words')} >= 0.2"),
+        "word_length": (f"{mean} >= 3 AND {mean} <= 7.5", f"{mean} < 2.5 OR {mean} > 8.5"),
+        "dup_lines": ("n_dup_lines = 0 AND n_lines >= 3", f"{share('n_dup_lines', 'n_lines')} > 0.3"),
+        "repeats": ("n_repeat_words = 0 AND n_words >= 50", f"{share('n_repeat_words', 'n_words')} > 0.1"),
+    }
+    listed = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for good, bad in votes.values())
+    parts = [rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS full_lines FROM texts),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], chr(10)) AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM texts WHERE len(ws) >= 5)),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(0, 5) AS r(k) GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum([length(w) for w in ws]), 0)::BIGINT AS word_chars,
+        len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[A-Z]')) AS n_capitals, len(regexp_extract_all(t, '[!?]')) AS n_shouts,
+        len([w for w in ws if length(w) <= 3 AND regexp_matches(w, '\p{{L}}')]) AS n_short, len([w for w in ws if length(w) <= 3 AND NOT regexp_matches(w, '[\p{{L}}\p{{N}}]')]) AS n_bare,
+        len([i for i in range(2, len(ws) + 1) if ws[i] = ws[i - 1]]) AS n_stutter, len(full_lines) AS n_lines,
+        (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM texts JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+), voted AS MATERIALIZED (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 20 * n_words AS base_failed, [{listed}] AS votes FROM counted),
+patterns AS MATERIALIZED (SELECT votes, count(*) AS n FROM voted WHERE NOT base_failed GROUP BY votes),
+single AS MATERIALIZED (SELECT votes, n, k, votes[k] AS v FROM patterns, range(1, {len(votes) + 1}) AS r(k)),
+e0 AS MATERIALIZED (SELECT votes, n, (1 + 2 * len([v for v in votes if v = 1])) / (2 + 2 * len([v for v in votes if v <> 0]) + 4 * len([v for v in votes if v = -1]))::DOUBLE AS p FROM patterns)"""]
+    for r in range(1, ROUNDS + 1):
+        parts.append(f"""g{r} AS MATERIALIZED (SELECT sum(p * n) AS good, sum(n) AS total, ln((sum(p * n) + 1) / (sum(n) - sum(p * n) + 1)) AS prior FROM e{r - 1})""")
+        parts.append(f"""s{r} AS (SELECT k, v, 1 + sum(p * e.n) AS a, 1 + sum((1 - p) * e.n) AS b FROM e{r - 1} e JOIN single USING (votes) GROUP BY k, v)""")
+        parts.append(f"""w{r} AS MATERIALIZED (SELECT k, v, CASE v WHEN -1 THEN least(w, 0) WHEN 1 THEN greatest(w, 0) ELSE w END AS w
+    FROM (SELECT k, v, ln(coalesce(a, 1) / (good + 3)) - ln(coalesce(b, 1) / (total - good + 3)) AS w FROM range(1, {len(votes) + 1}) AS r(k) CROSS JOIN range(-1, 2) AS x(v) LEFT JOIN s{r} USING (k, v), g{r}))""")
+        parts.append(f"""e{r} AS MATERIALIZED (SELECT votes, any_value(s.n) AS n, 1 / (1 + exp(-greatest(-35, least(35, any_value(prior) + sum(w))))) AS p FROM single s JOIN w{r} USING (k, v), g{r} GROUP BY votes)""")
+    return ",\n".join(parts) + f""",
+judged AS (SELECT doc_id, round(1 / (1 + exp(-greatest(-35, least(35, any_value(prior) + sum(w))))), 9) AS posterior
+    FROM (SELECT doc_id, k, votes[k] AS v FROM voted, range(1, {len(votes) + 1}) AS r(k)) JOIN w{ROUNDS} USING (k, v), g{ROUNDS} GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= {THRESHOLD} AS kept, round(posterior, 6) AS posterior
+FROM voted JOIN judged USING (doc_id)
+"""
 
 
+OP7_SQL = _sql()

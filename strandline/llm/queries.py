@@ -11,7 +11,7 @@ from strandline.llm.line_dedup import OP2_SQL, op2_line_dedup
 from strandline.llm.mixing import OP8_SQL, op8_source_mixing
 from strandline.llm.near_dup import OP4_SQL, op4_near_duplicates
 from strandline.llm.packing import op10_best_fit_packing
-from strandline.llm.quality import op7_weak_supervision_quality
+from strandline.llm.quality import OP7_SQL, op7_weak_supervision_quality
 from strandline.llm.repeats import OP6_SQL, op6_suffix_array_repeats
 from strandline.llm.surrogates import op1_pii_surrogates
 from strandline.llm.toxicity import op9_toxicity_ftrl
@@ -35,5 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_near_duplicates": OP4_SQL,
     "op5_cover_tree_links": OP5_SQL,
     "op6_suffix_array_repeats": OP6_SQL,
+    "op7_weak_supervision_quality": OP7_SQL,
     "op8_source_mixing": OP8_SQL,
 }
