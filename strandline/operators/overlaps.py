@@ -66,7 +66,8 @@ def by_hot_keys(parts: DataFrame, entries: DataFrame, per_task: int) -> tuple[Da
 
 def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, outer: bool = True, mode: str = HAMMING, neighbours: bool = False, per_task: int = 100_000) -> DataFrame:
     """(read_id, win, cand_id, cand_strand, side, ref_pos, query_pos, errors) of all seeds with up to max_errors errors;
-    with neighbours also neighbour, what the candidate has beside the equal k-mer (its number in the hamming mode).
+    with neighbours also neighbour, what the candidate has beside the equal k-mer (its number in the hamming mode), and
+    both: at the left seed of a middle k-mer that has a right one too, the errors of the worse of the two.
 
     index: explode_kmers with a context of k, and of k + max_errors in a mode other than hamming, where a k-mer is
     compared with the best beginning of the context. In windows of three the middle k-mer is equal and the k-mer to its right
@@ -94,11 +95,14 @@ def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, outer:
     hits = left.join(right, ["kmer", "salt"])
 
     def side(name: str, errors: Column, pos: Column, at: Column, neighbour: Column) -> Column:
-        beside = [neighbour.alias("neighbour")] if neighbours else []
+        beside = [neighbour.alias("neighbour"), (whole if name == "L" else F.lit(None).cast("int")).alias("both")] if neighbours else []
         return F.when((errors <= max_errors) & (errors >= F.col("least")), F.struct(F.lit(name).alias("side"), pos.alias("ref_pos"), at.alias("query_pos"), errors.alias("errors"), *beside))
 
-    r = side("R", context_errors("right", "right_ctx", k, max_errors, mode), F.col("pos"), F.col("start") + F.col("at"), near[0])
-    f = side("L", context_errors("left", "left_ctx", k, max_errors, mode), F.col("pos") - k, F.col("start") + F.col("at") - k, near[1])
+    to_right, to_left = context_errors("right", "right_ctx", k, max_errors, mode), context_errors("left", "left_ctx", k, max_errors, mode)
+    worse = F.greatest(to_left, to_right)  # of a k-mer with both neighbours: the middle one of three
+    whole = F.when(F.col("left").isNotNull() & F.col("right").isNotNull() & (worse <= max_errors), worse).cast("int")
+    r = side("R", to_right, F.col("pos"), F.col("start") + F.col("at"), near[0])
+    f = side("L", to_left, F.col("pos") - k, F.col("start") + F.col("at") - k, near[1])
     found = hits.select("read_id", "win", "cand_id", "cand_strand", F.explode(F.filter(F.array(r, f), lambda x: x.isNotNull())).alias("x"))
     return found.select("read_id", "win", "cand_id", "cand_strand", "x.*").filter("ref_pos >= 0")
 
@@ -111,12 +115,18 @@ def cap_neighbours(found: DataFrame, cap: int) -> DataFrame:
 
 
 def escalate(found: DataFrame, max_errors: int, enough: int) -> DataFrame:
-    """Of each window the seeds up to the least number of errors that gives `enough` of them (else all)."""
+    """Of each window the seeds up to the least number of errors that gives `enough` of them (else all). If as many middle
+    k-mers have both neighbours within those errors (both, if seeds tell), only their left seeds."""
     w = Window.partitionBy("read_id", "win")
+    n = lambda c, j: F.sum((F.col(c) <= j).cast("int")).over(w)
     level = F.lit(max_errors)
     for j in reversed(range(max_errors)):
-        level = F.when(F.sum((F.col("errors") <= j).cast("int")).over(w) >= enough, j).otherwise(level)
-    return found.withColumn("level", level).filter(F.col("errors") <= F.col("level"))
+        level = F.when(n("errors", j) >= enough, j).otherwise(level)
+    rows = found.withColumn("level", level)
+    if "both" not in found.columns:
+        return rows.filter("errors <= level")
+    rows = rows.withColumn("_whole", F.sum((F.col("both") <= F.col("level")).cast("int")).over(w))
+    return rows.filter(F.when(F.col("_whole") >= enough, F.col("both") <= F.col("level")).otherwise(F.col("errors") <= F.col("level"))).drop("both", "_whole")
 
 
 def candidates(found: DataFrame, reads: DataFrame, stranded: DataFrame, min_overlap: int, min_share: float, slack: int = 0) -> DataFrame:

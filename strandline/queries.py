@@ -47,19 +47,21 @@ windows AS (SELECT read_id, 0 AS win, 0 AS start, parts, n, m FROM counted
 parted AS (SELECT w.read_id, win, start, parts, substr(seq, start + 1, 9) AS p1, substr(seq, start + 10, 9) AS p2,
     CASE WHEN parts = 3 THEN substr(seq, start + 19, 9) END AS p3 FROM windows w JOIN tiled t USING (read_id)),
 matched AS (SELECT p.read_id, win, i.read_id AS cand_id, i.strand AS cand_strand, 'R' AS side, i.pos AS ref_pos,
-        start + CASE WHEN parts = 3 THEN 9 ELSE 0 END AS query_pos, hamming(CASE WHEN parts = 3 THEN p3 ELSE p2 END, right_ctx)::INT AS errors, right_ctx AS neighbour
+        start + CASE WHEN parts = 3 THEN 9 ELSE 0 END AS query_pos, hamming(CASE WHEN parts = 3 THEN p3 ELSE p2 END, right_ctx)::INT AS errors, right_ctx AS neighbour, NULL::INT AS both_sides
     FROM parted p JOIN index9 i ON i.kmer = CASE WHEN parts = 3 THEN p2 ELSE p1 END
-    UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'L', i.pos - 9, start, hamming(p1, left_ctx)::INT, left_ctx
+    UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'L', i.pos - 9, start, hamming(p1, left_ctx)::INT, left_ctx, CASE WHEN parts = 3 AND greatest(hamming(p1, left_ctx), hamming(p3, right_ctx)) <= 2 THEN greatest(hamming(p1, left_ctx), hamming(p3, right_ctx)) END::INT
     FROM parted p JOIN index9 i ON i.kmer = p2 WHERE i.pos >= 9
-    UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'R', i.pos, start, hamming(p2, right_ctx)::INT, right_ctx
+    UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'R', i.pos, start, hamming(p2, right_ctx)::INT, right_ctx, NULL
     FROM parted p JOIN index9 i ON i.kmer = p1 WHERE parts = 3 AND p2 <> right_ctx
-    UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'L', i.pos - 9, start + 9, hamming(p2, left_ctx)::INT, left_ctx
+    UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'L', i.pos - 9, start + 9, hamming(p2, left_ctx)::INT, left_ctx, NULL
     FROM parted p JOIN index9 i ON i.kmer = p3 WHERE parts = 3 AND i.pos >= 9 AND p2 <> left_ctx),
 seeds AS MATERIALIZED (SELECT * FROM matched WHERE errors <= 2),
 capped AS MATERIALIZED (SELECT * EXCLUDE (neighbour) FROM seeds
     QUALIFY row_number() OVER (PARTITION BY read_id, win, side, query_pos, neighbour ORDER BY cand_id, cand_strand, ref_pos) <= 30),
 levels AS (SELECT read_id, win, CASE WHEN count(*) FILTER (errors = 0) >= 30 THEN 0 WHEN count(*) FILTER (errors <= 1) >= 30 THEN 1 ELSE 2 END AS level FROM capped GROUP BY ALL),
-escalated AS MATERIALIZED (SELECT s.*, level FROM capped s JOIN levels USING (read_id, win) WHERE errors <= level),
+whole_ones AS (SELECT read_id, win, count(*) AS n FROM capped JOIN levels USING (read_id, win) WHERE both_sides <= level GROUP BY ALL),
+escalated AS MATERIALIZED (SELECT s.* EXCLUDE (both_sides), level FROM capped s JOIN levels USING (read_id, win) LEFT JOIN whole_ones USING (read_id, win)
+    WHERE CASE WHEN n >= 30 THEN both_sides <= level ELSE errors <= level END),
 cands0 AS (SELECT e.read_id, cand_id, cand_strand, min(query_pos - ref_pos)::INT AS shift1, max(query_pos - ref_pos)::INT AS shift2, max(length(t.seq)) AS na, max(length(b.seq)) AS nb
     FROM escalated e JOIN tiled t ON t.read_id = e.read_id JOIN both_strands b ON b.read_id = cand_id AND b.strand = cand_strand
     WHERE length(b.seq) - ref_pos >= greatest(35, floor(0.2 * length(t.seq))) GROUP BY ALL),
@@ -419,19 +421,19 @@ def seed_exact2(spark: SparkSession, d: str) -> DataFrame:
     return overlaps.seeds(overlaps.window_parts(short, K), overlaps_index(both, OPTIONS), K, 0)
 
 
-@query("SELECT * EXCLUDE (neighbour) FROM matched WHERE errors = 0")
+@query("SELECT * EXCLUDE (neighbour, both_sides) FROM matched WHERE errors = 0")
 def seed_exact3(spark: SparkSession, d: str) -> DataFrame:
     return _seeds(spark, d, 0)
 
 
-@query("SELECT * EXCLUDE (neighbour) FROM seeds")
+@query("SELECT * EXCLUDE (neighbour, both_sides) FROM seeds")
 def seed_fuzzy_hamming(spark: SparkSession, d: str) -> DataFrame:
     return _seeds(spark, d, 2)
 
 
-@query(f"SELECT * EXCLUDE (neighbour) FROM seeds QUALIFY row_number() OVER (PARTITION BY read_id, win, side, query_pos, neighbour ORDER BY cand_id, cand_strand, ref_pos) <= {SLOTS}")
+@query(f"SELECT * EXCLUDE (neighbour, both_sides) FROM seeds QUALIFY row_number() OVER (PARTITION BY read_id, win, side, query_pos, neighbour ORDER BY cand_id, cand_strand, ref_pos) <= {SLOTS}")
 def seed_neighbour_cap(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps.cap_neighbours(_seeds(spark, d, 2, neighbours=True), SLOTS)
+    return overlaps.cap_neighbours(_seeds(spark, d, 2, neighbours=True), SLOTS).drop("both")
 
 
 @query("SELECT * FROM escalated")

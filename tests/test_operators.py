@@ -185,7 +185,7 @@ def seeds_by_hand(reads, k, most, mode, results):
             p = [s[start + j * k : start + (j + 1) * k] for j in range(parts)]
             # an equal k-mer, the one beside it, on which side, where the seed lies in the query, the fewest errors
             wanted = [(p[0], p[1], "R", start, 0), (p[1], p[0], "L", start, 0)] if parts == 2 else [(p[1], p[2], "R", start + k, 0), (p[1], p[0], "L", start, 0), (p[0], p[1], "R", start, 1), (p[2], p[1], "L", start + k, 1)]
-            per, hits = Counter(), []
+            per, hits, sides = Counter(), [], defaultdict(dict)
             for (c, strand), t in sorted(both.items()):
                 for at in range(len(t) - k + 1):
                     for kmer, beside, side, query, least in wanted:
@@ -195,13 +195,18 @@ def seeds_by_hand(reads, k, most, mode, results):
                         own = beside if side == "R" else beside[::-1]
                         e = sum(x != y for x, y in zip(own, there, strict=True)) if mode == d.HAMMING else d.flexible_end(there, own, most, mode)
                         ref = at if side == "R" else at - k
+                        if parts == 3 and kmer == p[1] and not least and e <= most:
+                            sides[c, strand, at][side] = e
                         if least <= e <= most and ref >= 0:
                             key = (side, query, there[:k])
                             per[key] += 1
                             if per[key] <= results:
-                                hits.append((e, c, strand, ref, query))
+                                hits.append((e, c, strand, ref, query, at if side == "L" and not least else None))
             level = next((j for j in range(most) if sum(h[0] <= j for h in hits) >= results), most)
-            found += [h for h in hits if h[0] <= level]
+            hits = [h for h in hits if h[0] <= level]
+            # k-mers of the middle with both neighbours near enough: if there are many, only those
+            whole = [h for h in hits if h[5] is not None and len(x := sides[h[1], h[2], h[5]]) == 2 and max(x.values()) <= level]
+            found += [h[:5] for h in (whole if len(whole) >= results else hits)]
         shifts = defaultdict(list)
         for _, c, strand, ref, query in found:
             least = max(20, int(0.2 * n)) - (0 if mode == d.HAMMING else most)
