@@ -711,6 +711,51 @@ def test_columns_that_clash(spark):
     assert vectors.link_vectors(spark, vec).count() == 1 and repeats.remove_repeats(spark, docs).count() == 1 and packing.pack_documents(spark, docs).count() == 1
 
 
+def test_very_long_texts(spark):
+    """Texts of megabytes in one line, without blanks, and of very many lines, through every operator."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    words = " ".join(f"word{k}" for k in rng.integers(0, 50_000, 250_000))
+    lines = "\n".join(f"line {k}" for k in range(120_000))
+    rows = {1: words, 2: words + " tail", 3: "x" * 1_500_000, 4: lines, 5: lines + "\nend", 6: "ab " * 400_000, 7: "short and clean text of some eleven words in one line"}
+    docs = spark.createDataFrame([(k, t, "en", "a") for k, t in rows.items()], "doc_id long, text string, lang string, source string")
+    began = time.time()
+    cut = {r.doc_id: r for r in line_dedup.remove_repeated_lines(docs).collect()}
+    assert cut[4].n_removed == 0 and cut[5].n_removed == 120_000 and cut[5].text == "end" and cut[1].text == words
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7}
+    gone = {r.doc_id: r for r in repeats.remove_repeats(spark, docs).collect()}
+    assert gone[2].n_removed == len(words) and gone[5].n_removed >= len(lines) - 99 and gone[3].n_removed == 1_500_000 - 1 and gone[1].n_removed == 0
+    counts = {r.doc_id: r for r in quality.judge(spark, docs).collect()}
+    assert counts[1].n_words == 250_000 and counts[4].n_lines == 120_000 and counts[6].n_repeat_words == 400_000 and counts[3].n_words == 1
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(spark, docs).collect()}[6] == 400_000
+    labels = spark.createDataFrame([(k, k % 2) for k in rows], "doc_id long, toxic int")
+    assert all(0 <= r.score <= 1 for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect())
+    assert {r.lang_pred for r in language.identify(docs, language.fit(docs)).collect()} == {"en"}
+    assert {r.doc_id: r.text for r in surrogates.replace_personal_data(spark, docs, KEY).collect()} == rows
+    packed = packing.pack_documents(spark, docs.unionByName(docs.filter("doc_id = 7").selectExpr("cast(null as long) doc_id", "text", "lang", "source"))).toPandas()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    for k in (1, 4, 7):
+        assert packed[packed.doc_id == k].length.sum() == len(tokenizer.encode(rows[k], add_special_tokens=False).ids) + 1
+    assert packed.doc_id.isna().sum() == 1 and packed.length.max() <= 4096
+    assert time.time() - began < 400
+
+
+def test_ties_of_vectors(spark):
+    """Equal ids, equal vectors and a cosine at the threshold's very edge."""
+    edge = [0.98, float(np.sqrt(1 - 0.98**2))]
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.0]), (5, edge), (6, [0.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, vectors.link_vectors(spark, df).collect()), key=str)
+    linked = sum(x * y for x, y in zip(rows[0][1], edge, strict=True)) / np.sqrt(sum(x * x for x in edge)) >= 0.98
+    assert [g for g in got if g[0] == 1] == [(1, 2 + linked, 1, True)] * 2
+    assert [g for g in got if g[0] is None] == [(None, 2 + linked, 1, None)]
+    assert [g for g in got if g[0] == 5] == [(5, 3 * linked, 1 if linked else 5, not linked)] and (6, 0, 6, True) in got
+
+
 def test_empty_tables(spark, odd):
     none = odd.limit(0)
     assert surrogates.replace_personal_data(spark, none, KEY).count() == 0
