@@ -38,7 +38,7 @@ GRAM = 32
 #: Different segments of one key that one suffix array takes, at most; longer lists are dealt anew by more hashes.
 MOST = 4096
 #: Segments that are put into one suffix array together, about; those of one key stay together.
-TOGETHER = 4000
+TOGETHER = 2500
 _PLACE_BITS = 20
 _PLACE = np.uint64((1 << _PLACE_BITS) - 1)
 _MUL = np.uint64(0xBF58476D1CE4E5B9)
