@@ -410,14 +410,17 @@ def _seeds(spark: SparkSession, d: str, errors: int, neighbours: bool = False) -
     return overlaps.seeds(overlaps.window_parts(reads, K), overlaps_index(both, OPTIONS), K, errors, neighbours=neighbours)
 
 
-@query("""SELECT p.read_id, win, i.read_id AS cand_id, i.strand AS cand_strand, 'R' AS side, i.pos AS ref_pos, start AS query_pos, 0 AS errors
-    FROM (SELECT read_id, 0 AS win, 0 AS start, substr(seq, 1, 9) AS p1, substr(seq, 10, 9) AS p2 FROM (SELECT read_id, substr(seq, 1, 18) AS seq FROM tiled)) p
-    JOIN index9 i ON i.kmer = p1 AND i.right_ctx = p2
-    UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'L', i.pos - 9, start, 0
-    FROM (SELECT read_id, 0 AS win, 0 AS start, substr(seq, 1, 9) AS p1, substr(seq, 10, 9) AS p2 FROM tiled) p JOIN index9 i ON i.kmer = p2 AND i.left_ctx = p1 WHERE i.pos >= 9""")
+@query("""
+, short0 AS (SELECT i AS read_id, substr(g, (i * 4 + 1)::INT, 20) AS truth FROM genome, range(0, (length(g) - 20) // 4 + 1) AS t(i)),
+short AS (SELECT read_id, CASE WHEN read_id % 3 = 0 THEN substr(truth, 1, ((read_id * 37) % 20)::INT) || translate(substr(truth, ((read_id * 37) % 20)::INT + 1, 1), 'ACGT', 'CGTA')
+    || substr(truth, ((read_id * 37) % 20)::INT + 2) ELSE truth END AS seq FROM short0),
+halves AS (SELECT read_id, w::INT AS win, (w * 2)::INT AS start, substr(seq, (w * 2 + 1)::INT, 9) AS p1, substr(seq, (w * 2 + 10)::INT, 9) AS p2 FROM short, range(0, 2) AS t(w))
+SELECT p.read_id, win, i.read_id AS cand_id, i.strand AS cand_strand, 'R' AS side, i.pos AS ref_pos, start AS query_pos, 0 AS errors FROM halves p JOIN index9 i ON i.kmer = p1 AND i.right_ctx = p2
+UNION ALL SELECT p.read_id, win, i.read_id, i.strand, 'L', i.pos - 9, start, 0 FROM halves p JOIN index9 i ON i.kmer = p2 AND i.left_ctx = p1 WHERE i.pos >= 9""")
 def seed_exact2(spark: SparkSession, d: str) -> DataFrame:
-    reads, both = _both(spark, d)
-    short = reads.withColumn("seq", F.substring("seq", 1, 2 * K))
+    """Whole reads of 20 bases, which have windows of two k-mers."""
+    _, both = _both(spark, d)
+    short = tables.tiled(spark, d, 20).select("read_id", "seq")
     return overlaps.seeds(overlaps.window_parts(short, K), overlaps_index(both, OPTIONS), K, 0)
 
 
@@ -517,10 +520,12 @@ def edit_levenshtein(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("read_id", F.levenshtein("seq", "truth").alias("edit"), F.levenshtein("seq", F.reverse("truth")).alias("edit_reversed"))
 
 
-@query("SELECT read_id, list_min([levenshtein(substr(truth, 1, n), substr(seq, 1, 60)) for n in range(0, 81)])::INT AS edit FROM tiled")
+@query("SELECT read_id, list_min([levenshtein(substr(g, (start0 + 1)::INT, n::INT), seq) for n in range(0, least(100, length(g) - start0) + 1)])::INT AS edit FROM tiled, genome")
 def edit_flexible_end(spark: SparkSession, d: str) -> DataFrame:
-    f = distance.udf2(lambda a, b: distance.flexible_end(a, b[:60], 60), "int")
-    return tables.tiled(spark, d).select("read_id", f("truth", "seq").alias("edit"))
+    """Whole reads against beginnings of the stretch of the genome from their place to 20 bases beyond it."""
+    f = distance.udf2(lambda a, b: distance.flexible_end(a, b, 80), "int")
+    rows = tables.tiled(spark, d).crossJoin(F.broadcast(tables.genome(spark, d)))  # one row
+    return rows.select("read_id", f(F.expr("substring(g, cast(start0 + 1 as int), 100)"), "seq").alias("edit"))
 
 
 @query("SELECT read_id, (2 * hamming(seq, truth))::INT AS edit FROM tiled")
