@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Stage, table
+from strandline.llm.common import Stage, give_back, table
 
 LENGTH = 100
 GRAM = 32
@@ -215,6 +215,7 @@ def _keys(docs: DataFrame, length: int, only_keys: bool) -> DataFrame:
                 if held > 200_000 or i == len(uids) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k.to_pandas_dtype())) for x, k in zip(out, kinds, strict=True)], names=names)
                     out, held = [[] for _ in kinds], 0
+            give_back()
 
     types = {"key": "long", "chash": "long", "uid": "long", "start": "int", "n": "int"}
     return docs.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in names))
@@ -229,6 +230,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             texts = batch.column(1)
             z = [press.compress(texts[i].as_buffer().to_pybytes()) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, type=pa.binary()), batch.column(2)], names=["uid", "z", "doc_id"])
+            give_back()
 
     return docs.mapInArrow(run, "uid long, z binary, doc_id long")
 
@@ -262,6 +264,7 @@ def _contents(wanted: DataFrame, packed: DataFrame, length: int) -> DataFrame:
                     part = w[at : at + 50_000]
                     bytes_ = [data[x["start"] : x["start"] + x["n"] + length - 1] for x in part]
                     yield _rows([(x["key"], x["chash"], uid, x["start"], x["n"], c) for x, c in zip(part, bytes_, strict=True)], _SEGMENT)
+            give_back()
 
     return lists.join(packed.select("uid", "z"), "uid").select("uid", "w", "z").mapInArrow(run, _ddl(_SEGMENT))
 
@@ -289,6 +292,7 @@ def _by_arrays(contents: DataFrame, groups: int, length: int) -> DataFrame:
             if len(on):
                 gaps = np.flatnonzero(np.diff(on) > 1)
                 out += [(uid, start + int(a), start + int(b) + length) for a, b in zip(on[np.append(0, gaps + 1)], on[np.append(gaps, len(on) - 1)], strict=True)]
+        give_back()
         return pd.DataFrame(out, columns=["uid", "s", "e"]).astype({"uid": "int64", "s": "int64", "e": "int64"})
 
     group = F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group")
