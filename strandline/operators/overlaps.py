@@ -45,7 +45,9 @@ def context_errors(part: str, context: str, k: int, max_errors: int, mode: str)
         return F.bit_count(other.bitwiseOR(F.shiftright(other, 1)).bitwiseAND(F.lit(0x5555555555555555)))
     cut = "right" if context == "left_ctx" else "left"
     if mode == EDIT:
-        return F.expr(f"array_min(transform(sequence({max(0, k - max_errors)}, {k + max_errors}), n -> levenshtein({part}, {cut}({context}, n))))")
+        # with a bound the distance stops early (-1); equal stretches, the usual case, need none
+        each = f"transform(sequence({max(0, k - max_errors)}, {k + max_errors}), n -> levenshtein({part}, {cut}({context}, n), {max_errors}))"
+        return F.expr(f"CASE WHEN {part} = {cut}({context}, {k}) THEN 0 WHEN {part} IS NOT NULL THEN coalesce(array_min(filter({each}, d -> d >= 0)), {max_errors + 1}) END")
     # without substitutions the distance follows from the longest common subsequence, whose rows a fold carries
     flip = "reverse" if cut == "right" else ""
     row = f"""transform(sequence(0, {k + max_errors}), x -> x)"""
@@ -92,13 +94,14 @@ def seeds(windows: DataFrame, index: DataFrame, k: int, max_errors: int, outer:
     else:
         near = [F.left("right_ctx", F.lit(k)), F.right("left_ctx", F.lit(k))]
     left, right = by_hot_keys(parts, entries, per_task)
-    hits = left.join(right, ["kmer", "salt"])
+    # errors as columns of their own, so that what they cost is paid once
+    hits = left.join(right, ["kmer", "salt"]).withColumn("to_right", context_errors("right", "right_ctx", k, max_errors, mode)).withColumn("to_left", context_errors("left", "left_ctx", k, max_errors, mode))
 
     def side(name: str, errors: Column, pos: Column, at: Column, neighbour: Column) -> Column:
         beside = [neighbour.alias("neighbour"), (whole if name == "L" else F.lit(None).cast("int")).alias("both")] if neighbours else []
         return F.when((errors <= max_errors) & (errors >= F.col("least")), F.struct(F.lit(name).alias("side"), pos.alias("ref_pos"), at.alias("query_pos"), errors.alias("errors"), *beside))
 
-    to_right, to_left = context_errors("right", "right_ctx", k, max_errors, mode), context_errors("left", "left_ctx", k, max_errors, mode)
+    to_right, to_left = F.col("to_right"), F.col("to_left")
     worse = F.greatest(to_left, to_right)  # of a k-mer with both neighbours: the middle one of three
     whole = F.when(F.col("left").isNotNull() & F.col("right").isNotNull() & (worse <= max_errors), worse).cast("int")
     r = side("R", to_right, F.col("pos"), F.col("start") + F.col("at"), near[0])
