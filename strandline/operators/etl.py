@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import bare_id, quality_ordinals, with_length
+from strandline.sources.staging import Stage
 
 
 def concat_files(files: list[DataFrame]) -> DataFrame:
@@ -17,14 +18,17 @@ def concat_files(files: list[DataFrame]) -> DataFrame:
 
 
 def running_ordinal(records: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ordinal, the record's place over all files, without one task that sees all rows: ranges are sorted, counted,
-    and each starts where the one before it ended."""
-    ranged = records.withColumn("_o", F.struct(*order)).repartitionByRange("_o").sortWithinPartitions("_o").withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("_o")))
+    """Adds ordinal, the record's place over all files (nulls last), without one task that sees all rows: ranges are sorted,
+    counted, and each starts where the one before it ended. Records are staged with their range and their place in it: ranges
+    that are computed twice have other bounds, as those come from a sample, and are merged by their size."""
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranged = records.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    local = Stage(records.sparkSession).write(ranged, "ranged").withColumn("_part", F.shiftright("_at", 33))
     sizes = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))  # a row for each partition
-    return local.join(F.broadcast(starts), "_part").withColumn("ordinal", F.col("_before") + F.col("_n") - 1).drop("_o", "_part", "_n", "_before")
+    starts = sizes.select("_part", before.alias("_before"))  # a row for each range
+    place = F.col("_before") + F.col("_at") - F.shiftleft("_part", 33)  # _at counts from range * 2 ** 33
+    return local.join(F.broadcast(starts), "_part").withColumn("ordinal", place).drop("_at", "_part", "_before")
 
 
 def systematic_sample(records: DataFrame, per_thousand: int, ordinal: str = "ordinal") -> DataFrame:

@@ -23,6 +23,23 @@ def test_same_as_sql(spark, duck, data, same, name):
     same(queries.QUERIES[name](spark, data).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Partitions of a few kB, as many for each exchange as its own columns take: as on tables that are much larger."""
+    sizes = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["split_paired"])
+def test_same_as_sql_in_many_partitions(spark, duck, data, same, many_partitions, name):
+    same(queries.QUERIES[name](spark, data).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
 def test_rows(spark, data, name):
     assert queries.QUERIES[name](spark, data).count() > 0
