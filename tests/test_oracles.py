@@ -35,7 +35,7 @@ def many_partitions(spark):
         spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["split_paired", "merge_interleave", "split_pairs"])
+@pytest.mark.parametrize("name", ["split_paired", "merge_interleave", "split_pairs", "merge_sample"])
 def test_same_as_sql_in_many_partitions(spark, duck, data, same, many_partitions, name):
     same(queries.QUERIES[name](spark, data).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df())
 
