@@ -276,7 +276,7 @@ def merge_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    return etl.running_ordinal(df, ["read_id"]).withColumn("read_id", F.col("ordinal").cast("long")).drop("ordinal")
+    return etl.running_ordinal(df, ["read_id", "place"]).withColumn("read_id", F.col("ordinal").cast("long")).drop("ordinal", "place")
 
 
 _SIDES = "a AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, info, seq FROM reads_q), b AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, info, seq FROM pairs)"
@@ -284,7 +284,7 @@ _SIDES = "a AS (SELECT row_number() OVER (ORDER BY read_id) - 1 AS read_id, info
 
 @query(f", {_SIDES} SELECT read_id, 1 AS side, info, seq FROM a UNION ALL SELECT read_id, 2, info, seq FROM b")
 def merge_interleave(spark: SparkSession, d: str) -> DataFrame:
-    return etl.interleave(_numbered(tables.quality_reads(spark, d).drop("qual")), _numbered(tables.pairs(spark, d)))
+    return etl.interleave(_numbered(tables.quality_reads(spark, d, placed=True).drop("qual")), _numbered(tables.pairs(spark, d, placed=True)))
 
 
 @query("SELECT read_id, info, seq, (row_number() OVER (ORDER BY read_id) - 1) AS ordinal, ((row_number() OVER (ORDER BY read_id) - 1) % 2 + 1)::INT AS side FROM pairs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.sequence import normalize
@@ -18,16 +18,22 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def reads(spark: SparkSession, sf_dir: str, unknown: str = "") -> DataFrame:
-    """(read_id, seq): the bases of each document."""
-    return _spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), normalize(F.col("text"), unknown).alias("seq")))
+def _place(placed: bool) -> list[Column]:
+    """place, if asked for: a row's file and its row there, which settle the order of rows with one id however they are dealt."""
+    return [F.struct("_metadata.file_path", "_metadata.row_index").alias("place")] if placed else []
 
 
-def quality_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, info, seq, qual): a made-up quality for each base of each document that has any."""
+def reads(spark: SparkSession, sf_dir: str, unknown: str = "", placed: bool = False) -> DataFrame:
+    """(read_id, seq, [place]): the bases of each document."""
+    return _spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), normalize(F.col("text"), unknown).alias("seq"), *_place(placed)))
+
+
+def quality_reads(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """(read_id, info, seq, qual, [place]): a made-up quality for each base of each document that has any."""
     qual = F.expr("array_join(transform(sequence(1, length(seq)), i -> char(33 + (read_id * 31 + i * 7) % 41)), '')")
     info = F.concat(F.lit("@d"), F.col("read_id").cast("string"), F.lit(" len=0"))
-    return reads(spark, sf_dir).filter(F.length("seq") >= 1).select("read_id", info.alias("info"), "seq", qual.alias("qual"))
+    rows = reads(spark, sf_dir, placed=placed).filter(F.length("seq") >= 1)
+    return rows.select("read_id", info.alias("info"), "seq", qual.alias("qual"), *(["place"] if placed else []))
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ def with_indels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiled(spark, sf_dir).withColumn("other", F.expr(f"CASE read_id % 3 WHEN 1 THEN {less} WHEN 2 THEN {more} ELSE truth END"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, info, seq): turns of conversations as paired reads."""
-    turn = F.concat(F.lit("@c"), F.col("conv_id").cast("string"), F.lit("_"), F.expr("turn div 2").cast("string"), F.lit("/"), (F.col("turn") % 2 + 1).cast("string"))
-    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), turn.alias("info"), normalize(F.col("text"), "").alias("seq"))
+def pairs(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """(read_id, info, seq, [place]): turns of conversations as paired reads. A missing number is left out of the header."""
+    turn = F.concat_ws("", F.lit("@c"), F.col("conv_id").cast("string"), F.lit("_"), F.expr("turn div 2").cast("string"), F.lit("/"), (F.col("turn") % 2 + 1).cast("string"))
+    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), turn.alias("info"), normalize(F.col("text"), "").alias("seq"), *_place(placed))
