@@ -289,7 +289,7 @@ def merge_interleave(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT read_id, info, seq, (row_number() OVER (ORDER BY read_id) - 1) AS ordinal, ((row_number() OVER (ORDER BY read_id) - 1) % 2 + 1)::INT AS side FROM pairs")
 def split_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return etl.split_pairs(etl.running_ordinal(tables.pairs(spark, d), ["read_id"]))
+    return etl.split_pairs(etl.running_ordinal(tables.pairs(spark, d, placed=True), ["read_id", "place"]).drop("place"))
 
 
 @query("""
