@@ -59,7 +59,7 @@ def repeated(data, tmp_path):
     return str(tmp_path), con
 
 
-@pytest.mark.parametrize("name", ["merge_interleave", "split_pairs"])
+@pytest.mark.parametrize("name", ["merge_interleave", "merge_sample", "split_pairs"])
 def test_same_as_sql_with_repeated_and_missing_ids(spark, repeated, same, many_partitions, name):
     folder, con = repeated
     found, wanted = queries.QUERIES[name](spark, folder), con.sql(queries.ORACLE_SQL[name])
